@@ -1,0 +1,6 @@
+"""Nothing here holds state.
+
+The record, text and scoring expressions are stateless, so they also run on a
+streaming frame as they are (see ``tests/test_streaming.py``); no streaming
+operator is needed beyond Spark's own reader and writer.
+"""
