@@ -178,24 +178,50 @@ def direction(df: DataFrame, value: str = "value", phi: str = "phi", key: str =
     return related.select(key, defined.alias("correlation"), towards.alias("direction"))
 
 
-def leakage_audit(
-    spark: SparkSession,
-    names: Sequence[str],
-    patterns: Sequence[str] = tuple(fv.LEAKAGE_AUDIT_PATTERNS),
+def report_points(
+    df: DataFrame, wanted: Sequence[str], names: Sequence[str], prefix: str = "phi_", most: int = 5
 ) -> DataFrame:
-    """One row per pattern: the features it matches, in either direction, ignoring case."""
-    features = F.array(*[F.lit(n) for n in names]).cast("array<string>")
-    pattern = F.explode(F.array(*[F.lit(p) for p in patterns])).alias("pattern")
+    """Value and attribution of (grouped) features: the mean over all features they match."""
+
+    def mean(cols: list[str]) -> Column:
+        total = F.lit(0.0)
+        for c in cols:
+            total = total + F.col(c).cast("double")
+        return total / len(cols)
+
+    rows = []
+    for name in wanted[:most]:
+        matched = [n for n in names if name in n or n in name]
+        if matched:
+            phi = mean([f"{prefix}{n}" for n in matched])
+            point = [F.lit(name).alias("feature"), mean(matched).alias("value"), phi.alias("phi")]
+            rows.append(F.struct(*point))
+    return df.select(F.inline(F.array(*rows)))
+
+
+def name_table(spark: SparkSession, names: Sequence[str]) -> DataFrame:
+    """Feature names as a one-column table."""
+    return spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("feature"))
 
-    def matches(name: Column) -> Column:
-        low, wanted = F.lower(name), F.lower("pattern")
-        return F.contains(low, wanted) | F.contains(wanted, low)
 
+def leakage_matches(
+    names: DataFrame, patterns: Sequence[str] = tuple(fv.LEAKAGE_AUDIT_PATTERNS)
+) -> DataFrame:
+    """Each name next to each audit pattern, with ``leaks``: one holds the other, ignoring case."""
+    low, wanted = F.lower("feature"), F.lower("pattern")
+    paired = names.select("feature", F.explode(F.array(*[F.lit(p) for p in patterns])).alias("pattern"))
+    return paired.withColumn("leaks", F.contains(low, wanted) | F.contains(wanted, low))
+
+
+def leakage_audit(
+    names: DataFrame, patterns: Sequence[str] = tuple(fv.LEAKAGE_AUDIT_PATTERNS)
+) -> DataFrame:
+    """One row per pattern: how many features it matches and whether it was found."""
     return (
-        spark.range(1)
-        .select(pattern)
-        .select("pattern", F.filter(features, matches).alias("features"))
-        .withColumn("found", F.size("features") > 0)
+        leakage_matches(names, patterns)
+        .groupBy("pattern")
+        .agg(F.count_if("leaks").alias("matches"))
+        .withColumn("found", F.col("matches") > 0)
     )
 
 
@@ -203,8 +229,11 @@ class LeakageError(ValueError):
     """Raised after the report when a feature leaks the outcome."""
 
 
-def require_no_leakage(audit: DataFrame) -> None:
-    found = audit.filter("found").select(F.explode("features").alias("f")).distinct()
-    leaking = sorted(row["f"] for row in found.collect())
-    if leaking:
-        raise LeakageError(f"leaking features: {leaking}")
+def require_no_leakage(
+    names: DataFrame, patterns: Sequence[str] = tuple(fv.LEAKAGE_AUDIT_PATTERNS), shown: int = 20
+) -> None:
+    """Raise when any feature leaks; the message names the first few."""
+    leaking = leakage_matches(names, patterns).filter("leaks").select("feature").distinct()
+    found = [row["feature"] for row in leaking.orderBy("feature").limit(shown).collect()]
+    if found:
+        raise LeakageError(f"leaking features: {found}")

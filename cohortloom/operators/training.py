@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -250,7 +249,3 @@ def refit(
         estimator(config.family, config.params, seed, label, weight=weight, size=len(cols)),
     ]
     return Pipeline(stages=stages).fit(rows)
-
-
-def union_all(frames: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
