@@ -157,8 +157,26 @@ _SQL_KEPT = f"""
           FROM d WHERE {_SQL_REASON} IS NULL)"""
 
 
+def _scratch(spark, name: str) -> str:
+    """A new folder below the checkpoint folder, which every executor can reach."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_FILES: dict[tuple[str, str], str] = {}
+
+
+def record_files(spark, sf) -> str:
+    """The lines as text files, written once per application below the checkpoint folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FILES:
+        path = _scratch(spark, "lines")
+        record_lines(spark, sf).select("value").write.text(path)
+        _FILES[key] = path
+    return _FILES[key]
+
+
 def parsed_records(spark, sf) -> DataFrame:
-    return parse_records(record_lines(spark, sf))[0]
+    return parse_records(read_lines(spark, record_files(spark, sf)))[0]
 
 
 @query(
@@ -168,7 +186,7 @@ def parsed_records(spark, sf) -> DataFrame:
     WHERE reject_reason IS NOT NULL GROUP BY 1""",
 )
 def record_rejects(spark, sf):
-    _, rejects = filter_records(record_lines(spark, sf))
+    _, rejects = filter_records(read_lines(spark, record_files(spark, sf)))
     return rejects.groupBy("reject_reason").agg(F.count("*").alias("n"))
 
 
@@ -288,11 +306,6 @@ def record_label_counts(spark, sf):
     return labelled.groupBy("label_feasible").agg(F.count("*").alias("n"))
 
 
-def _scratch(spark, name: str) -> str:
-    """A new folder below the checkpoint folder, which every executor can reach."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query(
     "lines_from_files",
     f"""
@@ -304,9 +317,8 @@ def _scratch(spark, name: str) -> str:
     ),
 )
 def lines_from_files(spark, sf):
-    """Lines written as text files, found by preference order, read and parsed."""
-    path = _scratch(spark, "lines")
-    record_lines(spark, sf).select("value").write.text(path)
+    """Line files found by preference order, read and parsed; whole texts arrive."""
+    path = record_files(spark, sf)
     found = first_existing(spark, [f"{path}-full", path])
     parsed, rejects = parse_records(read_lines(spark, found))
     kept = parsed.select(F.lit("kept").alias("outcome"), F.length("eligibility_criteria_text").alias("c"))

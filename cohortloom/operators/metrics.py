@@ -49,9 +49,12 @@ def binary_metrics(
 
 
 def _score_ranges(df: DataFrame, score: str) -> list[float]:
-    """Cut points that split the distinct scores into ranges of about equal size."""
+    """Cut points that split the rows into ranges of about equal size.
+
+    A score shared by many rows gives one cut; it is a single row once counted.
+    """
     grid = [i / SCORE_RANGES for i in range(1, SCORE_RANGES)]
-    cuts = df.agg(F.percentile_approx(F.col(score).cast("double"), grid, 10_000)).first()[0] or []
+    cuts = df.agg(F.percentile_approx(F.col(score).cast("double"), grid, 2_000)).first()[0] or []
     return [float("-inf"), *sorted(set(cuts)), float("inf")]
 
 
@@ -62,15 +65,10 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     row from then on. Each range of scores is then summed up on its own, and only one
     row per range is left for the final running total.
     """
-    per_score = (
-        df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
-        .groupBy(F.col(score).cast("double").alias("score"))
-        .agg(
-            F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
-        )
-    )
-    ranges = Bucketizer(
-        splits=_score_ranges(per_score, "score"), inputCol="score", outputCol="range"
+    rated = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
+    ranges = Bucketizer(splits=_score_ranges(rated, score), inputCol="score", outputCol="range")
+    per_score = rated.groupBy(F.col(score).cast("double").alias("score")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
     lower = Window.partitionBy("range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     neg_below = F.coalesce(F.sum("neg").over(lower), F.lit(0))

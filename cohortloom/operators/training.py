@@ -137,21 +137,21 @@ def fit(
 
 def run_metrics(
     model, test: DataFrame, label: str, validation: DataFrame | None = None
-) -> DataFrame:
-    """Five metrics of one fitted model in one row.
+) -> dict[str, float]:
+    """Five metrics of one fitted model; the scored rows (three numbers each) are kept meanwhile.
 
     With ``validation`` the decision threshold is the one with the best F1 there.
     """
-    scored = model.transform(test).select(
-        label, "prediction", vector_to_array("probability")[1].alias("score")
-    )
+    score = vector_to_array("probability")[1].alias("score")
+    scored = model.transform(test).select(label, "prediction", score)
     if validation is not None:
-        held = model.transform(validation).select(
-            label, vector_to_array("probability")[1].alias("score")
-        )
+        held = model.transform(validation).select(label, score)
         threshold = m.best_threshold(held, "score", label).first()["threshold"]
         scored = scored.withColumn("prediction", (F.col("score") >= threshold).cast("double"))
-    return m.evaluate_scores(scored, label, "score", "prediction")
+    scored = scored.persist()
+    found = m.evaluate_scores(scored, label, "score", "prediction").first().asDict()
+    scored.unpersist()
+    return {name: float(found[name]) for name in fv.METRICS}
 
 
 def evaluate(
@@ -172,7 +172,8 @@ def evaluate(
     and once per strategy for forests; then every configuration is trained ``runs``
     times with seed + run.
     """
-    assembled = assemble(data.select(id_col, F.col(label).cast("double").alias(label), split, *cols), cols)
+    target = F.col(label).cast("double").alias(label)
+    assembled = assemble(data.select(id_col, target, split, *cols), cols)
     frame = assembled.select(id_col, label, split, "features").persist()
     train, test = frame.filter(F.col(split) == "train"), frame.filter(F.col(split) == "test")
     validation = frame.filter(F.col(split) == "validation")
@@ -192,9 +193,9 @@ def evaluate(
         for run in range(runs):
             model = fit(train, config, id_col, label, seed + run, len(cols))
             held = validation if config.family == "network" else None
-            # one row of five numbers per run
-            found = run_metrics(model, test, label, held).first().asDict()
-            rows.append((seq, config.family, config.input_mode, config.strategy, run, *[float(found[x]) for x in fv.METRICS]))
+            found = run_metrics(model, test, label, held)
+            named = (config.family, config.input_mode, config.strategy)
+            rows.append((seq, *named, run, *found.values()))
     frame.unpersist()
     keys = ["seq", "model_name", "input_mode", "imbalance_strategy"]
     metric_types = ", ".join(f"{x} double" for x in fv.METRICS)

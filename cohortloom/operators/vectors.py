@@ -49,7 +49,9 @@ def embed(
 
         return predict
 
-    infer = predict_batch_udf(make_predict, ArrayType(FloatType()), batch_size=batch_size)
+    infer = predict_batch_udf(
+        make_predict, return_type=ArrayType(FloatType()), batch_size=batch_size
+    )
     text = F.col(text_col)
     return df.withColumn(out, F.when(text.isNotNull(), infer(F.coalesce(text, F.lit("")))))
 

@@ -17,10 +17,12 @@ def read_stage(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Store results as Parquet or as CSV with a header (nested values as JSON text)."""
+    """Store results as Parquet or as CSV with a header (nested values as
+    JSON text, quotes doubled)."""
     if fmt == "parquet":
         df.write.mode("overwrite").parquet(path)
     elif fmt == "csv":
-        encode_nested(df).write.mode("overwrite").option("header", True).csv(path)
+        writer = encode_nested(df).write.mode("overwrite")
+        writer.option("header", True).option("escape", '"').csv(path)
     else:
         raise ValueError(f"unknown format: {fmt}")
