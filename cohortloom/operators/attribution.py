@@ -172,10 +172,10 @@ def direction(df: DataFrame, value: str = "value", phi: str = "phi", key: str =
 
     Where one side is constant there is no correlation, which counts as "decreases".
     """
-    related = df.groupBy(key).agg(F.corr(value, phi).alias("correlation"))
-    defined = F.when(~F.isnan("correlation"), F.col("correlation"))
-    towards = F.when(defined > 0, "increases").otherwise("decreases")
-    return related.select(key, defined.alias("correlation"), towards.alias("direction"))
+    spread = F.nullif(F.stddev_pop(value) * F.stddev_pop(phi), F.lit(0.0))
+    related = df.groupBy(key).agg((F.covar_pop(value, phi) / spread).alias("correlation"))
+    towards = F.when(F.col("correlation") > 0, "increases").otherwise("decreases")
+    return related.select(key, "correlation", towards.alias("direction"))
 
 
 def report_points(
