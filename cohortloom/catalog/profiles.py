@@ -414,10 +414,10 @@ def scored_orders(spark, sf):
     "scored_table",
     _SQL_COHORT
     + """ SELECT nct_id, CAST(month AS INTEGER) AS month, overall_status, lead_sponsor_name,
-      number_of_facilities, round(p, 6) AS p_completion, rank_nsclc, risk_bucket FROM s""",
+      number_of_facilities, p AS p_completion, rank_nsclc, risk_bucket FROM s""",
 )
 def scored_table(spark, sf):
-    return scored_orders(spark, sf).withColumn("p_completion", rounded("p_completion", 6))
+    return scored_orders(spark, sf)
 
 
 @query(
@@ -462,21 +462,19 @@ def chart_buckets(spark, sf):
     "chart_top",
     _SQL_COHORT
     + """ SELECT nct_id, left(lead_sponsor_name, 30) AS lead_sponsor_name, rank_nsclc,
-      round(p, 6) AS p_completion, risk_bucket FROM s WHERE rank_nsclc <= 25""",
+      p AS p_completion, risk_bucket FROM s WHERE rank_nsclc <= 25""",
 )
 def chart_top(spark, sf):
-    found = h.chart_data(scored_orders(spark, sf), "top")
-    return found.withColumn("p_completion", rounded("p_completion", 6))
+    return h.chart_data(scored_orders(spark, sf), "top")
 
 
 @query(
     "chart_facilities",
     _SQL_COHORT
-    + " SELECT number_of_facilities, round(p, 6) AS p_completion, risk_bucket FROM s",
+    + " SELECT number_of_facilities, p AS p_completion, risk_bucket FROM s",
 )
 def chart_facilities(spark, sf):
-    found = h.chart_data(scored_orders(spark, sf), "facilities")
-    return found.withColumn("p_completion", rounded("p_completion", 6))
+    return h.chart_data(scored_orders(spark, sf), "facilities")
 
 
 @query(

@@ -13,7 +13,7 @@ from cohortloom import fixed_values as fv
 from cohortloom.functions.text import keyword_match, shorten
 from cohortloom.operators import columns as c
 from cohortloom.operators import profile
-from cohortloom.operators.ranking import bucket_thresholds, rank_desc, risk_buckets, top_n
+from cohortloom.operators.ranking import rank_desc, ranked_thresholds, risk_buckets, top_n
 
 
 def is_ongoing(status: str = "overall_status") -> Column:
@@ -82,8 +82,9 @@ def scored_table(
 ) -> DataFrame:
     """Cohort columns with probability, rank and risk bucket, in rank order when written."""
     wanted = c.output_columns(df.columns, features, id_col, required, alternatives, extras)
-    thresholds = bucket_thresholds(df, score_col)
-    ranked = rank_desc(df.select(*dict.fromkeys([*wanted, score_col])), score_col, id_col, rank_col)
+    rows = df.select(*dict.fromkeys([*wanted, score_col]))
+    ranked = rank_desc(rows, score_col, id_col, rank_col, costly=True)
+    thresholds = ranked_thresholds(ranked, score_col, rank_col)
     return risk_buckets(ranked, score_col, thresholds).select(
         *wanted, *[x for x in (score_col, rank_col, "risk_bucket") if x not in wanted]
     )

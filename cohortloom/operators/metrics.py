@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortloom import fixed_values as fv
 
-SCORE_RANGES = 256
+MIN_SCORE_RANGES = 256
 
 
 def _ratio(numerator: Column, denominator: Column) -> Column:
@@ -51,10 +51,14 @@ def binary_metrics(
 def _score_ranges(df: DataFrame, score: str) -> list[float]:
     """Cut points that split the rows into ranges of about equal size.
 
-    A score shared by many rows gives one cut; it is a single row once counted.
+    A score shared by many rows gives one cut; it is a single row once counted. There
+    are at least two ranges per shuffle partition, so ranges stay as small as those.
     """
-    grid = [i / SCORE_RANGES for i in range(1, SCORE_RANGES)]
-    cuts = df.agg(F.percentile_approx(F.col(score).cast("double"), grid, 2_000)).first()[0] or []
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(MIN_SCORE_RANGES, 2 * partitions)
+    grid = [i / ranges for i in range(1, ranges)]
+    sketch = F.percentile_approx(F.col(score).cast("double"), grid, 8 * ranges)
+    cuts = df.agg(sketch).first()[0] or []
     return [float("-inf"), *sorted(set(cuts)), float("inf")]
 
 

@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 SKETCH_ACCURACY = 2_000
 SKETCH_STEPS = 256
 LISTED_VALUES = 200_000
+# deviations around the expected place of a rank among evenly spread values
+UNIFORM_MARGIN = 8
+UNIFORM_ROUNDS = 3
 
 
 @dataclass
@@ -53,15 +56,18 @@ def order_statistics(
     ranks: dict[int, Sequence[int]],
     counts: dict[int, int],
     listed: int = LISTED_VALUES,
+    uniform: tuple[int, int] | None = None,
 ) -> dict[tuple[int, int], Statistic]:
     """Exact values at zero-based ``ranks`` of every key.
 
     ``values`` has columns ``key`` (a small integer naming a column or class) and
     ``value`` (a non-null number, exact as a double); ``counts`` holds the number of
-    values of each key.
+    values of each key. Integers known to be spread evenly over the open interval
+    ``uniform`` need no sketch pass: where a rank lies is computed, then verified.
     """
+    low, high = uniform or (-math.inf, math.inf)
     searches = [
-        _Search(key, rank, -math.inf, math.inf, 0, counts[key])
+        _Search(key, rank, low, high, 0, counts[key])
         for key, wanted in ranks.items()
         for rank in sorted(set(wanted))
     ]
@@ -69,8 +75,11 @@ def order_statistics(
         if not 0 <= search.rank < search.inside:
             raise ValueError(f"rank {search.rank} is outside 0..{search.inside - 1}")
     numbers = values.select(F.col("key"), F.col("value").cast("double").alias("value"))
+    rounds = 0
     while wide := [s for s in searches if s.found is None and s.inside > listed]:
-        _narrow(numbers, wide)
+        spread_evenly = uniform and rounds < UNIFORM_ROUNDS
+        _narrow(numbers, wide, _expected(wide) if spread_evenly else _sketched(numbers, wide))
+        rounds += 1
     if unfinished := [s for s in searches if s.found is None]:
         _list_and_pick(numbers, unfinished)
     return {(s.key, s.rank): s.found for s in searches}
@@ -90,8 +99,20 @@ def _interval_table(searches: list[_Search]) -> tuple[pd.DataFrame, dict[tuple,
     return pd.DataFrame(rows, columns=["key", "low", "high", "interval"]), numbered
 
 
-def _narrow(values: DataFrame, searches: list[_Search]) -> None:
-    """One sketch pass and one counting pass for all open searches."""
+def _expected(searches: list[_Search]) -> list[tuple[float, float]]:
+    """Where each rank lies if the integers of its interval are spread evenly."""
+    bounds = []
+    for s in searches:
+        fraction = (s.rank - s.below + 0.5) / s.inside
+        margin = UNIFORM_MARGIN * math.sqrt(max(fraction * (1 - fraction), 1 / s.inside) / s.inside)
+        a = math.floor(s.low + (fraction - margin) * (s.high - s.low))
+        b = math.ceil(s.low + (fraction + margin) * (s.high - s.low))
+        bounds.append((float(max(a, s.low)), float(min(b, s.high))))
+    return bounds
+
+
+def _sketched(values: DataFrame, searches: list[_Search]) -> list[tuple[float, float]]:
+    """Where each rank lies according to a quantile sketch of its interval."""
     table, numbered = _interval_table(searches)
     grid = [i / SKETCH_STEPS for i in range(SKETCH_STEPS + 1)]
     sketches = {
@@ -101,13 +122,20 @@ def _narrow(values: DataFrame, searches: list[_Search]) -> None:
         .agg(F.percentile_approx("value", grid, SKETCH_ACCURACY).alias("grid"))
         .collect()
     }
-    proposals = []
-    for i, s in enumerate(searches):
+    bounds = []
+    for s in searches:
         at = (s.rank - s.below) / s.inside * SKETCH_STEPS
         steps = sketches[numbered[s.interval]]
-        a = steps[max(0, math.floor(at) - 1)]
-        b = steps[min(SKETCH_STEPS, math.ceil(at) + 1)]
-        proposals.append((s.key, s.low, s.high, i, a, b))
+        a, b = max(0, math.floor(at) - 1), min(SKETCH_STEPS, math.ceil(at) + 1)
+        bounds.append((steps[a], steps[b]))
+    return bounds
+
+
+def _narrow(
+    values: DataFrame, searches: list[_Search], bounds: list[tuple[float, float]]
+) -> None:
+    """One counting pass: how many values lie below, at, between and at the proposed bounds."""
+    proposals = [(*s.interval, i, a, b) for i, (s, (a, b)) in enumerate(zip(searches, bounds))]
     columns = ["key", "low", "high", "search", "a", "b"]
     v, a, b = F.col("value"), F.col("a"), F.col("b")
     tallies = (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,22 +13,28 @@ from cohortloom.operators.quantiles import quantiles
 from cohortloom.session import cut_lineage
 
 
-def with_row_number(df: DataFrame, order: Sequence[Column], out: str = "row") -> DataFrame:
+def with_row_number(
+    df: DataFrame, order: Sequence[Column], out: str = "row", costly: bool = False
+) -> DataFrame:
     """1-based position in a total order, without gathering the rows in one task.
 
     Rows are range-partitioned and sorted on the full order (so equal leading keys
     spread over tasks as long as the last key tells rows apart), stamped with their
     partition and place in it, and stored; the stored stamps make the partition
     sizes and the rows agree even when tasks are rerun. Only the sizes, one row
-    per partition, are summed up and broadcast.
+    per partition, are summed up and broadcast. Range bounds take a sampling pass over
+    the input; a ``costly`` input is kept until the rows are stored, so it runs once.
     """
     place = F.monotonically_increasing_id()
+    source = df.persist() if costly else df
     stamped = cut_lineage(
-        df.repartitionByRange(*order)
+        source.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_range", F.shiftright(place, 33))
         .withColumn("_place", place.bitwiseAND(F.lit((1 << 33) - 1)))
     )
+    if costly:
+        source.unpersist()
     sizes = stamped.groupBy("_range").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
@@ -38,9 +45,11 @@ def with_row_number(df: DataFrame, order: Sequence[Column], out: str = "row") ->
     )
 
 
-def rank_desc(df: DataFrame, score: str, id_col: str, out: str = "rank") -> DataFrame:
+def rank_desc(
+    df: DataFrame, score: str, id_col: str, out: str = "rank", costly: bool = False
+) -> DataFrame:
     """Unique rank, 1 for the highest score; equal scores by id."""
-    return with_row_number(df, [F.col(score).desc(), F.col(id_col).asc()], out)
+    return with_row_number(df, [F.col(score).desc(), F.col(id_col).asc()], out, costly)
 
 
 def bucket_thresholds(
@@ -54,6 +63,27 @@ def bucket_thresholds(
     return found[low], found[high]
 
 
+def ranked_thresholds(
+    ranked: DataFrame,
+    score: str,
+    rank: str,
+    low: float = fv.LOW_RISK_PERCENTILE,
+    high: float = fv.HIGH_RISK_PERCENTILE,
+) -> tuple[float, float]:
+    """The same percentiles of rows that have a rank already: a look at four ranks."""
+    rows = ranked.agg(F.max(rank)).first()[0]
+    spots = [(rows - 1) * q for q in (low, high)]
+    places = {rows - p for at in spots for p in (math.floor(at), math.ceil(at))}
+    found = {
+        r[rank]: r[score] for r in ranked.filter(F.col(rank).isin(*places)).select(rank, score).collect()
+    }
+    thresholds = []
+    for at in spots:
+        lower, upper = found[rows - math.floor(at)], found[rows - math.ceil(at)]
+        thresholds.append(lower + (upper - lower) * (at - math.floor(at)))
+    return thresholds[0], thresholds[1]
+
+
 def risk_buckets(
     df: DataFrame, score: str, thresholds: tuple[float, float] | None = None, out: str = "risk_bucket"
 ) -> DataFrame:

@@ -19,6 +19,8 @@ from cohortloom.operators.quantiles import order_statistics
 from cohortloom.operators.ranking import with_row_number
 
 MAX_CLASSES = 1_000
+# --- fixed value: draws are the first 13 hex digits of an MD5, so below 2 ** 52
+DRAW_LIMIT = 1 << 52
 
 
 def draw(id_col: Column, seed: int) -> Column:
@@ -54,7 +56,8 @@ def assign_parts(
     Parts are filled in draw order, ties by id. Rows of a class that is not in
     ``sizes`` get a null part. Without ``label`` all rows form one class.
     """
-    number = draw(F.col(id_col), seed)
+    drawn = df.withColumn("_draw", draw(F.col(id_col), seed))
+    number = F.col("_draw")
     class_no = F.lit(None).cast("int") if label else F.lit(0)
     for i, name in enumerate(sizes if label else ()):
         class_no = F.when(F.col(label) == F.lit(name), i).otherwise(class_no)
@@ -64,10 +67,11 @@ def assign_parts(
         cuts[i] = [sum(parts[: j + 1]) for j in range(len(parts) - 1)]
     inner = {i: [c for c in cs if 0 < c < totals[i]] for i, cs in cuts.items()}
     ranks = {i: cs for i, cs in inner.items() if cs}
-    draws = df.select(class_no.alias("key"), number.alias("value"), F.col(id_col).alias("id"))
+    draws = drawn.select(class_no.alias("key"), number.alias("value"), F.col(id_col).alias("id"))
     stats = {}
     if ranks:
-        stats = order_statistics(draws.filter(F.col("key").isNotNull()), ranks, totals)
+        classed = draws.filter(F.col("key").isNotNull())
+        stats = order_statistics(classed, ranks, totals, uniform=(-1, DRAW_LIMIT))
 
     def passed(i: int, cut: int) -> Column:
         """1 where the row comes after the first ``cut`` rows of class ``i``."""
@@ -90,7 +94,7 @@ def assign_parts(
         for cut in cuts[i]:
             steps = steps + passed(i, cut)
         part = F.when(class_no == i, steps).otherwise(part)
-    return df.withColumn(out, part.cast("int"))
+    return drawn.withColumn(out, part.cast("int")).drop("_draw")
 
 
 def proportional_sizes(counts: dict[object, int], total: int) -> dict[object, int]:

@@ -19,6 +19,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -152,19 +153,16 @@ def reduction_report(df: DataFrame, array_col: str, reduction: VectorReduction)
 
 
 def standardise_vectors(df: DataFrame, array_col: str, out: str = "scaled") -> DataFrame:
-    """Element-wise (x - mean) / population deviation over all valid vectors.
-
-    Element statistics are one aggregate over (position, value) pairs, combined
-    map-side to one row per position.
-    """
-    stats = (
-        df.select(F.posexplode(array_col).alias("pos", "x"))
-        .groupBy("pos")
-        .agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("deviation"))
-        .orderBy("pos")
-        .collect()
-    )
-    means = F.array(*[F.lit(float(r["mean"])) for r in stats])
-    divisors = F.array(*[F.lit(float(r["deviation"]) or 1.0) for r in stats])
+    """Element-wise (x - mean) / population deviation over all vectors; constants divide by 1."""
+    vector = array_to_vector(F.col(array_col).cast("array<double>"))
+    found = df.filter(F.col(array_col).isNotNull()).agg(
+        Summarizer.mean(vector).alias("mean"),
+        Summarizer.std(vector).alias("std"),
+        F.count("*").alias("rows"),
+    ).first()
+    # the summarizer divides by rows - 1
+    factor = np.sqrt((found["rows"] - 1) / found["rows"])
+    means = F.array(*[F.lit(float(m)) for m in found["mean"].toArray()])
+    divisors = F.array(*[F.lit(float(d) or 1.0) for d in found["std"].toArray() * factor])
     centred = F.zip_with(F.col(array_col).cast("array<double>"), means, lambda x, m: x - m)
     return df.withColumn(out, F.zip_with(centred, divisors, lambda x, d: x / d))

@@ -70,3 +70,21 @@ def test_modes(spark):
     rows = [("b", 1, None), ("b", 2, None), ("a", 2, None), ("a", 1, None), (None, 3, None)]
     df = spark.createDataFrame(rows, "s string, i int, n string")
     assert modes(df, ["s", "i", "n"]) == {"s": "a", "i": "1"}
+
+
+@pytest.mark.parametrize("kind", ["even", "skewed", "few"])
+def test_even_spread_is_only_a_guess(spark, kind):
+    rng = np.random.default_rng(2)
+    values = {
+        "even": rng.integers(0, 1 << 52, 5000),
+        "skewed": (rng.random(5000) ** 9 * (1 << 52)).astype("int64"),
+        "few": rng.integers(0, 4, 5000),
+    }[kind].astype(float)
+    long = frame(spark, values, "value").selectExpr("0 AS key", "value")
+    ranks = [0, 999, 2500, 4999]
+    found = order_statistics(long, {0: ranks}, {0: 5000}, listed=50, uniform=(-1, 1 << 52))
+    ordered = np.sort(values)
+    for rank in ranks:
+        stat = found[(0, rank)]
+        assert stat.value == ordered[rank]
+        assert stat.below == (values < stat.value).sum() and stat.equal == (values == stat.value).sum()

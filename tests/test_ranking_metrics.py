@@ -119,3 +119,11 @@ def test_ongoing_check_fails_on_a_label(spark):
     assert p.check_no_ongoing(df).first().asDict() == {
         "ongoing": 2, "ongoing_labelled": 1, "passed": False,
     }
+
+
+def test_thresholds_from_ranks(spark, scores):
+    df = spark.createDataFrame(scores)
+    ranked = r.rank_desc(df, "score", "id", costly=True)
+    assert r.ranked_thresholds(ranked, "score", "rank") == pytest.approx(r.bucket_thresholds(df, "score"))
+    one = r.rank_desc(df.limit(1), "score", "id")
+    assert len(set(r.ranked_thresholds(one, "score", "rank"))) == 1
