@@ -365,6 +365,7 @@ def status_orders(spark, sf):
         F.concat(F.lit("Order "), "o_orderpriority").alias("condition_text"),
         F.concat(F.lit("A sponsor with a long name, number "), "o_custkey").alias("lead_sponsor_name"),
         F.col("o_custkey").alias("number_of_facilities"),
+        F.col("o_orderkey").alias("enrollment_planned_num"),
         (F.col("o_totalprice") / 500000).alias("p_completion"),
         (F.col("o_totalprice") / 1000).alias("pca_emb_0"),
         F.month("o_orderdate").alias("month"),
@@ -414,7 +415,8 @@ def scored_orders(spark, sf):
     "scored_table",
     _SQL_COHORT
     + """ SELECT nct_id, CAST(month AS INTEGER) AS month, overall_status, lead_sponsor_name,
-      number_of_facilities, p AS p_completion, rank_nsclc, risk_bucket FROM s""",
+      nct_id AS enrollment_planned_num, number_of_facilities, p AS p_completion, rank_nsclc,
+      risk_bucket FROM s""",
 )
 def scored_table(spark, sf):
     return scored_orders(spark, sf)
@@ -477,6 +479,15 @@ def chart_facilities(spark, sf):
     return h.chart_data(scored_orders(spark, sf), "facilities")
 
 
+@query(
+    "chart_enrollment",
+    _SQL_COHORT
+    + " SELECT nct_id AS enrollment_planned_num, p AS p_completion, risk_bucket FROM s",
+)
+def chart_enrollment(spark, sf):
+    return h.chart_data(scored_orders(spark, sf), "enrollment")
+
+
 @query(
     "rank_counts_by_month",
     _SQL_COHORT

@@ -62,6 +62,57 @@ def joined_all(*parts: Column) -> Column:
     return F.array_join(F.array(*parts), " ", "")
 
 
+def escape_pattern(keywords: Sequence[str]) -> str:
+    r"""Pattern of the rare texts in which a ``\uXXXX`` escape can complete a keyword.
+
+    A keyword may begin with the last hex digits of an escape ("pharma\u00adceutical"
+    holds "adc") or, if it is all hex digits, lie inside one. The pattern looks at the
+    raw text: a character with such a code, followed by the rest of the keyword.
+    """
+
+    plane = [n for n in range(0x7F, 0x10000) if not 0xD800 <= n < 0xE000]
+
+    def one_of(test) -> str:
+        codes = "".join(f"\\u{n:04x}" for n in plane if test(f"{n:04x}"))
+        return f"[{codes}]"
+
+    # the cheap literal comes first; the character before it is only checked after a hit
+    endings, after_pairs = set(), set()
+    for keyword in (k.lower() for k in keywords):
+        digits = len(re.match("[0-9a-f]*", keyword).group(0))
+        for n in range(1, min(digits, 4) + 1):
+            head, rest = keyword[:n], re.escape(keyword[n:])
+            after_pairs.add(rest)
+            if n == 1:
+                endings.add(rest)
+            elif rest:
+                before = one_of(lambda code, head=head: code.endswith(head))
+                endings.add(f"{rest}(?<={before}{rest})")
+            else:
+                endings.add(f"(?<={one_of(lambda code, head=head: head in code)})")
+    if not endings:
+        return "(?!)"
+    single, paired = ("|".join(sorted(x, key=len)) for x in (endings, after_pairs))
+    return rf"[^\x00-\x7E](?i:{single})|[\x{{10000}}-\x{{10FFFF}}](?i:{paired})"
+
+
+def ascii_escaped(text: Column) -> Column:
+    r"""Characters beyond ASCII as ``\uXXXX`` in lower-case hex, pairs beyond the basic plane."""
+
+    def unit(number: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(number)), 4, "0"))
+
+    def escaped(character: Column) -> Column:
+        number = F.ascii(character)
+        above = number - 0x10000
+        pair = F.concat(
+            unit(F.shiftright(above, 10) + 0xD800), unit(above.bitwiseAND(F.lit(0x3FF)) + 0xDC00)
+        )
+        return F.when(number < 127, character).when(number < 0x10000, unit(number)).otherwise(pair)
+
+    return F.array_join(F.transform(F.split(text, ""), escaped), "")
+
+
 def display_name(name: Column) -> Column:
     """Underscores to spaces, then every run of letters in title case."""
     spaced = F.replace(name, F.lit("_"), F.lit(" "))

@@ -49,7 +49,7 @@ def tree_attribution(
     """
     paths, base = leaf_paths(model)
     size = model.numFeatures
-    shipped = df.sparkSession.sparkContext.broadcast(paths)
+    shipped = df.sparkSession.sparkContext.broadcast([tuple(p) for p in paths])
     keep = [c for c in df.columns if c != features]
     schema = StructType(df.select(*keep).schema.fields)
     schema = schema.add(out, ArrayType(DoubleType())).add("base", DoubleType())

@@ -60,16 +60,24 @@ def add_disease_flags(
     return with_general.withColumn(catch_all, flag(_flag_sum(counted) == 0))
 
 
-def intervention_haystack(text_col: str = "intervention_text", nested: str = "interventions") -> Column:
-    """Intervention names followed by the interventions as JSON text."""
+def intervention_haystack(
+    keywords: Sequence[str], text_col: str = "intervention_text", nested: str = "interventions"
+) -> Column:
+    """Intervention names followed by the interventions as JSON text.
+
+    In the JSON, characters beyond ASCII count as escapes; they are only written out
+    in the rare texts where that can decide about a keyword.
+    """
     as_json = F.to_json(F.col(nested), {"ignoreNullFields": "false"})
-    return t.joined_all(F.col(text_col), as_json)
+    matters = as_json.rlike(t.escape_pattern(keywords))
+    return t.joined_all(F.col(text_col), F.when(matters, t.ascii_escaped(as_json)).otherwise(as_json))
 
 
 def add_intervention_flags(
     df: DataFrame, keyword_map: Mapping[str, Sequence[str]] = fv.INTERVENTION_KEYWORDS
 ) -> DataFrame:
-    return add_keyword_flags(df, intervention_haystack(), keyword_map)
+    keywords = [k for words in keyword_map.values() for k in words]
+    return add_keyword_flags(df, intervention_haystack(keywords), keyword_map)
 
 
 def add_text_metrics(

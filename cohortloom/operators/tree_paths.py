@@ -10,14 +10,13 @@ size, which are built up feature by feature and are vectorised over rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from math import factorial
+from typing import NamedTuple
 
 import numpy as np
 
 
-@dataclass
-class LeafPath:
+class LeafPath(NamedTuple):
     """One leaf: its value and, per feature on the way, the open-closed range and share."""
 
     value: float
@@ -64,15 +63,15 @@ def leaf_paths(model) -> tuple[list[LeafPath], float]:
     return paths, base
 
 
-def path_contributions(paths: list[LeafPath], rows: np.ndarray, size: int) -> np.ndarray:
-    """Contribution of each feature for each row, summed over all leaves."""
+def path_contributions(paths: list[tuple], rows: np.ndarray, size: int) -> np.ndarray:
+    """Contribution of each feature for each row, summed over all leaves (as plain tuples)."""
     phi = np.zeros((len(rows), size))
-    for path in paths:
-        m = len(path.features)
+    for value, features, low, high, share in paths:
+        m = len(features)
         if m == 0:
             continue
-        x = rows[:, path.features]
-        hit = ((x > path.low) & (x <= path.high)).astype(float)
+        x = rows[:, features]
+        hit = ((x > low) & (x <= high)).astype(float)
         weight = [factorial(s) * factorial(m - 1 - s) / factorial(m) for s in range(m)]
         for j in range(m):
             # sums over subsets of the other features, by subset size
@@ -81,8 +80,8 @@ def path_contributions(paths: list[LeafPath], rows: np.ndarray, size: int) -> np
             for i in range(m):
                 if i == j:
                     continue
-                grown = sums * path.share[i]
+                grown = sums * share[i]
                 grown[:, 1:] += sums[:, :-1] * hit[:, [i]]
                 sums = grown
-            phi[:, path.features[j]] += path.value * (hit[:, j] - path.share[j]) * (sums @ weight)
+            phi[:, features[j]] += value * (hit[:, j] - share[j]) * (sums @ weight)
     return phi

@@ -1,5 +1,6 @@
 """Text expressions on awkward strings, against plain Python."""
 
+import json
 import re
 
 import pytest
@@ -89,10 +90,36 @@ def test_table_without_the_text_column(spark):
 
 def test_intervention_haystack_holds_json_escapes(spark):
     schema = "intervention_text string, interventions array<struct<name:string,type:string,description:string>>"
-    rows = [("Drug", [("Drug", "DRUG", "a\tki trial")]), ("Pembrolizumab", None), (None, None)]
+    rows = [
+        ("Drug", [("Drug", "DRUG", "a\tki trial")]),
+        ("Pembrolizumab", None),
+        (None, None),
+        # a soft hyphen before c is written as an escape that ends in "ad"
+        ("Drug", [("Drug", "DRUG", "pharma\u00adceutical")]),
+    ]
     found = flags.add_intervention_flags(spark.createDataFrame(rows, schema)).collect()
-    assert [r["is_tki"] for r in found] == [1, 0, 0]
-    assert [r["is_immunotherapy"] for r in found] == [0, 1, 0]
+    assert [r["is_tki"] for r in found] == [1, 0, 0, 0]
+    assert [r["is_immunotherapy"] for r in found] == [0, 1, 0, 0]
+    assert [r["is_adc"] for r in found] == [0, 0, 0, 1]
+
+
+def test_escapes_decide_like_ascii_json(spark):
+    parts = ["\u00ad", "ê", "ü", "Ê", "\uadc5", "\u1adc", "漢", "\U0001f0ad", "a", "c", "dc", "adc", "rt", "hemo"]
+    texts = [x + y + z for x in parts for y in parts for z in ("", "c", "rt", "hemotherapy")]
+    words = flags.fv.INTERVENTION_KEYWORDS
+    schema = "intervention_text string, interventions array<struct<name:string,type:string,description:string>>"
+    df = spark.createDataFrame([("", [(x, None, None)]) for x in texts], schema)
+    found = flags.add_intervention_flags(df).select("interventions", *words).collect()
+    for row in found:
+        haystack = json.dumps([{"name": row["interventions"][0]["name"]}]).lower()
+        for name, keywords in words.items():
+            assert row[name] == int(any(k in haystack for k in keywords)), (haystack, name)
+
+
+@pytest.mark.parametrize("text", ["plain", "é ê\u00adc 漢", "a\U0001f600b", "", "\u007f\u0080"])
+def test_ascii_escapes(spark, text):
+    found = spark.createDataFrame([(text,)], "s string").select(t.ascii_escaped(F.col("s"))).first()[0]
+    assert found == json.dumps(text)[1:-1]
 
 
 @pytest.mark.parametrize("name", ["has_us_sites", "pd1_therapy", "a1b_X", "é_ß", "x__y_", ""])
