@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 2_000
 SKETCH_STEPS = 256
-LISTED_VALUES = 200_000
+# values listed on the driver by one call, shared by its intervals (about 24 bytes each)
+LISTED_VALUES = 1_000_000
 # deviations around the expected place of a rank among evenly spread values
 UNIFORM_MARGIN = 8
 UNIFORM_ROUNDS = 3
@@ -75,8 +76,8 @@ def order_statistics(
         if not 0 <= search.rank < search.inside:
             raise ValueError(f"rank {search.rank} is outside 0..{search.inside - 1}")
     numbers = values.select(F.col("key"), F.col("value").cast("double").alias("value"))
-    rounds = 0
-    while wide := [s for s in searches if s.found is None and s.inside > listed]:
+    rounds, each = 0, max(1, listed // max(1, len(searches)))
+    while wide := [s for s in searches if s.found is None and s.inside > each]:
         spread_evenly = uniform and rounds < UNIFORM_ROUNDS
         _narrow(numbers, wide, _expected(wide) if spread_evenly else _sketched(numbers, wide))
         rounds += 1
@@ -178,7 +179,7 @@ def _place(s: _Search, stretches: list[tuple[int | None, float, float]]) -> None
 
 
 def _list_and_pick(values: DataFrame, searches: list[_Search]) -> None:
-    """List the few values left per search (at most ``listed`` each) and read off the ranks."""
+    """List the few values left per search (within the budget) and read off the ranks."""
     table, numbered = _interval_table(searches)
     counted = (
         _inside(values, table)
