@@ -10,13 +10,15 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from cohortloom import fixed_values as fv
 from cohortloom.functions.text import display_name
 from cohortloom.operators.ranking import with_rank
 from cohortloom.operators.tree_paths import leaf_paths, path_contributions
 
+# leaves shipped with one pass; a leaf takes about 100 bytes per level of its tree
+LEAVES_PER_PASS = 50_000
+
 
 def linear_attribution(
     df: DataFrame,
@@ -43,27 +45,37 @@ def tree_attribution(
     """Exact path-dependent tree attribution as an array column, plus ``base``.
 
     For boosted trees base + sum(phi) is the margin, for forests the probability of
-    class 1. The ensemble is flattened into leaf paths once, on the driver (its size
-    is that of the model, not of the data), and shipped with the task; rows stream
-    through in Arrow batches, vectorised over the batch.
+    class 1. The ensemble is flattened into leaf paths once (its size is that of the
+    model, not of the data) and shipped in parts of at most ``LEAVES_PER_PASS``
+    leaves; contributions are additive, so parts are added up. Rows stream through in
+    Arrow batches, vectorised over the batch.
     """
     paths, base = leaf_paths(model)
     size = model.numFeatures
-    shipped = df.sparkSession.sparkContext.broadcast([tuple(p) for p in paths])
     keep = [c for c in df.columns if c != features]
-    schema = StructType(df.select(*keep).schema.fields)
-    schema = schema.add(out, ArrayType(DoubleType())).add("base", DoubleType())
+    started = df.select(
+        *keep,
+        vector_to_array(features).alias("_x"),
+        F.array_repeat(F.lit(0.0), size).alias(out),
+    )
+    for start in range(0, len(paths), LEAVES_PER_PASS):
+        part = [tuple(p) for p in paths[start : start + LEAVES_PER_PASS]]
+        started = _add_contributions(started, part, size, out)
+    return started.select(*keep, out, F.lit(base).alias("base"))
+
+
+def _add_contributions(df: DataFrame, paths: list[tuple], size: int, out: str) -> DataFrame:
+    shipped = df.sparkSession.sparkContext.broadcast(paths)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            matrix = np.stack(batch["_x"].to_numpy()) if len(batch) else np.zeros((0, size))
-            phi = path_contributions(shipped.value, matrix, size)
-            result = batch.drop(columns="_x")
-            result[out] = list(phi)
-            result["base"] = base
-            yield result
-
-    return df.select(*keep, vector_to_array(features).alias("_x")).mapInPandas(explain, schema)
+            if len(batch):
+                rows = np.stack(batch["_x"].to_numpy())
+                added = path_contributions(shipped.value, rows, size)
+                batch[out] = list(np.stack(batch[out].to_numpy()) + added)
+            yield batch
+
+    return df.mapInPandas(explain, df.schema)
 
 
 def mean_abs(df: DataFrame, cols: Sequence[str], prefix: str = "") -> DataFrame:

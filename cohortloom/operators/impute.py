@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.operators.columns import numeric_columns
 from cohortloom.operators.quantiles import modes, quantiles
+from cohortloom.operators.ranking import with_row_number
 
 # --- fixed values: what counts as a number in text ---------------------------
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -62,24 +62,51 @@ def number_or_zero(text: Column) -> Column:
     return F.coalesce(number, F.lit(0.0))
 
 
+def fit_codes(df: DataFrame, cols: Sequence[str]) -> dict[str, DataFrame]:
+    """Category codes per column: a table of its distinct values with their sorted position.
+
+    The tables stay distributed, so a column may have any number of values.
+    """
+    tables = {}
+    for c in cols:
+        values = df.filter(F.col(c).isNotNull()).select(c).distinct()
+        numbered = with_row_number(values, [F.col(c).asc()], "_code")
+        tables[c] = numbered.select(c, (F.col("_code") - 1).alias("_code"))
+    return tables
+
+
+def apply_codes(df: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Columns replaced by their codes; unseen and null values share the next free code."""
+    names = df.columns
+    for c, table in tables.items():
+        free = table.agg(F.count("*")).first()[0]
+        coded = df.join(table, c, "left").withColumn(
+            c, F.coalesce(F.col("_code"), F.lit(free)).cast("double")
+        )
+        df = coded.select(*names)
+    return df
+
+
 def coerce_numeric(
-    df: DataFrame, cols: Sequence[str], categoricals: str = "zero", fitted: object | None = None
+    df: DataFrame,
+    cols: Sequence[str],
+    categoricals: str = "zero",
+    codes: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
     """All ``cols`` as doubles without nulls.
 
     Text that is a number becomes it, other text becomes 0 (``categoricals="zero"``)
-    or its position in the sorted values (``"index"``, fitted here or passed in).
-    Booleans become 0/1; nulls and NaN become 0.
+    or its position in the sorted values (``"index"``, fitted here or passed in as
+    ``codes``). Booleans become 0/1; nulls and NaN become 0.
     """
+    if categoricals == "index":
+        texts = [c for c, kind in df.dtypes if c in cols and kind == "string"]
+        df = apply_codes(df, codes or fit_codes(df, texts))
     kinds = dict(df.dtypes)
-    texts = [c for c in cols if kinds[c] == "string"]
-    if categoricals == "index" and texts:
-        model = fitted or fit_index(df, texts)
-        df = model.transform(df)
 
     def coerced(c: str) -> Column:
         if kinds[c] == "string":
-            value = F.col(f"{c}_index") if categoricals == "index" else number_or_zero(F.col(c))
+            value = number_or_zero(F.col(c))
         elif kinds[c] in ("double", "float"):
             value = F.nanvl(c, F.lit(0.0))
         else:
@@ -90,17 +117,6 @@ def coerce_numeric(
     return df.select(*others, *[coerced(c) for c in cols])
 
 
-def fit_index(df: DataFrame, cols: Sequence[str]):
-    """Category codes in alphabetical order; unseen and null values share the last code."""
-    indexer = StringIndexer(
-        inputCols=list(cols),
-        outputCols=[f"{c}_index" for c in cols],
-        stringOrderType="alphabetAsc",
-        handleInvalid="keep",
-    )
-    return indexer.fit(df)
-
-
 def fit_scale(df: DataFrame, cols: Sequence[str], how: str = "standard") -> dict[str, tuple[float, float]]:
     """(offset, divisor) per column from one aggregate; a constant column divides by 1."""
     if how == "standard":

@@ -293,12 +293,15 @@ def _derived(protocol: Column, derived: Column) -> dict[str, Column]:
     return fields
 
 
-def project_record(studies: DataFrame) -> DataFrame:
-    """Flat table of unwrapped studies: one typed column per field, lists kept native."""
+def project_record(studies: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Flat table of unwrapped studies: one typed column per field, lists kept native.
+
+    ``extra`` columns are passed through.
+    """
     protocol, derived = F.col("protocol"), F.col("derived")
     columns = {**_scalars(protocol), **_lists(protocol), **_derived(protocol, derived)}
     flat = studies.select(
-        "nct_id", "has_results", *[column.alias(name) for name, column in columns.items()]
+        *extra, "nct_id", "has_results", *[column.alias(name) for name, column in columns.items()]
     )
     return flat.select(
         "*",
@@ -316,6 +319,25 @@ def parse_records(
     return project_record(unwrap(kept, line, wrapped)), rejects
 
 
+def parse_all(lines: DataFrame, line: str = "value", wrapped: bool = True) -> DataFrame:
+    """Every line in one pass: the flat table with ``kept``, and for rejects reason and line.
+
+    Written partitioned by ``kept``, this stores table and rejects with a single read
+    of the lines; a rejected line is not parsed any further.
+    """
+    reason = reject_reason(F.col(line), wrapped=wrapped)
+    gated = lines.select(F.col(line).alias("_line_text"), reason.alias("reject_reason"))
+    kept = F.col("reject_reason").isNull()
+    split = gated.select(
+        F.when(kept, F.col("_line_text")).alias("_kept_line"),
+        F.when(~kept, F.col("_line_text")).alias("rejected_line"),
+        "reject_reason",
+    )
+    extra = ["rejected_line", "reject_reason"]
+    flat = project_record(unwrap(split, "_kept_line", wrapped), extra)
+    return flat.withColumn("kept", kept)
+
+
 def drop_unlabelled(df: DataFrame, label: str = fv.LABEL_COLUMN) -> DataFrame:
     return df.filter(F.col(label).isNotNull())
 

@@ -11,15 +11,20 @@ from cohortloom import fixed_values as fv
 from cohortloom.functions.nested import label_from_status
 from cohortloom.functions.text import joined_all
 from cohortloom.operators import columns, flags, vectors
-from cohortloom.operators.records import drop_unlabelled, parse_records
+from cohortloom.operators.records import drop_unlabelled, parse_all
 from cohortloom.sources.records import first_existing, read_lines
 from cohortloom.sources.tables import read_stage, write_stage
 
 
-def parse_stage(spark: SparkSession, full_path: str, search_path: str) -> tuple[DataFrame, DataFrame]:
-    """Flat table and rejects from the full file, or from the search file in its place."""
+def parse_stage(spark: SparkSession, full_path: str, search_path: str, out: str) -> tuple[str, str]:
+    """Parse the full file, or the search file in its place, into table and rejects.
+
+    Both are written by one pass over the lines; returns their paths.
+    """
     path = first_existing(spark, [full_path, search_path])
-    return parse_records(read_lines(spark, path), wrapped=path == full_path)
+    parsed = parse_all(read_lines(spark, path), wrapped=path == full_path)
+    write_stage(parsed, out, partition_by=["kept"])
+    return f"{out}/kept=true", f"{out}/kept=false"
 
 
 def feature_stage(parsed: DataFrame) -> DataFrame:
@@ -68,12 +73,11 @@ def build_dataset(
     make_encoder: Callable | None = None,
     size: int = 256,
 ) -> dict[str, str]:
-    """Run all stages; the parsed, embedded, reduced and final tables are stored."""
-    paths = {name: f"{out_dir}/{name}" for name in ("parsed", "rejects", "embedded", "reduced", "final")}
-    parsed, rejects = parse_stage(spark, full_path, search_path)
-    write_stage(parsed, paths["parsed"])
-    write_stage(rejects, paths["rejects"])
-    features = feature_stage(read_stage(spark, paths["parsed"]))
+    """Run all stages; returns the paths of parsed, rejects, embedded, reduced and final."""
+    paths = {name: f"{out_dir}/{name}" for name in ("embedded", "reduced", "final")}
+    parsed, rejects = parse_stage(spark, full_path, search_path, f"{out_dir}/records")
+    paths |= {"parsed": parsed, "rejects": rejects}
+    features = feature_stage(read_stage(spark, parsed).drop("rejected_line", "reject_reason"))
     write_stage(embedding_stage(features, make_encoder, size), paths["embedded"])
     reduced, reduction = reduction_stage(read_stage(spark, paths["embedded"]))
     write_stage(reduced, paths["reduced"])

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortloom.operators.records import encode_nested
 
 
-def write_stage(df: DataFrame, path: str) -> None:
+def write_stage(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Store a stage as Parquet; nested columns stay nested."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
 def read_stage(spark: SparkSession, path: str) -> DataFrame:

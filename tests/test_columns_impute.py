@@ -122,6 +122,9 @@ def test_coercion(spark):
     assert [tuple(r) for r in zero.collect()] == [("k", 0.0, 1.0, 0.0, 0.0), ("l", 0.0, 0.0, 2.0, 3.0)]
     index = i.coerce_numeric(df, ["s"], categoricals="index")
     assert {r["id"]: r["s"] for r in index.collect()} == {"k": 1.0, "l": 0.0}
+    other = spark.createDataFrame([("m", "b"), ("n", None), ("o", "zz")], "id string, s string")
+    coded = i.coerce_numeric(other, ["s"], categoricals="index", codes=i.fit_codes(df, ["s"]))
+    assert {r["id"]: r["s"] for r in coded.collect()} == {"m": 1.0, "n": 2.0, "o": 2.0}
 
 
 @pytest.mark.parametrize("how", ["standard", "minmax"])

@@ -114,7 +114,9 @@ def test_tree_attribution_is_the_shapley_value(spark, family):
 
 
 @pytest.mark.parametrize("family, column", [("boosted", "rawPrediction"), ("forest", "probability")])
-def test_tree_attribution_adds_up(spark, family, column):
+@pytest.mark.parametrize("leaves", [5, 50_000])
+def test_tree_attribution_adds_up(spark, monkeypatch, family, column, leaves):
+    monkeypatch.setattr(a, "LEAVES_PER_PASS", leaves)
     _, df, model = _fitted(spark, family)
     scores = {r["id"]: r[column][1] for r in model.transform(df).collect()}
     for row in a.tree_attribution(df, model).collect():
