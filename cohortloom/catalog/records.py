@@ -11,7 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.catalog.registry import as_long, query, table
-from cohortloom.operators.records import drop_unlabelled, filter_records, parse_records
+from cohortloom.operators.records import (
+    drop_unlabelled,
+    filter_records,
+    parse_all,
+    parse_records,
+)
 from cohortloom.session import ensure_checkpoint_dir
 from cohortloom.sources.records import first_existing, read_lines
 from cohortloom.sources.tables import read_stage, write_results, write_stage
@@ -306,16 +311,13 @@ def record_label_counts(spark, sf):
     return labelled.groupBy("label_feasible").agg(F.count("*").alias("n"))
 
 
-@query(
-    "lines_from_files",
-    f"""
+_SQL_OUTCOMES = f"""
     SELECT coalesce({_SQL_REASON}, 'kept') AS outcome, count(*) AS n,
-      CAST(sum(length(text)) AS BIGINT) AS chars
-    FROM documents GROUP BY 1""".replace(
-        "CAST(sum(length(text)) AS BIGINT)",
-        f"CAST(sum(CASE WHEN {_SQL_REASON} IS NULL THEN length(text) ELSE 0 END) AS BIGINT)",
-    ),
-)
+      CAST(sum(CASE WHEN {_SQL_REASON} IS NULL THEN length(text) ELSE 0 END) AS BIGINT) AS chars
+    FROM documents GROUP BY 1"""
+
+
+@query("lines_from_files", _SQL_OUTCOMES)
 def lines_from_files(spark, sf):
     """Line files found by preference order, read and parsed; whole texts arrive."""
     path = record_files(spark, sf)
@@ -330,6 +332,20 @@ def lines_from_files(spark, sf):
     )
 
 
+@query("records_in_one_pass", _SQL_OUTCOMES)
+def records_in_one_pass(spark, sf):
+    """Table and rejects written together, read back by partition."""
+    path = _scratch(spark, "records")
+    lines = read_lines(spark, record_files(spark, sf))
+    write_stage(parse_all(lines), path, partition_by=["kept"])
+    stored = read_stage(spark, path)
+    outcome = F.coalesce("reject_reason", F.lit("kept"))
+    chars = F.coalesce(F.length("eligibility_criteria_text"), F.lit(0))
+    return stored.groupBy(outcome.alias("outcome")).agg(
+        F.count("*").alias("n"), as_long(F.sum(chars)).alias("chars")
+    )
+
+
 @query(
     "stage_round_trip",
     _SQL_KEPT + " SELECT nct_id, source || ',' || lang AS secondary_ids FROM k",
