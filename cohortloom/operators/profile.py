@@ -65,7 +65,8 @@ def histogram(df: DataFrame, column: str, bins: int = fv.HISTOGRAM_BINS) -> Data
         # a single value sits in a unit-wide range around it
         low, high = low - 0.5, high + 0.5
     width = (high - low) / bins
-    number = F.least(F.width_bucket(F.col(column).cast("double"), F.lit(low), F.lit(high), F.lit(bins)), F.lit(bins))
+    place = F.width_bucket(F.col(column).cast("double"), F.lit(low), F.lit(high), F.lit(bins))
+    number = F.least(place, F.lit(bins))
     counted = values.groupBy(number.cast("int").alias("bin")).agg(F.count("*").alias("n"))
     every = df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
     edge = F.lit(low) + (F.col("bin") - 1) * F.lit(width)

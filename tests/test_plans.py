@@ -115,7 +115,8 @@ def test_cohort_scoring(spark, built, trained, scratch):
 
 def test_audit(spark, built, trained):
     data, cols = experiments.model_view(read_stage(spark, built["final"]), "tabular")
-    model = tr.refit(data, cols, tr.Config("boosted", params={"maxIter": 3, "maxDepth": 2}), "nct_id", "label_feasible")
+    config = tr.Config("boosted", params={"maxIter": 3, "maxDepth": 2})
+    model = tr.refit(data, cols, config, "nct_id", "label_feasible")
     tables = audit.audit_model(data, model, cols)
     assert tables["raw"].count() <= 20 and tables["leakage"].filter("found").count() == 0
     assert {r["direction"] for r in tables["direction"].collect()} <= {"increases", "decreases"}
