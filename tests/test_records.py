@@ -250,12 +250,12 @@ def test_column_count_and_flat_encoding(spark):
     assert flat.first()["condition_list"] == '["NSCLC","Other"]'
 
 
-def test_files_in_order_of_preference(spark, scratch):
-    path = f"{scratch}/search.jsonl"
+def test_files_in_order_of_preference(spark, tmp_path):
+    path = f"{tmp_path}/search.jsonl"
     with open(path, "w", encoding="utf-8") as out:
         out.write(json.dumps(study()) + "\n" + json.dumps(copy.deepcopy(study()))[:20] + "\n")
-    assert first_existing(spark, [f"{scratch}/full.jsonl", path]) == path
+    assert first_existing(spark, [f"{tmp_path}/full.jsonl", path]) == path
     with pytest.raises(FileNotFoundError):
-        first_existing(spark, [f"{scratch}/none"])
+        first_existing(spark, [f"{tmp_path}/none"])
     kept, rejects = filter_records(read_lines(spark, path))
     assert kept.count() == 1 and rejects.count() == 1
