@@ -12,9 +12,11 @@ Null texts are empty texts: one piece with the end id. Repeated rows are packed
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,34 +30,66 @@ CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
 BATCH_BYTES = 4_000_000
-#: Spaces next to other white space would be cut differently word by word.
-TIED_SPACE = re.compile(r" \s|\s |\s\s")
+#: White space other than single spaces and line ends: such texts are encoded whole.
+ODD_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    map(chr, range(0x2000, 0x200B))
+)
+TIED_SPACE = ("  ", "\n\n", " \n", "\n ")
+#: Latin letters, then marks: two groups of their own in this kind of vocabulary.
+GROUPS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*,.|?;:]*)")
+
+
+def merge_ranks(path: str) -> tuple[dict[bytes, int], list[str]]:
+    """Byte strings with their ids, and the special strings, of a byte-level BPE file.
+
+    The ids serve as merge ranks; that they follow the merges is checked.
+    """
+    with open(path, encoding="utf-8") as file:
+        content = json.load(file)
+    vocab, merges = content["model"]["vocab"], content["model"]["merges"]
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+    special = [t["content"] for t in content["added_tokens"]]
+    ranks = {bytes(byte_of[c] for c in piece): i for piece, i in vocab.items() if piece not in special}
+    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
+    if made != sorted(made) or (made and made[0] < 256):
+        raise ValueError("ids do not follow the merges")
+    return ranks, special
 
 
 def token_bytes(path: str):
     """Function from a text to its ids as little-endian 32-bit numbers.
 
     Words between single spaces and lines are encoded apart from each other, which this kind of
-    vocabulary does itself; words seen before are remembered. Texts with tied white space or with
-    special strings are encoded whole.
+    vocabulary does itself; words seen before are remembered. Groups of Latin letters and of marks
+    are merged directly with the file's ranks. Everything else, and texts with other white space or
+    special strings, goes through the file's own tokenizer.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import tiktoken
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    ranks, special = merge_ranks(path)
+    core = tiktoken.Encoding("file", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
 
     def whole(text: str) -> bytes:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def group(data: bytes) -> bytes:
+        return array("I", core.encode_single_piece(data)).tobytes()
 
     def word(text: str) -> bytes:
-        # a closing mark after a letter or digit is a token group of its own
-        if len(text) > 2 and text[-1] in ",." and text[-2].isalnum():
-            return spaced[text[:-1]] + first[text[-1]]
-        return whole(" " + text)
+        found = GROUPS.fullmatch(text)
+        if not found:
+            return whole(" " + text)
+        letters, marks = found.groups()
+        return spaced[letters] + marked[marks] if marks else group(b" " + letters.encode())
 
     first = Recent(whole)
     spaced = Recent(word)
+    marked = Recent(lambda marks: group(marks.encode()))
     newline = whole("\n")
 
     def line(text: str) -> bytes:
@@ -65,9 +99,12 @@ def token_bytes(path: str):
     def encode(text: str) -> bytes:
         if not text:
             return b""
-        if TIED_SPACE.search(text) or text[0].isspace() or text[-1].isspace() or any(s in text for s in special):
-            return whole(text)
-        return newline.join(map(line, text.split("\n")))
+        plain = (
+            text[0] not in " \n" and text[-1] not in " \n"
+            and not any(s in text for s in TIED_SPACE) and not any(c in text for c in ODD_SPACE)
+            and not any(s in text for s in special)
+        )
+        return newline.join(map(line, text.split("\n"))) if plain else whole(text)
 
     return encode
 
