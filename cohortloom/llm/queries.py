@@ -1,6 +1,30 @@
 """All queries of this subpackage; importing it registers them."""
 
-from cohortloom.llm import packing, token_counts
+from cohortloom.llm import (
+    decontamination,
+    license_scan,
+    near_duplicates,
+    neighbours,
+    packing,
+    quality,
+    secret_scan,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+)
 from cohortloom.llm.common import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "packing", "token_counts"]
+__all__ = [
+    "ORACLES",
+    "QUERIES",
+    "decontamination",
+    "license_scan",
+    "near_duplicates",
+    "neighbours",
+    "packing",
+    "quality",
+    "secret_scan",
+    "suffix_dedup",
+    "token_counts",
+    "toxicity",
+]

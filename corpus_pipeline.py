@@ -4,7 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import packing
+from cohortloom.llm import decontamination, near_duplicates, packing, quality, secret_scan
+
+
+def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies and near copies."""
+    return near_duplicates.keep_one_of_each(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark window occurs."""
+    return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked."""
+    return secret_scan.mask_secrets(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,7 +34,13 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, public_tokenizers.path(packing.TOKENIZER))
 
 
-STAGES = [("best_fit_packing", pack_sequences)]
+STAGES = [
+    ("quality_classifier", keep_good_quality),
+    ("ngram_jaccard_join", keep_one_of_each),
+    ("benchmark_decontamination", drop_benchmark_leaks),
+    ("secret_scans", mask_secrets),
+    ("best_fit_packing", pack_sequences),
+]
 
 #: The tokenizer's ids and the trained classifier have no SQL form.
 ORACLE_SQL = None
