@@ -148,14 +148,14 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Intercept and weights by Newton steps."""
+def logistic(features: np.ndarray, labels: np.ndarray, weight: np.ndarray | float = 1.0, ridge: float = 1e-2) -> np.ndarray:
+    """Intercept and weights by Newton steps, each row with its ``weight``."""
     x = np.column_stack([np.ones(len(features)), features])
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - labels) + ridge * w
-        bend = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        slope = x.T @ (weight * (p - labels)) + ridge * w
+        bend = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         w -= np.linalg.solve(bend, slope)
     return w
 

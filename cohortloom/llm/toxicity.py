@@ -1,13 +1,14 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two language models over the characters of words, one of toxic and one of ordinary text, give every
-word a log-likelihood ratio. Each class has its own counts of the longest n-grams; where they are
-thin, both back off to the same Kneser-Ney continuation counts, gathered from all documents,
-labelled or not. A document is judged by the length-normalised ratio of all its words and of its
-most toxic stretch of ``STRETCH`` words; a logistic link fitted on separate labelled rows turns
-both into a score.
-
-Counts live in hashed tables of ``2 ** BITS`` slots per order, so that the model that is broadcast
+word a log-likelihood ratio. Each class has its own counts of the longest n-grams, of which a large discount
+goes to what both classes share: one Kneser-Ney model with the counts of the longest n-grams and
+continuation counts of shorter ones, gathered from all documents, labelled or not. So a rare
+expression says little about its class. A document is judged by its length-normalised likelihood
+ratio under the toxic model, under a model in which only some words are toxic, and by its most
+telling words; a logistic link fitted on separate labelled rows turns these into a score.
+
+Counts live in hashed tables of a fixed number of slots per order, so that the model that is broadcast
 has a fixed size, while the counts themselves cover every labelled training row and every text.
 
 Of the rows open for learning, those whose crc32 remainder is 1 fit the link (at most ``LINK_ROWS``
@@ -29,18 +30,26 @@ from pyspark.sql import functions as F
 from cohortloom.llm.common import Recent, held_out, query, read, text_of, text_pieces
 from cohortloom.llm.quality import labelled_sample, logistic, sampled_rows
 
-TOP = 6
+TOP = 8
 SHARED = (4, 2, 1)
-BITS = 19
+#: Slots of each order's tables, as a power of two.
+BITS = {TOP: 20, 4: 18, 2: 16, 1: 12}
 DISCOUNT = 0.75
-STRETCH = 24
+CLASS_DISCOUNT = 3.0
+#: Share of toxic words in a toxic text.
+SOME = 0.02
+TELLING = 3
 LINK_ROWS = 2000
+#: Share of toxic rows that the link assumes, whatever the sample's.
+PRIOR = 0.25
 BATCH_BYTES = 6_000_000
 WORD = re.compile(r"[^\W_]+")
 START = "\0" * (TOP - 1)
 END = "\1"
 MIX = np.uint64(0x9E3779B97F4A7C15)
-CLASSES = (1, 0)
+SIDES = ("every", "toxic", "ordinary")
+FEATURES = ["y", "mean", "some", "dense", "telling"]
+N_FEATURES = len(FEATURES) - 1
 
 
 def words(text: str | None) -> list[str]:
@@ -71,31 +80,34 @@ class Letters:
         return self.codes[self.at - order].astype(np.int64)
 
 
-def slots(keys: np.ndarray) -> np.ndarray:
-    return ((keys * MIX) >> np.uint64(64 - BITS)).astype(np.int64)
+def slots(keys: np.ndarray, order: np.ndarray | int) -> np.ndarray:
+    """Slot of each n-gram; ``order`` is one number or one per key."""
+    bits = np.vectorize(BITS.get)(order) if isinstance(order, np.ndarray) else BITS[order]
+    return ((keys * MIX) >> (64 - np.asarray(bits)).astype(np.uint64)).astype(np.int64)
 
 
-def context_slots(keys: np.ndarray) -> np.ndarray:
-    return slots((keys >> np.uint64(32)) + np.uint64(1))
+def context_slots(keys: np.ndarray, order: np.ndarray | int) -> np.ndarray:
+    return slots((keys >> np.uint64(32)) + np.uint64(1), order)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct n-grams of each batch: order, key, letter before, toxic and ordinary counts."""
-    names = ["n", "key", "before", "toxic", "ordinary"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    """Distinct n-grams of each batch: order, key, letter before, counts in all, toxic, ordinary."""
+    names = ["n", "key", "before", "every", "toxic", "ordinary"]
+    kinds = [pa.int32(), *[pa.int64()] * 5]
     for batch in text_pieces(batches, "text", BATCH_BYTES):
         counts = {1: Counter(), 0: Counter(), None: Counter()}
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
             counts[label].update(words(text))
-        every = list(set().union(*counts.values()))
-        if not every:
+        listed = list(set().union(*counts.values()))
+        if not listed:
             continue
-        letters = Letters(every)
-        per_word = {c: np.fromiter(map(counts[c].__getitem__, every), np.int64, len(every)) for c in CLASSES}
-        toxic, ordinary = (per_word[c][letters.word] for c in CLASSES)
-        some = np.flatnonzero(toxic + ordinary)
-        keys, inverse = np.unique(letters.keys(TOP)[some], return_inverse=True)
-        sums = [np.bincount(inverse, c[some], len(keys)).astype(np.int64) for c in (toxic, ordinary)]
+        letters = Letters(listed)
+        each = [np.fromiter(map(c.__getitem__, listed), np.int64, len(listed)) for c in counts.values()]
+        keys, inverse = np.unique(letters.keys(TOP), return_inverse=True)
+        sums = [
+            np.bincount(inverse, c[letters.word], len(keys)).astype(np.int64)
+            for c in (sum(each), each[0], each[1])
+        ]
         columns = [np.full(len(keys), TOP), keys.view(np.int64), np.zeros(len(keys), np.int64), *sums]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
         for order in SHARED:
@@ -103,83 +115,85 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.rec.fromarrays([letters.keys(order).view(np.int64), letters.before(order)])
             )
             nothing = np.zeros(len(pairs), np.int64)
-            columns = [np.full(len(pairs), order), pairs.f0, pairs.f1, nothing, nothing]
+            columns = [np.full(len(pairs), order), pairs.f0, pairs.f1, nothing, nothing, nothing]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
 def _to_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of n-grams and of their contexts by slot; kind 0 n-grams, 1 context sums, 2 types."""
+    """Counts by slot; kind 0: n-grams, 1: sums of their contexts, 2: what the contexts' n-grams give off."""
     for batch in batches:
+        if not batch.num_rows:
+            continue
         order = batch.column("n").to_numpy()
         keys = batch.column("key").to_numpy().view(np.uint64)
-        values = [batch.column(c).to_numpy() for c in ("toxic", "ordinary")]
-        types = [(v > 0).astype(np.int64) for v in values]
-        own, context = slots(keys), context_slots(keys)
+        values = {c: batch.column(c).to_numpy() for c in SIDES}
+        off = {c: np.minimum(v, DISCOUNT if c == "every" else CLASS_DISCOUNT) for c, v in values.items()}
+        own, context = slots(keys, order), context_slots(keys, order)
         size = len(order)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.tile(order, 3), pa.int32()),
                 pa.array(np.repeat([0, 1, 2], size), pa.int32()),
                 pa.array(np.r_[own, context, context], pa.int32()),
-                pa.array(np.r_[values[0], values[0], types[0]], pa.int64()),
-                pa.array(np.r_[values[1], values[1], types[1]], pa.int64()),
+                *(pa.array(np.r_[values[c], values[c], off[c]].astype(float)) for c in SIDES),
             ],
-            ["n", "kind", "slot", "toxic", "ordinary"],
+            ["n", "kind", "slot", *SIDES],
         )
 
 
 class Model:
-    """Hashed count tables of both classes and of the shared lower orders."""
+    """Hashed count tables of both classes and of what they share."""
 
-    def __init__(self, n, kind, slot, toxic, ordinary):
+    def __init__(self, n, kind, slot, every, toxic, ordinary):
         self.tables = {}
-        for order in (TOP, *SHARED):
-            for k in range(3):
-                chosen = (n == order) & (kind == k)
-                sides = (toxic, ordinary) if order == TOP else (toxic,)
-                for side, values in enumerate(sides):
-                    table = np.zeros(1 << BITS, np.float32)
+        for side, values in zip(SIDES, (every, toxic, ordinary)):
+            for order in (TOP, *SHARED) if side == "every" else (TOP,):
+                for k in range(3):
+                    chosen = (n == order) & (kind == k)
+                    table = np.zeros(1 << BITS[order], np.float32)
                     table[slot[chosen]] = values[chosen]
                     self.tables[order, k, side] = table
-        self.link = np.zeros(3)
+        self.link = np.zeros(1 + N_FEATURES)
         self.prior: float | None = None
 
-    def _mixed(self, order: int, side: int, keys: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        own, context = slots(keys), context_slots(keys)
+    def _mixed(self, order: int, side: str, keys: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        own, context = slots(keys, order), context_slots(keys, order)
         total = self.tables[order, 1, side][context]
         count = np.minimum(self.tables[order, 0, side][own], total)
-        types = self.tables[order, 2, side][context]
-        mixed = (np.maximum(count - DISCOUNT, 0) + DISCOUNT * types * lower) / np.maximum(total, 1)
+        off = np.minimum(self.tables[order, 2, side][context], total)
+        discount = DISCOUNT if side == "every" else CLASS_DISCOUNT
+        mixed = (np.maximum(count - discount, 0) + off * lower) / np.maximum(total, 1)
         return np.where(total > 0, mixed, lower)
 
     def ratios(self, listed: list[str]) -> np.ndarray:
         """Toxic minus ordinary log-likelihood of each word."""
         letters = Letters(listed)
         shared = np.full(len(letters.at), 1 / 65536)
-        for order in reversed(SHARED):
-            shared = np.maximum(self._mixed(order, 0, letters.keys(order), shared), 1e-12)
+        for order in (*reversed(SHARED), TOP):
+            shared = np.maximum(self._mixed(order, "every", letters.keys(order), shared), 1e-12)
         keys = letters.keys(TOP)
-        toxic, ordinary = (np.log(self._mixed(TOP, s, keys, shared)) for s in (0, 1))
+        toxic, ordinary = (np.log(self._mixed(TOP, s, keys, shared)) for s in SIDES[1:])
         return np.add.reduceat(toxic - ordinary, letters.first)
 
     def features(self, texts: list[str | None], known: Recent) -> np.ndarray:
-        """Mean ratio of all words and of the most toxic stretch, per text."""
-        split = [words(t) for t in texts]
+        """Per text, over its distinct words: mean ratio, the ratio if only some words are toxic
+        (in sum and per root of the length), and the mean of the most telling words."""
+        split = [list(set(words(t))) for t in texts]
         new = list({w for listed in split for w in listed if w not in known and w not in known.old})
         for start in range(0, len(new), 20_000):
             part = new[start : start + 20_000]
             for word, ratio in zip(part, self.ratios(part).tolist()):
                 known.keep(word, ratio)
-        found = np.zeros((len(texts), 2))
+        found = np.zeros((len(texts), N_FEATURES))
         for i, listed in enumerate(split):
             if listed:
-                sums = np.r_[0, np.cumsum([known[w] for w in listed])]
-                size = min(STRETCH, len(listed))
-                found[i] = sums[-1] / len(listed), (sums[size:] - sums[:-size]).max() / size
+                ratios = np.sort(np.fromiter(map(known.__getitem__, listed), float, len(listed)))
+                some = np.log1p(SOME * np.expm1(np.minimum(ratios, 12))).sum()
+                found[i] = ratios.mean(), some, some / np.sqrt(len(ratios)), ratios[-TELLING:].sum() / TELLING
         return found
 
     def cache(self) -> Recent:
-        return Recent(lambda w: float(self.ratios([w])[0]), 400_000)
+        return Recent(lambda w: float(self.ratios([w])[0]), 300_000)
 
     def scores(self, found: np.ndarray) -> np.ndarray:
         if self.prior is not None:
@@ -199,20 +213,19 @@ def count_tables(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     )
     rows = docs.select("doc_id", text_of().alias("text")).join(known, "doc_id", "left")
     grams = rows.select("text", "label").mapInArrow(
-        _count, "n int, key bigint, before bigint, toxic bigint, ordinary bigint"
+        _count, "n int, key bigint, before bigint, every bigint, toxic bigint, ordinary bigint"
     )
-    distinct = grams.groupBy("n", "key", "before").agg(
-        F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")
-    )
-    # a shared n-gram counts the different letters seen before it
+    distinct = grams.groupBy("n", "key", "before").agg(*(F.sum(c).alias(c) for c in SIDES))
+    # a shorter n-gram counts the different letters seen before it
     summed = distinct.groupBy("n", "key").agg(
-        F.when(F.col("n") == TOP, F.sum("toxic")).otherwise(F.count("*")).alias("toxic"),
-        F.sum("ordinary").alias("ordinary"),
+        F.when(F.col("n") == TOP, F.sum("every")).otherwise(F.count("*")).alias("every"),
+        F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"),
     )
     return (
-        summed.mapInArrow(_to_slots, "n int, kind int, slot int, toxic bigint, ordinary bigint")
-        .groupBy("n", "kind", "slot")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+        summed.mapInArrow(
+            _to_slots, "n int, kind int, slot int, every double, toxic double, ordinary double"
+        )
+        .groupBy("n", "kind", "slot").agg(*(F.sum(c).alias(c) for c in SIDES))
     )
 
 
@@ -223,30 +236,32 @@ def _features_with(shared):
         for batch in text_pieces(batches, "text", BATCH_BYTES):
             found = model.features(batch.column("text").to_pylist(), known)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("y"), *(pa.array(c) for c in found.T)], ["y", "mean", "stretch"]
+                [batch.column("y"), *(pa.array(np.ascontiguousarray(c)) for c in found.T)], FEATURES
             )
 
     return compute
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
-    """Driver: the hashed tables (fixed size) and two features of each row that fits the link."""
+    """Driver: the hashed tables (fixed size) and the features of the rows that fit the link."""
     spark = docs.sparkSession
     found = count_tables(docs, labels, label).toArrow()
-    model = Model(*(found.column(c).to_numpy() for c in ("n", "kind", "slot", "toxic", "ordinary")))
+    model = Model(*(found.column(c).to_numpy() for c in ("n", "kind", "slot", *SIDES)))
     sample = spark.createDataFrame(
         labelled_sample(labels, label, LINK_ROWS, remainder() == 1).collect(),
         f"doc_id {labels.schema['doc_id'].dataType.simpleString()}, y int",
     )
     rows = sampled_rows(docs, sample).select("y", "text").mapInArrow(
-        _features_with(spark.sparkContext.broadcast(model)), "y int, mean double, stretch double"
+        _features_with(spark.sparkContext.broadcast(model)), "y int, mean double, some double, dense double, telling double"
     )
-    rows = np.array(sorted(tuple(r) for r in rows.collect())).reshape(-1, 3)
+    rows = np.array(sorted(tuple(r) for r in rows.collect())).reshape(-1, 1 + N_FEATURES)
     y = rows[:, 0]
     if len(set(y.tolist())) < 2:
         model.prior = float(y.mean()) if len(y) else 0.5
     else:
-        model.link = logistic(rows[:, 1:], y)
+        share = y.mean()
+        weight = np.where(y == 1, PRIOR / share, (1 - PRIOR) / (1 - share))
+        model.link = logistic(rows[:, 1:], y, weight)
     return model
 
 
