@@ -2,9 +2,10 @@
 
 ``percentile`` keeps every distinct value of a group in one task. Here an
 approximate quantile sketch only proposes where to look; exact counts decide, and
-the open interval holding each wanted rank shrinks until the values left in it
-are few enough to be listed. All passes are map-side combined aggregates, joined
-with a broadcast table that has one row per wanted rank.
+the interval holding each wanted rank shrinks until at most ``LISTED_VALUES`` values
+are left in it, of which an aggregate picks the one. The searches are a table of
+their own, one row per wanted rank, so there may be any number of keys; all passes
+are map-side combined aggregates over the values joined with that table.
 """
 
 from __future__ import annotations
@@ -13,17 +14,20 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.session import cut_lineage
+
 SKETCH_ACCURACY = 2_000
 SKETCH_STEPS = 256
-# values listed on the driver by one call, shared by its intervals (about 24 bytes each)
-LISTED_VALUES = 1_000_000
+# values of one rank's interval that an aggregate may list
+LISTED_VALUES = 64
 # deviations around the expected place of a rank among evenly spread values
 UNIFORM_MARGIN = 8
 UNIFORM_ROUNDS = 3
+# searches that are broadcast to the values (about 60 bytes each); more are joined by key
+BROADCAST_SEARCHES = 50_000
 
 
 @dataclass
@@ -35,23 +39,6 @@ class Statistic:
     equal: int
 
 
-@dataclass
-class _Search:
-    """One wanted rank: it lies among ``inside`` values of the open interval (low, high)."""
-
-    key: int
-    rank: int
-    low: float
-    high: float
-    below: int
-    inside: int
-    found: Statistic | None = None
-
-    @property
-    def interval(self) -> tuple[int, float, float]:
-        return self.key, self.low, self.high
-
-
 def order_statistics(
     values: DataFrame,
     ranks: dict[int, Sequence[int]],
@@ -59,142 +46,148 @@ def order_statistics(
     listed: int = LISTED_VALUES,
     uniform: tuple[int, int] | None = None,
 ) -> dict[tuple[int, int], Statistic]:
-    """Exact values at zero-based ``ranks`` of every key.
+    """Exact values at zero-based ``ranks`` of a few keys, on the driver.
 
-    ``values`` has columns ``key`` (a small integer naming a column or class) and
-    ``value`` (a non-null number, exact as a double); ``counts`` holds the number of
-    values of each key. Integers known to be spread evenly over the open interval
-    ``uniform`` need no sketch pass: where a rank lies is computed, then verified.
+    ``counts`` holds the number of values of each key; see ``rank_values``.
     """
-    low, high = uniform or (-math.inf, math.inf)
-    searches = [
-        _Search(key, rank, low, high, 0, counts[key])
-        for key, wanted in ranks.items()
-        for rank in sorted(set(wanted))
-    ]
-    for search in searches:
-        if not 0 <= search.rank < search.inside:
-            raise ValueError(f"rank {search.rank} is outside 0..{search.inside - 1}")
-    numbers = values.select(F.col("key"), F.col("value").cast("double").alias("value"))
-    rounds, each = 0, max(1, listed // max(1, len(searches)))
-    while wide := [s for s in searches if s.found is None and s.inside > each]:
-        spread_evenly = uniform and rounds < UNIFORM_ROUNDS
-        _narrow(numbers, wide, _expected(wide) if spread_evenly else _sketched(numbers, wide))
-        rounds += 1
-    if unfinished := [s for s in searches if s.found is None]:
-        _list_and_pick(numbers, unfinished)
-    return {(s.key, s.rank): s.found for s in searches}
+    wanted = [(key, rank, counts[key]) for key, found in ranks.items() for rank in sorted(set(found))]
+    for key, rank, inside in wanted:
+        if not 0 <= rank < inside:
+            raise ValueError(f"rank {rank} is outside 0..{inside - 1}")
+    table = values.sparkSession.createDataFrame(wanted, "key bigint, rank bigint, inside bigint")
+    return {
+        (r["key"], r["rank"]): Statistic(r["value"], r["below"], r["equal"])
+        for r in rank_values(values, table, listed, uniform).collect()
+    }
 
 
-def _inside(values: DataFrame, intervals: pd.DataFrame) -> DataFrame:
-    """Values matched with the intervals (a handful of rows) that hold them."""
-    table = values.sparkSession.createDataFrame(intervals)
-    return values.join(F.broadcast(table), "key").filter(
-        (F.col("value") > F.col("low")) & (F.col("value") < F.col("high"))
+def rank_values(
+    values: DataFrame,
+    wanted: DataFrame,
+    listed: int = LISTED_VALUES,
+    uniform: tuple[int, int] | None = None,
+) -> DataFrame:
+    """(key, rank, value, below, equal) for every zero-based (key, rank) of ``wanted``.
+
+    ``values`` has columns ``key`` (an integer naming a column or class) and ``value``
+    (a non-null number, exact as a double, infinities included); ``wanted`` has key, rank
+    and ``inside``, the number of values of the key. Integers known to be spread evenly
+    over the open interval ``uniform`` need no sketch pass: where a rank lies is computed,
+    then verified by counting.
+    """
+    low, high = uniform or (None, None)
+    numbers = values.select(F.col("key").cast("bigint").alias("key"), F.col("value").cast("double").alias("value"))
+    searches = cut_lineage(
+        wanted.select(
+            "key", "rank", F.lit(low).cast("double").alias("low"), F.lit(high).cast("double").alias("high"),
+            F.lit(0).cast("bigint").alias("below"), "inside",
+            F.lit(None).cast("double").alias("value"), F.lit(None).cast("bigint").alias("equal"),
+        )
+    )
+    rounds = 0
+    while (count := searches.where(_is_wide(listed)).count()) > 0:
+        wide = searches.where(_is_wide(listed))
+        if uniform and rounds < UNIFORM_ROUNDS:
+            bounded = _expected(wide)
+        else:
+            bounded = _sketched(numbers, wide, count)
+        narrowed = _narrowed(numbers, bounded, count)
+        searches = cut_lineage(searches.where(~_is_wide(listed)).unionByName(narrowed))
+        rounds += 1
+    left = searches.where("value IS NULL")
+    return searches.where("value IS NOT NULL").select("key", "rank", "value", "below", "equal").unionByName(
+        _picked(numbers, left, left.count())
     )
 
 
-def _interval_table(searches: list[_Search]) -> tuple[pd.DataFrame, dict[tuple, int]]:
-    numbered = {interval: i for i, interval in enumerate(dict.fromkeys(s.interval for s in searches))}
-    rows = [(*interval, i) for interval, i in numbered.items()]
-    return pd.DataFrame(rows, columns=["key", "low", "high", "interval"]), numbered
+def _is_wide(listed: int) -> Column:
+    return F.col("value").isNull() & (F.col("inside") > listed)
+
 
+def _inside(values: DataFrame, searches: DataFrame, count: int) -> DataFrame:
+    """Values with the searches whose interval holds them; a missing end is open to infinity."""
+    table = searches.withColumnRenamed("value", "found")
+    table = F.broadcast(table) if count <= BROADCAST_SEARCHES else table
+    above = F.col("low").isNull() | (F.col("value") > F.col("low"))
+    under = F.col("high").isNull() | (F.col("value") < F.col("high"))
+    return values.join(table, "key").filter(above & under)
 
-def _expected(searches: list[_Search]) -> list[tuple[float, float]]:
-    """Where each rank lies if the integers of its interval are spread evenly."""
-    bounds = []
-    for s in searches:
-        fraction = (s.rank - s.below + 0.5) / s.inside
-        margin = UNIFORM_MARGIN * math.sqrt(max(fraction * (1 - fraction), 1 / s.inside) / s.inside)
-        a = math.floor(s.low + (fraction - margin) * (s.high - s.low))
-        b = math.ceil(s.low + (fraction + margin) * (s.high - s.low))
-        bounds.append((float(max(a, s.low)), float(min(b, s.high))))
-    return bounds
+
+def _expected(searches: DataFrame) -> DataFrame:
+    """Bounds of each rank if the integers of its interval are spread evenly."""
+    fraction = (F.col("rank") - F.col("below") + 0.5) / F.col("inside")
+    spread = F.greatest(fraction * (1 - fraction), 1 / F.col("inside")) / F.col("inside")
+    width = F.col("high") - F.col("low")
+    start = F.floor(F.col("low") + (fraction - UNIFORM_MARGIN * F.sqrt(spread)) * width)
+    end = F.ceil(F.col("low") + (fraction + UNIFORM_MARGIN * F.sqrt(spread)) * width)
+    return searches.select(
+        "*", F.greatest(start, "low").cast("double").alias("a"), F.least(end, "high").cast("double").alias("b")
+    )
 
 
-def _sketched(values: DataFrame, searches: list[_Search]) -> list[tuple[float, float]]:
-    """Where each rank lies according to a quantile sketch of its interval."""
-    table, numbered = _interval_table(searches)
+def _sketched(values: DataFrame, searches: DataFrame, count: int) -> DataFrame:
+    """Bounds of each rank according to a quantile sketch of its interval."""
     grid = [i / SKETCH_STEPS for i in range(SKETCH_STEPS + 1)]
-    sketches = {
-        row["interval"]: row["grid"]
-        for row in _inside(values, table)
-        .groupBy("interval")
+    sketches = (
+        _inside(values, searches, count)
+        .groupBy("key", "rank")
         .agg(F.percentile_approx("value", grid, SKETCH_ACCURACY).alias("grid"))
-        .collect()
-    }
-    bounds = []
-    for s in searches:
-        at = (s.rank - s.below) / s.inside * SKETCH_STEPS
-        steps = sketches[numbered[s.interval]]
-        a, b = max(0, math.floor(at) - 1), min(SKETCH_STEPS, math.ceil(at) + 1)
-        bounds.append((steps[a], steps[b]))
-    return bounds
-
-
-def _narrow(
-    values: DataFrame, searches: list[_Search], bounds: list[tuple[float, float]]
-) -> None:
-    """One counting pass: how many values lie below, at, between and at the proposed bounds."""
-    proposals = [(*s.interval, i, a, b) for i, (s, (a, b)) in enumerate(zip(searches, bounds))]
-    columns = ["key", "low", "high", "search", "a", "b"]
+    )
+    at = (F.col("rank") - F.col("below")) / F.col("inside") * SKETCH_STEPS
+    first = F.greatest(F.lit(0), F.floor(at) - 1).cast("int")
+    last = F.least(F.lit(SKETCH_STEPS), F.ceil(at) + 1).cast("int")
+    return searches.join(sketches, ["key", "rank"]).select(
+        *searches.columns, F.col("grid")[first].alias("a"), F.col("grid")[last].alias("b")
+    )
+
+
+def _narrowed(values: DataFrame, bounded: DataFrame, count: int) -> DataFrame:
+    """One counting pass: each search moves to the stretch of its interval that holds the rank.
+
+    The stretches are the values below, at, between and at the proposed bounds, and the rest.
+    """
     v, a, b = F.col("value"), F.col("a"), F.col("b")
     tallies = (
-        _inside(values, pd.DataFrame(proposals, columns=columns))
-        .groupBy("search")
+        _inside(values, bounded, count)
+        .groupBy("key", "rank")
         .agg(
-            F.count_if(v < a).alias("under"),
-            F.count_if(v == a).alias("at_a"),
-            F.count_if((v > a) & (v < b)).alias("between"),
-            F.count_if((v == b) & (a < b)).alias("at_b"),
+            F.count_if(v < a).alias("n0"),
+            F.count_if(v == a).alias("n1"),
+            F.count_if((v > a) & (v < b)).alias("n2"),
+            F.count_if((v == b) & (a < b)).alias("n3"),
         )
-        .collect()
     )
-    for row in tallies:
-        _, low, high, i, a_value, b_value = proposals[row["search"]]
-        _place(
-            searches[i],
-            [
-                (row["under"], low, a_value),
-                (row["at_a"], a_value, a_value),
-                (row["between"], a_value, b_value),
-                (row["at_b"], b_value, b_value),
-                (None, b_value, high),
-            ],
+    joined = bounded.drop("value", "equal").join(tallies, ["key", "rank"])
+    sizes = [F.col(f"n{i}") for i in range(4)]
+    sizes.append(F.col("inside") - sum(sizes, F.lit(0)))
+    ends = [("low", "a"), ("a", "a"), ("a", "b"), ("b", "b"), ("b", "high")]
+    null = F.lit(None)
+    moved, before = F.lit(None), F.col("below")
+    for size, (start, end) in zip(sizes, ends):
+        here = F.struct(
+            F.col(start).alias("low"), F.col(end).alias("high"), before.alias("below"), size.alias("inside"),
+            (F.col(start) if start == end else null.cast("double")).alias("value"),
+            (size if start == end else null.cast("bigint")).alias("equal"),
         )
-
-
-def _place(s: _Search, stretches: list[tuple[int | None, float, float]]) -> None:
-    """Move the search into the stretch (values, from, to) of its interval that holds the rank."""
-    below, left = s.below, s.inside
-    for size, start, end in stretches:
-        size = left if size is None else size
-        if s.rank < below + size:
-            if start == end:
-                s.found = Statistic(start, below, size)
-            else:
-                s.low, s.high, s.below, s.inside = start, end, below, size
-            return
-        below, left = below + size, left - size
-
-
-def _list_and_pick(values: DataFrame, searches: list[_Search]) -> None:
-    """List the few values left per search (within the budget) and read off the ranks."""
-    table, numbered = _interval_table(searches)
-    counted = (
-        _inside(values, table)
-        .groupBy("interval", "value")
-        .agg(F.count("*").alias("n"))
-        .toPandas()
-        .sort_values("value")
+        before = before + size
+        reached = F.col("rank") < before
+        moved = F.when(reached, here) if start == "low" else moved.when(reached, here)
+    return joined.select("key", "rank", moved.alias("m")).select("key", "rank", "m.*")
+
+
+def _picked(values: DataFrame, searches: DataFrame, count: int) -> DataFrame:
+    """The ranks of searches with few values left: these are listed and looked up per search."""
+    lists = (
+        _inside(values, searches, count)
+        .groupBy("key", "rank", "below")
+        .agg(F.array_sort(F.collect_list("value")).alias("all"))
+    )
+    value = F.col("all")[(F.col("rank") - F.col("below")).cast("int")]
+    return lists.withColumn("value", value).select(
+        "key", "rank", "value",
+        (F.col("below") + F.size(F.filter("all", lambda x: x < F.col("value")))).alias("below"),
+        F.size(F.filter("all", lambda x: x == F.col("value"))).cast("bigint").alias("equal"),
     )
-    by_interval = {i: rows for i, rows in counted.groupby("interval")}
-    for s in searches:
-        rows = by_interval[numbered[s.interval]]
-        running = rows["n"].cumsum().to_numpy() + s.below
-        at = int(running.searchsorted(s.rank, side="right"))
-        row = rows.iloc[at]
-        s.found = Statistic(float(row["value"]), int(running[at] - row["n"]), int(row["n"]))
 
 
 def long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -231,7 +224,9 @@ def quantiles(
         for q, at in wanted.items():
             lower = stats[(i, math.floor(at))].value
             upper = stats[(i, math.ceil(at))].value
-            result[cols[i]][q] = lower + (upper - lower) * (at - math.floor(at))
+            part = at - math.floor(at)
+            # no arithmetic where none is needed: the ends may be infinite
+            result[cols[i]][q] = lower if lower == upper or not part else lower + (upper - lower) * part
     return result
 
 

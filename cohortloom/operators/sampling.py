@@ -11,14 +11,16 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom import fixed_values as fv
-from cohortloom.operators.quantiles import order_statistics
+from cohortloom.operators.quantiles import rank_values
 from cohortloom.operators.ranking import with_row_number
+from cohortloom.session import cut_lineage
 
-MAX_CLASSES = 1_000
+# classes whose table is broadcast to the rows; more are joined by class
+BROADCAST_CLASSES = 50_000
 # --- fixed value: draws are the first 13 hex digits of an MD5, so below 2 ** 52
 DRAW_LIMIT = 1 << 52
 
@@ -30,19 +32,19 @@ def draw(id_col: Column, seed: int) -> Column:
 
 
 def class_counts(df: DataFrame, label: str) -> dict[object, int]:
-    """Rows per class, null labels left out."""
-    rows = (
-        df.filter(F.col(label).isNotNull())
-        .groupBy(label)
-        .agg(F.count("*").alias("n"))
-        .limit(MAX_CLASSES + 1)
-        .collect()
-    )
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
+    """Rows per class, null labels left out. Driver: one entry per class."""
+    rows = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n")).collect()
     return {row[label]: row["n"] for row in sorted(rows, key=lambda r: r[label])}
 
 
+def _with_classes(df: DataFrame, label: str, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows with the columns of their class; ``rows`` are (class, ...), other classes get nulls."""
+    kind = df.schema[label].dataType.simpleString()
+    table = df.sparkSession.createDataFrame(rows, f"_name {kind}, {schema}")
+    table = F.broadcast(table) if len(rows) <= BROADCAST_CLASSES else table
+    return df.join(table, F.col(label) == F.col("_name"), "left").drop("_name")
+
+
 def assign_parts(
     df: DataFrame,
     id_col: str,
@@ -57,44 +59,59 @@ def assign_parts(
     ``sizes`` get a null part. Without ``label`` all rows form one class.
     """
     drawn = df.withColumn("_draw", draw(F.col(id_col), seed))
+    cuts = [[sum(parts[: j + 1]) for j in range(len(parts) - 1)] for parts in sizes.values()]
+    totals = [sum(parts) for parts in sizes.values()]
+    # a cut at or before the first row is passed by all rows of the class
+    passed = [sum(c <= 0 for c in cs) if total else 0 for cs, total in zip(cuts, totals)]
+    rows = [(name, i, passed[i]) for i, name in enumerate(sizes)]
+    if label:
+        drawn = _with_classes(drawn, label, rows, "_class bigint, _passed int")
+    else:
+        drawn = drawn.withColumn("_class", F.lit(0).cast("bigint")).withColumn("_passed", F.lit(passed[0]))
+    wanted = [
+        (i, c, total) for i, (cs, total) in enumerate(zip(cuts, totals)) for c in sorted(set(cs)) if 0 < c < total
+    ]
+    times = [(i, c, cs.count(c)) for i, cs in enumerate(cuts) for c in set(cs)]
+    if not wanted:
+        return drawn.withColumn(out, F.col("_passed")).select(*df.columns, out)
+    draws = drawn.filter(F.col("_class").isNotNull()).select(
+        F.col("_class").alias("key"), F.col("_draw").alias("value"), F.col(id_col).alias("id")
+    )
+    spark = df.sparkSession
+    marks = cut_lineage(
+        rank_values(
+            draws.select("key", "value"),
+            spark.createDataFrame(wanted, "key bigint, rank bigint, inside bigint"),
+            uniform=(-1, DRAW_LIMIT),
+        ).join(spark.createDataFrame(times, "key bigint, rank bigint, times int"), ["key", "rank"])
+        .withColumn("value", F.col("value").cast("bigint"))
+    )
+    # equal draws at a threshold: the ids decide, and only those needed are looked at
+    tied = marks.where("rank > below").select("key", "rank", "value", (F.col("rank") - F.col("below")).alias("before"))
+    order = Window.partitionBy("key", "rank").orderBy("id")
+    firsts = (
+        draws.join(_small(tied, len(wanted)), ["key", "value"])
+        .withColumn("place", F.row_number().over(order)).where("place = before + 1")
+        .select("key", "rank", F.col("id").alias("first_after"))
+    )
+    per_class = marks.join(firsts, ["key", "rank"], "left").groupBy(F.col("key").alias("_class")).agg(
+        F.collect_list(F.struct("value", "times", "first_after")).alias("_marks")
+    )
     number = F.col("_draw")
-    class_no = F.lit(None).cast("int") if label else F.lit(0)
-    for i, name in enumerate(sizes if label else ()):
-        class_no = F.when(F.col(label) == F.lit(name), i).otherwise(class_no)
-    cuts, totals = {}, {}
-    for i, parts in enumerate(sizes.values()):
-        totals[i] = sum(parts)
-        cuts[i] = [sum(parts[: j + 1]) for j in range(len(parts) - 1)]
-    inner = {i: [c for c in cs if 0 < c < totals[i]] for i, cs in cuts.items()}
-    ranks = {i: cs for i, cs in inner.items() if cs}
-    draws = drawn.select(class_no.alias("key"), number.alias("value"), F.col(id_col).alias("id"))
-    stats = {}
-    if ranks:
-        classed = draws.filter(F.col("key").isNotNull())
-        stats = order_statistics(classed, ranks, totals, uniform=(-1, DRAW_LIMIT))
-
-    def passed(i: int, cut: int) -> Column:
-        """1 where the row comes after the first ``cut`` rows of class ``i``."""
-        if cut <= 0 or cut >= totals[i]:
-            return F.lit(1 if cut <= 0 else 0)
-        stat = stats[(i, cut)]
-        threshold = F.lit(int(stat.value))
-        tied_before = cut - stat.below
-        if tied_before == 0:
-            return F.when(number >= threshold, 1).otherwise(0)
-        # equal draws at the threshold: the ids decide, and only those needed are looked at
-        tied = draws.filter((F.col("key") == i) & (F.col("value") == threshold))
-        first_after = tied.orderBy("id").limit(tied_before + 1).agg(F.max("id")).first()[0]
-        tied_after = (number == threshold) & (F.col(id_col) >= F.lit(first_after))
-        return F.when((number > threshold) | tied_after, 1).otherwise(0)
-
-    part = F.lit(None).cast("int")
-    for i in totals:
-        steps = F.lit(0)
-        for cut in cuts[i]:
-            steps = steps + passed(i, cut)
-        part = F.when(class_no == i, steps).otherwise(part)
-    return drawn.withColumn(out, part.cast("int")).drop("_draw")
+
+    def after(mark: Column) -> Column:
+        at_it = (number == mark["value"]) & (mark["first_after"].isNull() | (F.col(id_col) >= mark["first_after"]))
+        return F.when((number > mark["value"]) | at_it, mark["times"]).otherwise(0)
+
+    steps = F.aggregate("_marks", F.col("_passed"), lambda total, mark: total + after(mark))
+    part = F.when(F.col("_marks").isNull(), F.col("_passed")).otherwise(steps)
+    labelled = drawn.join(_small(per_class, len(wanted)), "_class", "left")
+    return labelled.withColumn(out, part.cast("int")).select(*df.columns, out)
+
+
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """A table of at most ``rows`` rows, broadcast if these are few."""
+    return F.broadcast(table) if rows <= BROADCAST_CLASSES else table
 
 
 def proportional_sizes(counts: dict[object, int], total: int) -> dict[object, int]:
@@ -221,10 +238,8 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Balanced weights: rows / (classes * rows of the class)."""
     counts = class_counts(df, label)
     rows = sum(counts.values())
-    weight = F.lit(None).cast("double")
-    for name, n in counts.items():
-        weight = F.when(F.col(label) == F.lit(name), rows / (len(counts) * n)).otherwise(weight)
-    return df.withColumn(out, weight)
+    each = [(name, rows / (len(counts) * n)) for name, n in counts.items()]
+    return _with_classes(df.drop(out), label, each, f"{out} double")
 
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed: int = fv.SEED) -> DataFrame:

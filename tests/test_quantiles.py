@@ -88,3 +88,22 @@ def test_even_spread_is_only_a_guess(spark, kind):
         stat = found[(0, rank)]
         assert stat.value == ordered[rank]
         assert stat.below == (values < stat.value).sum() and stat.equal == (values == stat.value).sum()
+
+
+@pytest.mark.parametrize(
+    "values", [[-np.inf, 1, 2, 3, np.inf], [-np.inf, -np.inf, 1, 2, 3], [np.inf] * 3, [-np.inf] * 100 + [5.0] * 101]
+)
+@pytest.mark.parametrize("listed", [1, 64])
+def test_infinities_count(spark, values, listed):
+    found = quantiles(frame(spark, values), ["x"], [0.5], listed=listed)["x"][0.5]
+    assert found == sorted(values)[len(values) // 2]
+
+
+def test_many_keys_at_once(spark):
+    rng = np.random.default_rng(8)
+    keys, numbers = rng.integers(0, 300, 9000), rng.normal(size=9000)
+    long = spark.createDataFrame(pd.DataFrame({"key": keys, "value": numbers}))
+    counts = {k: int((keys == k).sum()) for k in set(keys.tolist())}
+    found = order_statistics(long, {k: [n // 2] for k, n in counts.items()}, counts, listed=4)
+    for k, n in counts.items():
+        assert found[(k, n // 2)].value == np.sort(numbers[keys == k])[n // 2]

@@ -109,3 +109,19 @@ def test_sample(rows):
     found = {r["key"] for r in s.sample_n(rows, "key", 50).collect()}
     order = sorted((f"N{i}" for i in range(1000)), key=lambda k: (number(k), k))
     assert found == set(order[:50])
+
+
+def test_thousands_of_classes(spark):
+    rows = spark.range(9000).select("id", (F.col("id") % 3000).alias("y"))
+    folds = s.assign_folds(rows, "id", "y", 3).groupBy("y").agg(F.array_sort(F.collect_list("fold")).alias("f"))
+    assert {tuple(r["f"]) for r in folds.collect()} == {(0, 1, 2)}
+    weights = s.class_weights(rows, "y").select("weight").distinct().collect()
+    assert [r["weight"] for r in weights] == [1.0]
+    parts = s.assign_split(rows, "id", "y").groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in parts} == {"test": 1800, "validation": 1080, "train": 6120}
+
+
+def test_more_classes_than_are_broadcast(spark, monkeypatch, rows):
+    whole = {r["key"]: r["split"] for r in s.assign_split(rows, "key", "y").collect()}
+    monkeypatch.setattr(s, "BROADCAST_CLASSES", 0)
+    assert whole == {r["key"]: r["split"] for r in s.assign_split(rows, "key", "y").collect()}
