@@ -131,11 +131,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     half per round. Each round is stored; only a count reaches the driver.
     """
     both = stored(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        .where("a <> b").distinct()
+        edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+        .select("e.*").where("a <> b").distinct()
+    )
+    labels = stored(
+        both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
+        .select("node", F.least("node", "low").alias("root"))
     )
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
-    labels = stored(labels.select("node", F.least("node", "low").alias("root")))
     for _ in range(rounds):
         near = (
             both.join(labels.withColumnRenamed("node", "b"), "b")
@@ -145,11 +147,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             "node", F.col("root").alias("was"), F.least("root", "low").alias("mid")
         )
         jump = labels.select(F.col("node").alias("mid"), F.col("root").alias("far"))
-        labels_now = stored(
+        now = stored(
             moved.join(jump, "mid").select("node", "was", F.least("mid", "far").alias("root"))
         )
-        changed = labels_now.where("root <> was").limit(1).count()
-        labels = labels_now.select("node", "root")
-        if not changed:
+        labels = now.select("node", "root")
+        if now.where("root <> was").isEmpty():
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -2,11 +2,11 @@
 
 A document is the set of its runs of five words (all its words if it has fewer). Documents with
 equal sets are copies and go on as one. MinHash bands bring similar sets into common buckets; the
-buckets' members are linked to one of them only, and the connected groups that result are the
+buckets' members are linked to their smallest members only, and the connected groups that result are the
 candidate groups. Within a group, pairs are compared MinHash by MinHash: after every ``STEP``
 values a pair is dropped when the posterior probability that its similarity reaches the threshold
 is below ``TOLERANCE``; what is left is verified on the sets themselves. Pairs are never emitted:
-a task reports links per document and a spanning forest.
+a task reports links per document and one star per group that it joins.
 
 Groups over the block size are compared block against block, so no task holds a whole group.
 A pair at the threshold shares no band with probability (1 - 0.8**5)**40, about 1e-7.
@@ -213,23 +213,22 @@ def verified(left: Block, right: Block, a: np.ndarray, b: np.ndarray, threshold:
     return a[keep], b[keep]
 
 
-def _forest(count: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join what was not joined before."""
-    parent = list(range(count))
+def _stars(keys: list[bytes], a: np.ndarray, b: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """Each linked key with the smallest key that links join it to."""
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    place = {i: k for k, i in enumerate(order)}
+    parent = list(range(len(keys)))
 
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+    def root(k):
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
 
-    links = []
     for i, j in zip(a.tolist(), b.tolist()):
-        ri, rj = root(i), root(j)
-        if ri != rj:
-            parent[max(ri, rj)] = min(ri, rj)
-            links.append((i, j))
-    return links
+        first, second = sorted((root(place[i]), root(place[j])))
+        parent[second] = first
+    return [(keys[order[k]], keys[order[root(k)]]) for k in range(len(keys)) if root(k) != k]
 
 
 def _compare(threshold: float):
@@ -237,7 +236,7 @@ def _compare(threshold: float):
     needed = least_matches(threshold, TOLERANCE, STEP, HASHES)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per document its links (texts, documents) in this comparison; per forest link a row."""
+        """Per document its links (texts, documents) in this comparison; stars that join them."""
         for table in runs(batches, ["group", "i", "j"]):
             i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
             own = table.column("own").to_numpy()
@@ -258,12 +257,12 @@ def _compare(threshold: float):
             b = b + base
             texts = np.bincount(a, minlength=len(keys)) + np.bincount(b, minlength=len(keys))
             docs = np.bincount(a, copies[b], len(keys)) + np.bincount(b, copies[a], len(keys))
-            links = _forest(len(keys), a, b)
+            links = _stars(keys, a, b)
             at = np.flatnonzero(texts).tolist()
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([keys[x] for x in at] + [keys[x] for x, _ in links], pa.binary()),
-                    pa.array([None] * len(at) + [keys[y] for _, y in links], pa.binary()),
+                    pa.array([keys[x] for x in at] + [x for x, _ in links], pa.binary()),
+                    pa.array([None] * len(at) + [y for _, y in links], pa.binary()),
                     pa.array([int(texts[x]) for x in at] + [0] * len(links), pa.int64()),
                     pa.array([int(docs[x]) for x in at] + [0] * len(links), pa.int64()),
                 ],
@@ -296,9 +295,18 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     )
     members = sets.select("set_key", F.posexplode("bands").alias("band", "value"))
     buckets = members.groupBy("band", "value").agg(F.min("set_key").alias("low"), F.count("*").alias("n"))
-    star = (
+    # per set: its buckets' smallest members, at most one per band; all belong to one group, so
+    # linking them to the smallest of them is enough and leaves few different links
+    lows = (
         members.join(buckets.where("n > 1"), ["band", "value"])
-        .select(F.col("set_key").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+        .groupBy("set_key").agg(F.collect_set("low").alias("lows"))
+        .withColumn("least", F.array_min("lows"))
+    )
+    star = (
+        lows.select(
+            F.explode(F.array_union(F.array("set_key"), "lows")).alias("a"), F.col("least").alias("b")
+        )
+        .where("a <> b").distinct()
     )
     groups = components(star)
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
