@@ -11,8 +11,10 @@ A byte goes if it is covered by a string of ``LENGTH`` bytes that also starts an
    suffixes at the columns of a difference cover are computed from right to left. A suffix is
    then ordered by the few bytes before its next cover column and, however long the tie, by the
    rank there. Neighbours in that order which agree in ``LENGTH`` bytes are repeated.
-4. A bucket with more than ``LARGEST_BUCKET`` different contexts is split further, into one bucket
-   per string, by a 128-bit digest of its ``LENGTH`` bytes.
+4. A bucket with more than ``LARGEST_BUCKET`` different contexts is split by longer prefixes: its
+   contexts are cut into blocks of ``BLOCK`` starts, and the bytes that all strings of a block share
+   name the new bucket. Equal blocks become one again. Should such a bucket still be too large, it is
+   split into one bucket per string, by a 128-bit digest of its ``LENGTH`` bytes.
 
 Texts are named by a digest, so equal texts are searched once; a text that occurs more than once
 goes as a whole if it has ``LENGTH`` bytes. Null texts are empty texts. Each row gets a result.
@@ -36,6 +38,7 @@ ANCHOR = 48
 SEGMENT = 4_000_000
 PERIOD = 36
 LARGEST_BUCKET = 512
+BLOCK = 32
 SORT_ROWS = 4096
 BATCH_BYTES = 4_000_000
 ANCHOR_TYPE = np.dtype([("hash", "<i8"), ("at", "<i4"), ("low", "<i4"), ("high", "<i4")])
@@ -270,6 +273,39 @@ def _sort_buckets(length: int):
     return sort
 
 
+def _blocks(length: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Contexts cut into blocks of starts, aligned at the anchor; each with its own bucket and digest."""
+        names = ["context_key", "hash", "before", "many", "times"]
+        for batch in batches:
+            rows = ([], [], [], [], [], [], [], [])
+            columns = [batch.column(n).to_pylist() for n in names]
+            for key, bucket, before, many, times, context in zip(*columns, batch.column("context").to_pylist()):
+                first = 0
+                while first < many:
+                    number = (first - before) // BLOCK
+                    end = min(many, (number + 1) * BLOCK + before)
+                    part = context[first : end - 1 + length]
+                    # the bytes that every string starting in this block has, wherever it starts
+                    start = number * BLOCK + before
+                    core = context[start + BLOCK - 1 : start + length]
+                    name = hashlib.blake2b(core, digest_size=8, key=b"%d,%d" % (bucket, number)).digest()
+                    digest = hashlib.blake2b(part, digest_size=16, key=b"%d,%d,%d" % (bucket, before - first, end - first))
+                    for values, value in zip(
+                        rows,
+                        (key, first, digest.digest(), int.from_bytes(name, "little", signed=True), before - first, end - first, times, part),
+                    ):
+                        values.append(value)
+                    first = end
+            kinds = [pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v, k) for v, k in zip(rows, kinds)],
+                ["whole_key", "base", "context_key", "hash", "before", "many", "times", "context"],
+            )
+
+    return cut
+
+
 def _strings(length: int):
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Digest of every string of the contexts of large buckets."""
@@ -340,6 +376,15 @@ def _remove(length: int):
     return remove
 
 
+def _sorted(contexts: DataFrame, length: int) -> DataFrame:
+    """Repeated stretches of the contexts in buckets of bounded size."""
+    return (
+        contexts.where(F.col("size") <= LARGEST_BUCKET)
+        .repartition("hash").sortWithinPartitions("hash")
+        .mapInArrow(_sort_buckets(length), "context_key binary, stretches binary")
+    )
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (byte spans)."""
     texts = docs.select(
@@ -388,22 +433,36 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         .select("context_key", "c.*", "times", "size")
     )
     contexts = stored(contexts)
-    sorted_marks = (
-        contexts.where(F.col("size") <= LARGEST_BUCKET)
-        .repartition("hash").sortWithinPartitions("hash")
-        .mapInArrow(_sort_buckets(length), "context_key binary, stretches binary")
+    blocks = stored(
+        contexts.where(F.col("size") > LARGEST_BUCKET).mapInArrow(
+            _blocks(length),
+            "whole_key binary, base int, context_key binary, hash bigint, before int, many int, "
+            "times bigint, context binary",
+        )
     )
-    strings = contexts.where(F.col("size") > LARGEST_BUCKET).mapInArrow(
+    distinct = blocks.groupBy("context_key").agg(
+        F.sum("times").alias("times"), F.first(F.struct("hash", "before", "many", "context")).alias("c")
+    ).select("context_key", "times", "c.*")
+    block_sizes = distinct.groupBy("hash").agg(F.count("*").alias("size"))
+    distinct = stored(distinct.join(block_sizes, "hash").where("size > 1 OR times > 1"))
+    strings = distinct.where(F.col("size") > LARGEST_BUCKET).mapInArrow(
         _strings(length), "digest binary, context_key binary, place int, times bigint"
     )
     again = strings.groupBy("digest").agg(F.sum("times").alias("n")).where("n > 1").select("digest")
-    split_marks = (
+    string_marks = (
         strings.join(again, "digest").groupBy("context_key").agg(F.collect_set("place").alias("places"))
         .mapInArrow(_to_stretches, "context_key binary, stretches binary")
     )
+    block_marks = (
+        blocks.select("whole_key", "base", "context_key")
+        .join(_sorted(distinct, length).union(string_marks), "context_key")
+        .select(F.col("whole_key").alias("context_key"), "base", "stretches")
+    )
+    found = _sorted(contexts, length).select("context_key", F.lit(0).alias("base"), "stretches")
     marks = (
-        places.join(sorted_marks.union(split_marks), "context_key")
-        .groupBy("text_key").agg(F.collect_list(F.struct("low", "stretches")).alias("marks"))
+        places.join(found.union(block_marks), "context_key")
+        .groupBy("text_key")
+        .agg(F.collect_list(F.struct((F.col("low") + F.col("base")).alias("low"), "stretches")).alias("marks"))
     )
     removed = part.select("text_key", "squeezed").join(marks, "text_key").mapInArrow(
         _remove(length),

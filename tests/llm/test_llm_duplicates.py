@@ -123,9 +123,10 @@ def removal_agrees(docs, length):
     assert got == sorted(plain_removed(texts, length))
 
 
-@pytest.mark.parametrize("largest", [512, 1])
-def test_removal_from_random_texts(spark, monkeypatch, largest):
+@pytest.mark.parametrize("largest, block", [(512, 32), (1, 32), (1, 7), (2, 16)])
+def test_removal_from_random_texts(spark, monkeypatch, largest, block):
     monkeypatch.setattr(suffix_dedup, "LARGEST_BUCKET", largest)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
     rng = random.Random(3)
     passages = ["".join(rng.choices("abcé ", k=rng.randint(70, 200))) for _ in range(6)]
     texts = []
