@@ -308,3 +308,21 @@ def reduced_vectors_kept(spark, sf):
         F.lit(kept > 0.95).alias("enough"),
         F.lit(without_last <= 0.95).alias("fewest"),
     )
+
+
+@query(
+    "reduction_of_pairs",
+    """
+    WITH c AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS r, count(*) AS n FROM lineitem)
+    SELECT n AS valid_rows, CAST(0 AS BIGINT) AS missing_rows, 2 AS original_size,
+      CASE WHEN (1 + r) / 2 > 0.95 THEN 1 ELSE 2 END AS reduced_size,
+      CASE WHEN (1 + r) / 2 > 0.95 THEN 2.0 ELSE 1.0 END AS compression,
+      round(CASE WHEN (1 + r) / 2 > 0.95 THEN (1 + r) / 2 ELSE 1.0 END, 6) AS variance_kept FROM c""",
+)
+def reduction_of_pairs(spark, sf):
+    """Two standardised columns: the rotation's variances are one plus and minus their correlation."""
+    pairs = table(spark, sf, "lineitem").select(
+        F.array(F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double")).alias("pair")
+    )
+    report = v.reduction_report(pairs, "pair", v.fit_reduction(pairs, "pair"))
+    return report.withColumn("variance_kept", rounded("variance_kept", 6))

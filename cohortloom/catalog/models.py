@@ -285,3 +285,132 @@ def audited_model(spark, sf):
     return audit_model(rows, model, NAMES, "vec_id")["raw"]
 
 
+# --- planted labels: whether a part is large, told by one feature among others --
+
+
+PLANTED = ["noise", "large", "big_number"]
+_SQL_PLANTED = """
+    p AS (SELECT p_partkey, p_partkey * 7919 % 101 AS noise, CASE WHEN p_size > 25 THEN 1 ELSE 0 END AS large,
+            p_partkey * 10007 % 1000003 AS big_number FROM part)"""
+
+
+def planted_parts(spark, sf):
+    """Parts with a label that equals one feature; another feature is a million times as large."""
+    key = F.col("p_partkey").cast("bigint")
+    return table(spark, sf, "part").select(
+        "p_partkey", (key * 7919 % 101).alias("noise"), (F.col("p_size") > 25).cast("int").alias("large"),
+        (key * 10007 % 1000003).alias("big_number"), (F.col("p_size") > 25).cast("int").alias("target"),
+    )
+
+
+def _planted_results(spark, sf, config, runs=1, **options):
+    split = assign_split(planted_parts(spark, sf), "p_partkey", "target")
+    found = tr.evaluate(split, PLANTED, [config], "p_partkey", "target", runs=runs, **options)
+    return found.select("model_name", "metric_name", rounded("mean").alias("mean"))
+
+
+def _sql_all_right(family):
+    """Every metric is the share of rows whose label equals the telling feature."""
+    return f"""
+    WITH {_SQL_PLANTED}
+    SELECT '{family}' AS model_name, m AS metric_name,
+      (SELECT avg(CASE WHEN (p_size > 25) = (large = 1) THEN 1.0 ELSE 0.0 END) FROM part JOIN p USING (p_partkey)) AS mean
+    FROM unnest(['accuracy', 'precision', 'recall', 'f1', 'roc_auc']) AS u(m)"""
+
+
+@query("planted_network_results", _sql_all_right("network"))
+def planted_network_results(spark, sf):
+    """Needs scaled inputs: unscaled, the large numbers drown the telling feature."""
+    params = {"hidden": [8], "maxIter": 100}
+    return _planted_results(spark, sf, tr.Config("network", strategy="oversample_1.0", params=params))
+
+
+@query("planted_forest_results", _sql_all_right("forest"))
+def planted_forest_results(spark, sf):
+    params = {"numTrees": 5, "maxDepth": 5, "featureSubsetStrategy": "all"}
+    grid = {"forest": {"maxDepth": [4, 5]}}
+    return _planted_results(spark, sf, tr.Config("forest", params=params), grids=grid, folds=3)
+
+
+@query("planted_boosted_results", _sql_all_right("boosted"))
+def planted_boosted_results(spark, sf):
+    config = tr.Config("boosted", strategy="downsample_balanced", params={"maxIter": 3, "maxDepth": 3})
+    return _planted_results(spark, sf, config)
+
+
+@query("planted_svm_results", _sql_all_right("svm"))
+def planted_svm_results(spark, sf):
+    return _planted_results(spark, sf, tr.Config("svm", params={"maxIter": 50}))
+
+
+@query(
+    "planted_importances",
+    f"""
+    WITH {_SQL_PLANTED}
+    SELECT f AS feature, CASE WHEN f = 'large' THEN (SELECT max(large) FROM p) * 1.0 ELSE 0.0 END AS importance,
+      f = 'large' AS kept FROM unnest({PLANTED}) AS u(f)""",
+)
+def planted_importances(spark, sf):
+    params = {"maxIter": 3, "maxDepth": 2, "stepSize": 0.1}
+    rows = planted_parts(spark, sf)
+    _, importances = tr.select_features(rows, PLANTED, "target", min_keep=1, params=params)
+    return importances.select("feature", rounded("importance").alias("importance"), "kept")
+
+
+def _stump(spark, sf):
+    """One tree with one split; no rows are drawn, so its shares are those of the table."""
+    params = {"numTrees": 1, "maxDepth": 1, "featureSubsetStrategy": "all", "bootstrap": False}
+    rows = planted_parts(spark, sf)
+    config = tr.Config("forest", params=params, weighted=False)
+    return rows, tr.refit(rows, PLANTED, config, "p_partkey", "target")
+
+
+@query(
+    "saved_stump_scores",
+    f"WITH {_SQL_PLANTED} SELECT p_partkey, CAST(large AS DOUBLE) AS p_completion FROM p",
+)
+def saved_stump_scores(spark, sf):
+    """Saved, loaded and scored: the leaf shares of the single split."""
+    rows, model = _stump(spark, sf)
+    path = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+    save_model(model, {"model_name": "forest", "feature_names": PLANTED, "random_state": 42}, path)
+    loaded, metadata = load_model(spark, path)
+    scored = score(rows.select("p_partkey", *metadata["feature_names"]), loaded)
+    return scored.select("p_partkey", rounded("p_completion").alias("p_completion"))
+
+
+@query(
+    "stump_attribution",
+    f"""
+    WITH {_SQL_PLANTED}
+    SELECT p_partkey, 0.0 AS phi_noise, round(large - (SELECT avg(large) FROM p), 6) AS phi_large,
+      0.0 AS phi_big_number FROM p""",
+)
+def stump_attribution(spark, sf):
+    """With one split, the Shapley value is the leaf's share minus the table's."""
+    from cohortloom.plans.audit import explained
+
+    rows, model = _stump(spark, sf)
+    found = explained(rows.drop("target"), model, PLANTED, "p_partkey")
+    return found.select("p_partkey", *[rounded(f"phi_{n}", 6).alias(f"phi_{n}") for n in PLANTED])
+
+
+@query(
+    "svm_audit_adds_up",
+    f"WITH {_SQL_PLANTED} SELECT p_partkey, abs(large - large) < 1 AS additive FROM p",
+)
+def svm_audit_adds_up(spark, sf):
+    """The linear family's contributions add up to the margin minus its mean, for every row."""
+    from cohortloom.plans.audit import explained
+
+    rows = planted_parts(spark, sf)
+    config = tr.Config("svm", params={"maxIter": 10}, weighted=False)
+    model = tr.refit(rows, PLANTED, config, "p_partkey", "target")
+    margin = vector_to_array("_margin_raw")[1]
+    scored = model.transform(rows).select("p_partkey", margin.alias("margin"))
+    mean = scored.agg(F.avg("margin").alias("mean"))
+    total = sum((F.col(f"phi_{n}") for n in PLANTED), F.lit(0.0))
+    found = explained(rows.drop("target"), model, PLANTED, "p_partkey").select("p_partkey", total.alias("sum"))
+    centred = F.col("margin") - mean.scalar()
+    close = F.abs(F.col("sum") - centred) <= 1e-6 * (1 + F.abs(centred))
+    return scored.join(found, "p_partkey").select("p_partkey", close.alias("additive"))

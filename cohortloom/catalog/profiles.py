@@ -1,8 +1,10 @@
 """Metrics, counts, summaries, ranks, buckets, cohort tables and chart data."""
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from cohortloom.catalog.features import SQL_STATUS_LABEL
+from cohortloom.operators.quantiles import quantiles
 from cohortloom.catalog.registry import as_long, query, rounded, table
 from cohortloom.functions.nested import label_from_status
 from cohortloom.operators import cohort as h
@@ -496,3 +498,72 @@ def chart_enrollment(spark, sf):
 def rank_counts_by_month(spark, sf):
     found = scored_orders(spark, sf).groupBy(as_long("month").alias("month"))
     return found.agg(F.count("*").alias("n"), F.min("rank_nsclc").alias("best"))
+
+
+_ODD_NUMBERS = """
+    SELECT CASE WHEN o_orderkey % 10 < 2 THEN CAST('-inf' AS DOUBLE) WHEN o_orderkey % 10 < 4
+      THEN CAST('inf' AS DOUBLE) WHEN o_orderkey % 10 = 4 THEN NULL ELSE 5.0 END AS x FROM orders"""
+
+
+@query(
+    "quantiles_with_infinities",
+    f"""
+    SELECT quantile_disc(x, 0.05) = CAST('-inf' AS DOUBLE) AS low_is_infinite, quantile_disc(x, 0.5) AS middle,
+      quantile_disc(x, 0.95) = CAST('inf' AS DOUBLE) AS high_is_infinite, CAST(0 AS BIGINT) AS from_nulls
+    FROM ({_ODD_NUMBERS})""",
+)
+def quantiles_with_infinities(spark, sf):
+    """Infinities at both ends, nulls, and one value in the middle of almost half of all rows."""
+    rest = F.col("o_orderkey") % 10
+    x = (
+        F.when(rest < 2, float("-inf")).when(rest < 4, float("inf"))
+        .when(rest > 4, 5.0).alias("x")
+    )
+    rows = table(spark, sf, "orders").select(x, F.lit(None).cast("double").alias("nothing"))
+    found = quantiles(rows, ["x", "nothing"], [0.05, 0.5, 0.95])
+    low, middle, high = found["x"].values()
+    values = sum(v is not None for v in found["nothing"].values())
+    return spark.createDataFrame(
+        [(low == float("-inf"), middle, high == float("inf"), values)],
+        "low_is_infinite boolean, middle double, high_is_infinite boolean, from_nulls bigint",
+    )
+
+
+class _FixedLinear:
+    """A model whose probability SQL can compute, too."""
+
+    def transform(self, df):
+        p = 1 / (1 + F.exp(-(F.col("month") - 6) / 4 - F.col("unknown")))
+        return df.withColumn("probability", array_to_vector(F.array(1 - p, p)))
+
+
+@query(
+    "scored_cohort_end_to_end",
+    """
+    WITH o AS (SELECT o_orderkey // 2 AS nct_id, month(o_orderdate) AS month, o_orderkey AS enrollment_planned_num,
+        CASE o_orderstatus WHEN 'O' THEN 'RECRUITING' WHEN 'F' THEN 'COMPLETED'
+          ELSE 'ENROLLING_BY_INVITATION' END AS overall_status, o_orderkey % 3 = 0 AS is_nsclc FROM orders),
+    c AS (SELECT *, 1 / (1 + exp(-(month - 6) / 4.0)) AS p FROM o WHERE is_nsclc AND overall_status <> 'COMPLETED'),
+    t AS (SELECT quantile_cont(p, 0.7) AS low, quantile_cont(p, 0.3) AS high FROM c)
+    SELECT nct_id, CAST(month AS INTEGER) AS month, overall_status, enrollment_planned_num,
+      round(p, 6) AS p_completion, CASE WHEN p >= low - 1e-12 THEN 'LOW' WHEN p <= high + 1e-12 THEN 'HIGH'
+      ELSE 'MEDIUM' END AS risk_bucket FROM c, t""",
+)
+def scored_cohort_end_to_end(spark, sf):
+    """Source choice, filter, alignment, scoring and buckets; two rows may share an id."""
+    from cohortloom.plans.scoring import score_cohort
+
+    status = F.when(F.col("o_orderstatus") == "O", "RECRUITING").when(F.col("o_orderstatus") == "F", "COMPLETED")
+    orders = table(spark, sf, "orders").select(
+        F.floor(F.col("o_orderkey") / 2).cast("bigint").alias("nct_id"), F.month("o_orderdate").alias("month"),
+        F.col("o_orderkey").alias("enrollment_planned_num"),
+        status.otherwise("ENROLLING_BY_INVITATION").alias("overall_status"),
+        (F.col("o_orderkey") % 3 == 0).cast("int").alias("is_nsclc"),
+    )
+    done = orders.filter(F.col("overall_status") == "COMPLETED")
+    metadata = {"feature_names": ["month", "unknown"]}
+    scored = score_cohort([done, orders], done, _FixedLinear(), metadata)
+    return scored.select(
+        "nct_id", "month", "overall_status", "enrollment_planned_num",
+        rounded("p_completion", 6).alias("p_completion"), "risk_bucket",
+    )

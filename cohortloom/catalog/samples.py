@@ -78,6 +78,32 @@ def stratified_folds(spark, sf):
     return s.assign_folds(orders, "o_orderkey", "o_orderstatus").select("o_orderkey", "fold")
 
 
+@query(
+    "folds_by_customer",
+    f"""
+    SELECT o_orderkey, CAST(floor((rn * 3 - 1) / n) AS INTEGER) AS fold
+    FROM (SELECT o_orderkey,
+        row_number() OVER (PARTITION BY o_custkey ORDER BY {sql_draw("o_orderkey")}, o_orderkey) AS rn,
+        count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)""",
+)
+def folds_by_customer(spark, sf):
+    """Folds over very many classes: every customer is one."""
+    orders = table(spark, sf, "orders")
+    return s.assign_folds(orders, "o_orderkey", "o_custkey", 3).select("o_orderkey", "fold")
+
+
+@query(
+    "weights_by_customer",
+    """
+    SELECT o_orderkey, round(count(*) OVER () * 1.0
+      / ((SELECT count(DISTINCT o_custkey) FROM orders) * count(*) OVER (PARTITION BY o_custkey)), 6) AS weight
+    FROM orders""",
+)
+def weights_by_customer(spark, sf):
+    weighted = s.class_weights(table(spark, sf, "orders"), "o_custkey")
+    return weighted.select("o_orderkey", rounded("weight", 6).alias("weight"))
+
+
 def _sql_downsample(ratio: float) -> str:
     return f"""
     WITH c AS (SELECT quality, count(*) AS n FROM labels GROUP BY 1),

@@ -350,12 +350,9 @@ STRATEGY_RATIOS = {
 }
 OVERSAMPLE_RATIOS = [0.6, 0.8, 1.0]
 EMBEDDING_BATCH = 32
-EMBEDDING_TOKENS = 512
 HISTOGRAM_BINS = 50
 LOW_RISK_PERCENTILE = 0.70
 HIGH_RISK_PERCENTILE = 0.30
-ATTRIBUTION_ROWS = 2000
-COHORT_ATTRIBUTION_ROWS = 500
 
 SELECTION_PARAMS = {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8}
 FOREST_GRID = {

@@ -163,10 +163,10 @@ def resolve_feature(name: str, names: Sequence[str]) -> str | None:
 
 
 def dependence(
-    df: DataFrame, wanted: Sequence[str], names: Sequence[str], prefix: str = "phi_", most: int = 5
+    df: DataFrame, wanted: Sequence[str], names: Sequence[str], prefix: str = "phi_"
 ) -> DataFrame:
-    """Value and attribution of the first ``most`` resolved features: feature, value, phi."""
-    shown = [n for n in wanted if not n.startswith("pca_emb")][:most]
+    """Value and attribution of the resolved features: feature, value, phi."""
+    shown = [n for n in wanted if not n.startswith("pca_emb")]
     found = [r for r in (resolve_feature(n, names) for n in shown) if r]
     rows = F.array(
         *[
@@ -193,7 +193,7 @@ def direction(df: DataFrame, value: str = "value", phi: str = "phi", key: str =
 
 
 def report_points(
-    df: DataFrame, wanted: Sequence[str], names: Sequence[str], prefix: str = "phi_", most: int = 5
+    df: DataFrame, wanted: Sequence[str], names: Sequence[str], prefix: str = "phi_"
 ) -> DataFrame:
     """Value and attribution of (grouped) features: the mean over all features they match."""
 
@@ -204,7 +204,7 @@ def report_points(
         return total / len(cols)
 
     rows = []
-    for name in wanted[:most]:
+    for name in wanted:
         matched = [n for n in names if name in n or n in name]
         if matched:
             phi = mean([f"{prefix}{n}" for n in matched])

@@ -174,6 +174,8 @@ def check_columns(df: DataFrame, required: Sequence[str] = tuple(fv.CRITICAL_COL
 
 
 def expand_vector(df: DataFrame, array_col: str, size: int, prefix: str) -> DataFrame:
-    """One column per array element, null where the array is null."""
-    parts: list[Column] = [F.get(array_col, F.lit(i)).alias(f"{prefix}{i}") for i in range(size)]
+    """One column per array element, null where the array is null or shorter; longer ones are an error."""
+    message = F.concat(F.lit(f"{array_col} has more than {size} elements: "), F.size(array_col))
+    whole = F.when(F.size(array_col) > size, F.raise_error(message)).otherwise(F.col(array_col))
+    parts: list[Column] = [F.get(whole, F.lit(i)).alias(f"{prefix}{i}") for i in range(size)]
     return df.select("*", *parts)

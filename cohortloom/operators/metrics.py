@@ -67,9 +67,12 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
 
     Rows are first counted per distinct score, so a score shared by many rows is one
     row from then on. Each range of scores is then summed up on its own, and only one
-    row per range is left for the final running total.
+    row per range is left for the final running total. Rows without a score or label, and
+    scores that are not a number, are left out.
     """
-    rated = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
+    rated = df.filter(
+        F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(label).isNotNull()
+    )
     ranges = Bucketizer(splits=_score_ranges(rated, score), inputCol="score", outputCol="range")
     per_score = rated.groupBy(F.col(score).cast("double").alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")

@@ -70,8 +70,10 @@ def ranked_thresholds(
     low: float = fv.LOW_RISK_PERCENTILE,
     high: float = fv.HIGH_RISK_PERCENTILE,
 ) -> tuple[float, float]:
-    """The same percentiles of rows that have a rank already: a look at four ranks."""
+    """The same percentiles of rows that have a rank already: a look at four ranks; no rows, no thresholds."""
     rows = ranked.agg(F.max(rank)).first()[0]
+    if rows is None:
+        return None, None
     spots = [(rows - 1) * q for q in (low, high)]
     places = {rows - p for at in spots for p in (math.floor(at), math.ceil(at))}
     found = {

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -14,9 +16,9 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import MinMaxScaler, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +57,13 @@ def estimator(
     features: str = "features",
     weight: str | None = None,
     size: int | None = None,
+    vectors: Sequence[int] = (),
 ):
-    """Unfitted classifier with a ``probability`` column."""
+    """Unfitted classifier with a ``probability`` column.
+
+    The network scales its inputs itself: places in ``vectors`` to unit deviation, the
+    others to 0..1, both as fitted on the training rows.
+    """
     common = {"featuresCol": features, "labelCol": label}
     if weight and family != "network":
         common["weightCol"] = weight
@@ -75,10 +82,32 @@ def estimator(
         return Pipeline(stages=[margin, as_vector, platt])
     if family == "network":
         layers = [size, *params.pop("hidden", [64, 32]), 2]
-        return MultilayerPerceptronClassifier(**common, layers=layers, seed=seed, **params)
+        scaled = {**common, "featuresCol": "_scaled"}
+        network = MultilayerPerceptronClassifier(**scaled, layers=layers, seed=seed, **params)
+        return Pipeline(stages=[*_scalers(size, vectors, features), network])
     raise ValueError(f"unknown family: {family}")
 
 
+def _scalers(size: int, vectors: Sequence[int], features: str) -> list:
+    """Stages from ``features`` to ``_scaled``."""
+    plain = [i for i in range(size) if i not in set(vectors)]
+    stages, parts = [], []
+    if plain:
+        stages.append(VectorSlicer(inputCol=features, outputCol="_plain", indices=plain))
+        stages.append(MinMaxScaler(inputCol="_plain", outputCol="_plain_scaled"))
+        parts.append("_plain_scaled")
+    if vectors:
+        stages.append(VectorSlicer(inputCol=features, outputCol="_vector", indices=list(vectors)))
+        scaler = StandardScaler(inputCol="_vector", outputCol="_vector_scaled", withMean=True)
+        stages.append(scaler)
+        parts.append("_vector_scaled")
+    return [*stages, VectorAssembler(inputCols=parts, outputCol="_scaled")]
+
+
+def vector_places(cols: Sequence[str]) -> list[int]:
+    return [i for i, c in enumerate(cols) if c.startswith(fv.PCA_PREFIX)]
+
+
 def param_grid(base, grid: Mapping[str, Sequence]):
     builder = ParamGridBuilder()
     for name, values in grid.items():
@@ -101,18 +130,24 @@ def search(
     base = estimator(family, seed=seed, label=label, weight=weight)
     grid_maps = param_grid(base, grid)
     folded = assign_folds(train, id_col, label, folds, seed, "fold")
-    validator = CrossValidator(
-        estimator=base,
-        estimatorParamMaps=grid_maps,
-        evaluator=BinaryClassificationEvaluator(labelCol=label, numBins=0),
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-    )
-    fitted = validator.fit(folded)
-    best = max(range(len(grid_maps)), key=lambda i: fitted.avgMetrics[i])
+    evaluator = BinaryClassificationEvaluator(labelCol=label, numBins=0)
+    folded = folded.persist()
+    total = [0.0] * len(grid_maps)
+    for fold in range(folds):
+        held = folded.filter(F.col("fold") == fold)
+        models = base.fitMultiple(folded.filter(F.col("fold") != fold), grid_maps)
+
+        def judged(_, models=models, held=held):
+            place, model = next(models)
+            return place, evaluator.evaluate(model.transform(held))
+
+        with ThreadPool(min(parallelism, len(grid_maps))) as pool:
+            for place, area in pool.imap_unordered(inheritable_thread_target(train.sparkSession)(judged), grid_maps):
+                total[place] += area
+    folded.unpersist()
+    best = max(range(len(grid_maps)), key=lambda i: total[i])
     chosen = {param.name: value for param, value in grid_maps[best].items()}
-    return chosen, fitted.avgMetrics[best]
+    return chosen, total[best] / folds
 
 
 def prepared(
@@ -128,11 +163,14 @@ def prepared(
 
 
 def fit(
-    train: DataFrame, config: Config, id_col: str, label: str, seed: int, size: int | None = None
+    train: DataFrame, config: Config, id_col: str, label: str, seed: int, cols: Sequence[str]
 ):
     rows = prepared(train, config, id_col, label, seed)
     weight = "weight" if config.uses_weights else None
-    return estimator(config.family, config.params, seed, label, weight=weight, size=size).fit(rows)
+    chosen = estimator(
+        config.family, config.params, seed, label, weight=weight, size=len(cols), vectors=vector_places(cols)
+    )
+    return chosen.fit(rows)
 
 
 def run_metrics(
@@ -191,7 +229,7 @@ def evaluate(
                 )
             config.params = {**config.params, **tuned[key]}
         for run in range(runs):
-            model = fit(train, config, id_col, label, seed + run, len(cols))
+            model = fit(train, config, id_col, label, seed + run, cols)
             held = validation if config.family == "network" else None
             found = run_metrics(model, test, label, held)
             named = (config.family, config.input_mode, config.strategy)
@@ -247,6 +285,8 @@ def refit(
     weight = "weight" if config.uses_weights else None
     stages = [
         VectorAssembler(inputCols=list(cols), outputCol="features"),
-        estimator(config.family, config.params, seed, label, weight=weight, size=len(cols)),
+        estimator(
+            config.family, config.params, seed, label, weight=weight, size=len(cols), vectors=vector_places(cols)
+        ),
     ]
     return Pipeline(stages=stages).fit(rows)

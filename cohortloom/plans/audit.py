@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LinearSVCModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom import fixed_values as fv
 from cohortloom.operators import attribution as a
 from cohortloom.operators.sampling import sample_n
+from cohortloom.session import cut_lineage
+
+
+def explained(features: DataFrame, model, names: list[str], id_col: str) -> DataFrame:
+    """Id, features and their contributions (``phi_`` columns) under a fitted pipeline.
+
+    Trees get exact path attribution; the linear family gets weight times deviation, which
+    adds up to the margin minus its mean.
+    """
+    last = model.stages[-1]
+    if isinstance(last, PipelineModel) and isinstance(last.stages[0], LinearSVCModel):
+        weights = dict(zip(names, (float(w) for w in last.stages[0].coefficients.toArray())))
+        return a.linear_attribution(features, weights)
+    if not hasattr(last, "trees"):
+        raise ValueError(f"no attribution for {type(last).__name__}")
+    parts = a.tree_attribution(model.stages[0].transform(features), last)
+    return parts.select(
+        id_col, *names, *[F.col("phi")[i].alias(f"phi_{n}") for i, n in enumerate(names)]
+    )
 
 
 def audit_model(
@@ -15,24 +36,24 @@ def audit_model(
     model,
     names: list[str],
     id_col: str = fv.ID_COLUMN,
-    rows: int = fv.ATTRIBUTION_ROWS,
+    rows: int | None = None,
+    shown: int = 20,
+    detailed: int = 5,
 ) -> dict[str, DataFrame]:
     """Importance tables (raw, grouped), dependence, direction and leakage report.
 
-    ``features`` holds the id and the named numeric columns; the tree model is the
-    last stage of the pipeline.
+    ``features`` holds the id and the named numeric columns; every row is explained unless
+    ``rows`` asks for a sample. The importance tables list the first ``shown`` features,
+    dependence and direction the first ``detailed`` groups.
     """
-    sampled = sample_n(features.select(id_col, *names), id_col, rows)
-    assembled = model.stages[0].transform(sampled)
-    explained = a.tree_attribution(assembled, model.stages[-1])
-    wide = explained.select(
-        id_col, *names, *[F.col("phi")[i].alias(f"phi_{n}") for i, n in enumerate(names)]
-    ).persist()
+    used = features.select(id_col, *names)
+    used = used if rows is None else sample_n(used, id_col, rows)
+    wide = cut_lineage(explained(used, model, names, id_col))
     raw = a.mean_abs(wide, [f"phi_{n}" for n in names], prefix="phi_")
-    grouped = a.importance_table(raw, 20, grouped=True)
-    top = [row["feature"] for row in grouped.orderBy("rank").limit(5).collect()]
+    grouped = a.importance_table(raw, shown, grouped=True)
+    top = [row["feature"] for row in grouped.orderBy("rank").limit(detailed).collect()]
     return {
-        "raw": a.importance_table(raw, 20),
+        "raw": a.importance_table(raw, shown),
         "grouped": grouped,
         "dependence": a.dependence(wide, top, names),
         "direction": a.direction(a.report_points(wide, top, names)),

@@ -24,6 +24,10 @@ def parse_stage(spark: SparkSession, full_path: str, search_path: str, out: str)
     path = first_existing(spark, [full_path, search_path])
     parsed = parse_all(read_lines(spark, path), wrapped=path == full_path)
     write_stage(parsed, out, partition_by=["kept"])
+    # a side without rows gets an empty file, so that both paths can be read
+    nothing = spark.createDataFrame([], parsed.drop("kept").schema).coalesce(1)
+    for side in ("true", "false"):
+        nothing.write.mode("append").parquet(f"{out}/kept={side}")
     return f"{out}/kept=true", f"{out}/kept=false"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cohortloom import fixed_values as fv
 from cohortloom.operators import cohort
@@ -28,6 +29,8 @@ def score_cohort(
     source = cohort.pick_source(candidates, cohort.is_ongoing(), default)
     rows = cohort.filter_cohort(source, **filters)
     names = metadata["feature_names"]
-    aligned = coerce_numeric(align_features(rows, names, keep=[id_col]), names)
-    scored = cohort.score(aligned, model).select(id_col, "p_completion")
-    return cohort.scored_table(rows.join(scored, id_col), names, id_col=id_col)
+    # the row travels beside its aligned features, so rows with equal ids stay apart
+    whole = F.struct(*[F.col(c) for c in rows.columns if c != "p_completion"]).alias("_row")
+    aligned = coerce_numeric(align_features(rows.select("*", whole), names, keep=["_row"]), names)
+    scored = cohort.score(aligned, model).select("_row.*", "p_completion")
+    return cohort.scored_table(scored, names, id_col=id_col)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,7 @@ def local_session(cpus: str = "*", partitions: int = 8, memory: str = "16g") ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
@@ -25,7 +28,7 @@ def local_session(cpus: str = "*", partitions: int = 8, memory: str = "16g") ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Checkpoint folder: the one the cluster names, or a scratch one on local runs."""
+    """Checkpoint folder: the one the cluster names, or a scratch one on local runs, removed at their end."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
@@ -35,6 +38,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can read")
         configured = tempfile.mkdtemp(prefix="cohortloom-checkpoint-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     context.setCheckpointDir(configured)
     return context.getCheckpointDir()
 
