@@ -193,7 +193,48 @@ def mask_secrets(docs: DataFrame, owner_col: str = "source", repo_col: str = "la
     )
 
 
-@query("op6_secret_scans")
+def _sql() -> str:
+    """The same rows in DuckDB; its case-insensitive flag knows more letters, so both are spelt out."""
+    either = "|".join(
+        "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+        for word in ("password", "passwd", "secret", "token", "api_?key")
+    )
+    assign = (f"({either})" + ASSIGN[ASSIGN.index("[") :]).replace("'", "''")
+    kinds = " UNION ALL ".join(
+        f"""SELECT r, owner, repo, {k} AS kind, regexp_extract_all(t, '{pattern}') AS f,
+        regexp_extract_all(t, '{pattern}', {group}) AS v, string_split_regex(t, '{pattern}') AS p
+        FROM d WHERE regexp_matches(t, '{pattern}')"""
+        for k, pattern, group in ((0, assign, 2), (1, ACCESS, 0), (2, HEX, 0), (3, OWNED, 0))
+    )
+    names = ", ".join(f"'{k}'" for k in KINDS)
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+        coalesce(source, '') AS owner, coalesce(lang, '') AS repo FROM documents),
+    m AS ({kinds}),
+    x AS (SELECT *, unnest(generate_series(1, len(f))) AS i FROM m),
+    s AS (SELECT r, owner, kind, v[i] AS value, length(f[i]) AS n,
+        CAST(list_sum(list_transform(p[1 : i], lambda y: length(y)))
+          + coalesce(list_sum(list_transform(f[1 : i - 1], lambda y: length(y))), 0) AS BIGINT) AS a FROM x),
+    b AS (SELECT * FROM s WHERE kind IN (1, 2) OR kind = 0 AND length(value) >= {ASSIGN_LEAST}),
+    e AS (SELECT * FROM s WHERE kind = 3 AND regexp_matches(value, '[A-Za-z]')
+        AND regexp_matches(value, '([0-9][^0-9]*){{4}}')
+        AND NOT EXISTS (FROM b WHERE b.r = s.r AND b.a < s.a + s.n AND s.a < b.a + b.n)),
+    o AS (SELECT value, count(DISTINCT owner) AS owners FROM (FROM b UNION ALL FROM e) GROUP BY value),
+    j AS (SELECT u.*, owners, ([{names}])[kind + 1] || ':' || a || ':' || (a + n) AS span
+        FROM (FROM b UNION ALL FROM e) u JOIN o USING (value)),
+    g AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
+        count(*) FILTER (kind = 2) AS n_hex,
+        string_agg(span, ',' ORDER BY a, kind) FILTER (kind < 3) AS base,
+        string_agg(span, ',' ORDER BY a, kind) FILTER (kind < 3 OR owners = 1) AS spans,
+        count(*) FILTER (owners = 1) AS n_live, count(*) FILTER (owners > 1 AND kind < 3) AS n_copied
+        FROM j GROUP BY r)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+      coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+      coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+    FROM d LEFT JOIN g USING (r)"""
+
+
+@query("op6_secret_scans", _sql())
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_copied"
