@@ -1,6 +1,14 @@
 """Registered queries with their SQL counterparts."""
 
-from cohortloom.catalog import features, models, profiles, records, samples, texts
+from cohortloom.catalog import (
+    features,
+    models,
+    profiles,
+    record_columns,
+    records,
+    samples,
+    texts,
+)
 from cohortloom.catalog.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "features", "models", "profiles", "records", "samples", "texts"]
+__all__ = ["ORACLES", "QUERIES", "features", "models", "profiles", "record_columns", "records", "samples", "texts"]
