@@ -6,13 +6,14 @@ chunk (max-pooling), and a linear layer turns these into the chunk's logit. The
 chunk logit of a document are combined into one probability.
 
 The network is fitted on a bounded sample of labelled rows: at most ``SAMPLE`` rows of each class,
-in the order of a hash of the id, each by ``CHUNKS_PER_ROW`` evenly spaced chunks. Everything else
-covers all rows and whole texts. With no labels, or only one class, every score is the share of
+in the order of a hash of the id, each by ``CHUNKS_PER_ROW`` evenly spaced chunks and one short
+beginning, so that short texts are known, too. Everything else covers all rows and whole texts. With no labels, or only one class, every score is the share of
 label 1 (0.5 without labels). Null texts are empty texts; they get a score like any other.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ from cohortloom.llm.common import held_out, query, read, text_of, text_pieces
 
 SAMPLE = 1000
 CHUNKS_PER_ROW = 6
+BEGINNINGS = (12, 24, 48, 96, 192)
 CHUNK, STEP = 512, 448
 EMBED, WIDTH, STRIDE, FILTERS = 6, 8, 2, 24
 POSITIONS = (CHUNK - WIDTH) // STRIDE + 1
@@ -179,14 +181,16 @@ def sampled_rows(docs: DataFrame, sample: DataFrame) -> DataFrame:
 
 
 def _sample_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Evenly spaced chunks of each row, the first and the last among them."""
+    """Evenly spaced chunks of each row, the first and the last among them, and a short beginning."""
     for batch in text_pieces(batches, "text", BATCH_BYTES):
         found = []
-        for text in batch.column("text").to_pylist():
+        for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             data = text.encode()
+            short = data[: BEGINNINGS[zlib.crc32(str(name).encode()) // 5 % len(BEGINNINGS)]]
             starts = chunk_starts(len(data))
             picked = starts[np.unique(np.linspace(0, len(starts) - 1, CHUNKS_PER_ROW).astype(int))]
-            found.append(b"".join(chunks_of(data[s:], np.array([0])).tobytes() for s in picked.tolist()))
+            parts = [short, *(data[s:] for s in picked.tolist())]
+            found.append(b"".join(chunks_of(p, np.array([0])).tobytes() for p in parts))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("y"), pa.array(found, pa.binary())], ["doc_id", "y", "chunks"]
         )
@@ -204,7 +208,7 @@ def _features_with(shared):
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = SAMPLE) -> Network:
-    """Driver: the sample's chunks, ``2 x per_class x CHUNKS_PER_ROW x CHUNK`` numbers at most."""
+    """Driver: the sample's chunks, ``2 x per_class x (CHUNKS_PER_ROW + 1) x CHUNK`` numbers at most."""
     spark = docs.sparkSession
     sample = spark.createDataFrame(
         labelled_sample(labels, label, per_class, ~held_out()).collect(),
