@@ -367,3 +367,4 @@ BOOSTED_GRID = {
     "subsamplingRate": [0.8, 0.9],
     "featureSubsetStrategy": ["0.8", "0.9"],
 }
+GRIDS = {"forest": FOREST_GRID, "boosted": BOOSTED_GRID}

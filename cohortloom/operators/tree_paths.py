@@ -64,24 +64,30 @@ def leaf_paths(model) -> tuple[list[LeafPath], float]:
 
 
 def path_contributions(paths: list[tuple], rows: np.ndarray, size: int) -> np.ndarray:
-    """Contribution of each feature for each row, summed over all leaves (as plain tuples)."""
+    """Contribution of each feature for each row, summed over all leaves (as plain tuples).
+
+    Per leaf, the sums by subset size are the coefficients of prod_i (share_i + hit_i z). They are
+    built once; dividing by one factor gives the sums over the other features, for all features at once.
+    """
     phi = np.zeros((len(rows), size))
     for value, features, low, high, share in paths:
         m = len(features)
         if m == 0:
             continue
         x = rows[:, features]
-        hit = ((x > low) & (x <= high)).astype(float)
+        hit = (x > low) & (x <= high)
         weight = [factorial(s) * factorial(m - 1 - s) / factorial(m) for s in range(m)]
-        for j in range(m):
-            # sums over subsets of the other features, by subset size
-            sums = np.zeros((len(rows), m))
-            sums[:, 0] = 1.0
-            for i in range(m):
-                if i == j:
-                    continue
-                grown = sums * share[i]
-                grown[:, 1:] += sums[:, :-1] * hit[:, [i]]
-                sums = grown
-            phi[:, features[j]] += value * (hit[:, j] - share[j]) * (sums @ weight)
+        whole = np.zeros((len(rows), m + 1))
+        whole[:, 0] = 1.0
+        for i in range(m):
+            grown = whole * share[i]
+            grown[:, 1:] += whole[:, :-1] * hit[:, [i]]
+            whole = grown
+        others = np.empty((len(rows), m, m))
+        others[:, :, m - 1] = whole[:, [m]]
+        for k in range(m - 1, 0, -1):
+            others[:, :, k - 1] = whole[:, [k]] - share * others[:, :, k]
+        # a factor that the row misses is only its share
+        others = np.where(hit[:, :, None], others, whole[:, None, :m] / np.asarray(share)[:, None])
+        phi[:, features] += value * (hit - share) * (others @ weight)
     return phi

@@ -47,14 +47,18 @@ def run_experiments(
     configs: Sequence[Config],
     out_dir: str | None = None,
     runs: int = fv.RUNS,
-    grids: Mapping | None = None,
+    grids: Mapping = fv.GRIDS,
     folds: int = fv.FOLDS,
     select: bool = True,
     selection_params: Mapping = fv.SELECTION_PARAMS,
     id_col: str = fv.ID_COLUMN,
     label: str = fv.LABEL_COLUMN,
 ) -> DataFrame:
-    """Long results of all configurations; the best one is refitted and saved to ``out_dir``."""
+    """Long results of all configurations; the best one is refitted and saved to ``out_dir``.
+
+    ``grids`` holds the parameters searched per family, the full ones by default; an empty
+    mapping trains with the parameters given in ``configs``.
+    """
     results, views, offset = None, {}, 0
     for mode in dict.fromkeys(x.input_mode for x in configs):
         data, cols = model_view(table, mode, id_col, label)

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from cohortloom import fixed_values as fv
 from cohortloom.operators import cohort
+from cohortloom.operators.attribution import importance_table, mean_abs
 from cohortloom.operators.columns import align_features
 from cohortloom.operators.impute import coerce_numeric
+from cohortloom.plans.audit import explained
 
 
 def score_cohort(
@@ -34,3 +36,11 @@ def score_cohort(
     aligned = coerce_numeric(align_features(rows.select("*", whole), names, keep=["_row"]), names)
     scored = cohort.score(aligned, model).select("_row.*", "p_completion")
     return cohort.scored_table(scored, names, id_col=id_col)
+
+
+def cohort_importance(
+    features: DataFrame, model, names: Sequence[str], shown: int = 20, id_col: str = fv.ID_COLUMN
+) -> DataFrame:
+    """Which features move the scores of a cohort most, over all its rows."""
+    parts = explained(features.select(id_col, *names), model, list(names), id_col)
+    return importance_table(mean_abs(parts, [f"phi_{n}" for n in names], prefix="phi_"), shown)

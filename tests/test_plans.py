@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 from test_records import study
 
@@ -76,7 +77,7 @@ def trained(spark, built, scratch):
         for mode in fv.INPUT_MODES
     ] + [tr.Config("boosted", "tabular", "downsample_balanced", {"maxIter": 3, "maxDepth": 2})]
     results = experiments.run_experiments(
-        final, configs, f"{scratch}/best", runs=2, selection_params={"maxIter": 3, "maxDepth": 3}
+        final, configs, f"{scratch}/best", runs=2, grids={}, selection_params={"maxIter": 3, "maxDepth": 3}
     )
     return results, f"{scratch}/best"
 
@@ -165,3 +166,50 @@ def test_selection_keeps_at_least_the_minimum(spark):
 def test_unknown_family():
     with pytest.raises(ValueError):
         tr.estimator("other")
+
+
+def test_empty_sides_of_a_parse_can_be_read(spark, scratch):
+    path = f"{scratch}/only_bad"
+    spark.createDataFrame([("{",), ("",)], "value string").coalesce(1).write.text(path)
+    parsed, rejects = dataset.parse_stage(spark, path, f"{path}-none", f"{scratch}/only_bad_out")
+    assert read_stage(spark, parsed).count() == 0 and read_stage(spark, rejects).count() > 0
+
+
+def test_equal_ids_stay_apart_in_a_scored_cohort(spark):
+    class Half:
+        def transform(self, df):
+            half = F.array(1 - F.col("x") / 10, F.col("x") / 10)
+            return df.withColumn("probability", array_to_vector(half))
+
+    rows = [("a", 1.0, "RECRUITING"), ("a", 2.0, "RECRUITING"), ("b", 3.0, "RECRUITING"), ("c", 4.0, "COMPLETED")]
+    df = spark.createDataFrame(rows, "nct_id string, x double, overall_status string")
+    found = scoring.score_cohort([df], df, Half(), {"feature_names": ["x", "absent"]}).collect()
+    assert sorted((r["nct_id"], r["p_completion"]) for r in found) == [("a", 0.1), ("a", 0.2), ("b", 0.3)]
+
+
+def test_audits_and_importances_cover_all_rows(spark):
+    rows = spark.range(3000).select("id", (F.col("id") % 2).alias("y"), (F.col("id") % 2).alias("x"), (F.col("id") % 7).alias("z"))
+    for family, params in (("svm", {"maxIter": 5}), ("boosted", {"maxIter": 2, "maxDepth": 2})):
+        model = tr.refit(rows, ["x", "z"], tr.Config(family, params=params, weighted=False), "id", "y")
+        found = audit.audit_model(rows, model, ["x", "z"], "id")
+        assert found["dependence"].filter("feature = 'x'").count() == 3000
+        best = scoring.cohort_importance(rows, model, ["x", "z"], 1, "id").first()
+        assert best["feature"] == "x"
+        assert found["raw"].orderBy("rank").first()["feature"] == "x"
+
+
+def test_search_averages_all_folds(spark):
+    rows = spark.range(60).select("id", (F.col("id") % 2).cast("double").alias("y"), (F.col("id") % 2).alias("x"))
+    frame = tr.assemble(rows, ["x"])
+    chosen, area = tr.search(frame, "boosted", {"maxDepth": [1, 2], "maxIter": [2]}, "id", "y", folds=3)
+    assert area == 1.0 and chosen == {"maxDepth": 1, "maxIter": 2}
+
+
+def test_network_scales_its_inputs(spark):
+    rows = spark.range(400).select(
+        "id", (F.col("id") % 2).cast("double").alias("y"), (F.col("id") % 2).alias("x"),
+        (F.col("id") * 7919 % 1000003).alias("big"), (F.col("id") * 31 % 1009).alias("pca_emb_0"),
+    )
+    config = tr.Config("network", params={"hidden": [4], "maxIter": 60}, weighted=False)
+    model = tr.refit(rows, ["x", "big", "pca_emb_0"], config, "id", "y")
+    assert model.transform(rows).filter("prediction <> y").count() == 0

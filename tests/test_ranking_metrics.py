@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cohortloom.operators import cohort
 from cohortloom.operators import metrics as m
 from cohortloom.operators import profile as p
 from cohortloom.operators import ranking as r
@@ -127,3 +128,14 @@ def test_thresholds_from_ranks(spark, scores):
     assert r.ranked_thresholds(ranked, "score", "rank") == pytest.approx(r.bucket_thresholds(df, "score"))
     one = r.rank_desc(df.limit(1), "score", "id")
     assert len(set(r.ranked_thresholds(one, "score", "rank"))) == 1
+
+
+def test_scores_that_are_no_number_are_left_out(spark):
+    rows = [(0.1, 0), (0.9, 1), (0.4, 0), (float("nan"), 1), (None, 0)]
+    df = spark.createDataFrame(rows, "s double, y int")
+    assert m.roc_auc(df, "y", "s").first()[0] == 1.0
+
+
+def test_empty_cohort(spark):
+    empty = spark.createDataFrame([], "nct_id string, p_completion double")
+    assert cohort.scored_table(empty, []).count() == 0

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from cohortloom.operators import attribution as a
 from cohortloom.operators import training as tr
 from cohortloom.operators import vectors as v
-from cohortloom.operators.tree_paths import leaf_paths
+from cohortloom.operators.columns import expand_vector
+from cohortloom.operators.tree_paths import leaf_paths, path_contributions
 
 
 @pytest.fixture(scope="module")
@@ -175,3 +176,36 @@ def test_feature_resolution():
     assert a.resolve_feature("b", ["ab", "b"]) == "b"
     assert a.resolve_feature("is", ["x", "is_a", "is_b"]) == "is_a"
     assert a.resolve_feature("zz", ["x"]) is None
+
+
+def test_contributions_equal_the_shapley_formula():
+    rng = np.random.default_rng(3)
+    rows = rng.random((6, 7))
+    paths = []
+    for m in (0, 1, 2, 5, 7):
+        features = np.sort(rng.choice(7, m, replace=False))
+        low = np.where(rng.random(m) < 0.5, -np.inf, rng.random(m) * 0.5)
+        paths.append((float(rng.normal()), features, low, low.clip(0) + 0.4, rng.random(m) * 0.9 + 0.05))
+    expected = np.zeros((6, 7))
+    for value, features, low, high, share in paths:
+        m = len(features)
+        for r, row in enumerate(rows):
+            hit = (row[features] > low) & (row[features] <= high)
+
+            def worth(known):
+                return value * np.prod([hit[i] if i in known else share[i] for i in range(m)])
+
+            for j in range(m):
+                for size in range(m):
+                    for known in combinations([i for i in range(m) if i != j], size):
+                        weight = factorial(size) * factorial(m - 1 - size) / factorial(m)
+                        expected[r, features[j]] += weight * (worth({*known, j}) - worth(set(known)))
+    assert np.allclose(path_contributions(paths, rows, 7), expected)
+
+
+def test_long_vectors_are_an_error(spark):
+    df = spark.createDataFrame([([1.0, 2.0],), ([1.0],), (None,)], "v array<double>")
+    wide = expand_vector(df, "v", 2, "v_").select("v_0", "v_1").collect()
+    assert [tuple(r) for r in wide] == [(1.0, 2.0), (1.0, None), (None, None)]
+    with pytest.raises(Exception, match="more than 1 elements"):
+        expand_vector(df, "v", 1, "v_").collect()
