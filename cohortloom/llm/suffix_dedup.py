@@ -35,12 +35,12 @@ from cohortloom.llm.common import query, read, runs, stored, text_key, text_of,
 
 LENGTH = 400
 ANCHOR = 48
-SEGMENT = 4_000_000
+SEGMENT = 1_000_000
 PERIOD = 36
 LARGEST_BUCKET = 512
 BLOCK = 32
 SORT_ROWS = 4096
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_000_000
 ANCHOR_TYPE = np.dtype([("hash", "<i8"), ("at", "<i4"), ("low", "<i4"), ("high", "<i4")])
 
 
@@ -138,19 +138,30 @@ def _find_anchors(length: int):
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per anchor."""
+    """One row per text and anchor hash, with all its anchors of that hash."""
     for batch in batches:
         if not batch.num_rows:
             continue
         lists = [np.frombuffer(a, ANCHOR_TYPE) for a in batch.column("anchors").to_pylist()]
         every = np.concatenate(lists)
+        if not len(every):
+            continue
         owner = np.repeat(np.arange(len(lists)), [len(a) for a in lists])
+        order = np.lexsort((every["at"], every["hash"], owner))
+        every, owner = every[order], owner[order]
+        first = np.flatnonzero(
+            np.r_[True, (every["hash"][1:] != every["hash"][:-1]) | (owner[1:] != owner[:-1])]
+        )
+        edges = np.r_[first, len(every)]
+        data, size = every.tobytes(), ANCHOR_TYPE.itemsize
+        packed = [data[a * size : b * size] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("text_key").take(pa.array(owner)),
-                *(pa.array(np.ascontiguousarray(every[n])) for n in ANCHOR_TYPE.names),
+                batch.column("text_key").take(pa.array(owner[first])),
+                pa.array(np.ascontiguousarray(every["hash"][first])),
+                pa.array(np.diff(edges)), pa.array(packed, pa.binary()),
             ],
-            ["text_key", *ANCHOR_TYPE.names],
+            ["text_key", "hash", "times", "packed"],
         )
 
 
@@ -170,11 +181,10 @@ def _contexts(length: int, with_bytes: bool):
         for batch in batches:
             for row in range(batch.num_rows):
                 text = unpress.decompress(batch.column("squeezed")[row].as_py())
-                found = batch.column("found")[row].as_py()
-                hashes = [f["hash"] for f in found]
-                low = [f["low"] for f in found]
-                before = [f["at"] - f["low"] for f in found]
-                many = [f["high"] - f["low"] + 1 for f in found]
+                found = np.frombuffer(b"".join(batch.column("found")[row].as_py()), ANCHOR_TYPE)
+                hashes, low = found["hash"].tolist(), found["low"].tolist()
+                before = (found["at"] - found["low"]).tolist()
+                many = (found["high"] - found["low"] + 1).tolist()
                 parts = [text[a : a + n + length - 1] for a, n in zip(low, many)]
                 keys = [
                     hashlib.blake2b(p, digest_size=16, key=b"%d,%d,%d" % (h, b, n)).digest()
@@ -402,11 +412,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         long.mapInArrow(_find_anchors(length), "text_key binary, anchors binary")
         .groupBy("text_key").agg(F.first("anchors").alias("anchors"))
     )
-    spread = anchors.mapInArrow(_spread, "text_key binary, hash bigint, at int, low int, high int")
-    repeated = spread.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    spread = anchors.mapInArrow(_spread, "text_key binary, hash bigint, times bigint, packed binary")
+    repeated = spread.groupBy("hash").agg(F.sum("times").alias("n")).where("n > 1").select("hash")
     found = (
         spread.join(repeated, "hash").groupBy("text_key")
-        .agg(F.collect_list(F.struct("hash", "at", "low", "high")).alias("found"))
+        .agg(F.collect_list("packed").alias("found"))
     )
     part = stored(
         long.mapInArrow(_squeeze, "text_key binary, squeezed binary")
