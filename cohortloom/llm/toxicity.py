@@ -24,13 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.llm.common import Recent, held_out, query, read, text_of, text_pieces
 from cohortloom.llm.quality import labelled_sample, logistic, sampled_rows
 
-TOP = 8
+TOP = 6
 SHARED = (4, 2, 1)
 #: Slots of each order's tables, as a power of two.
 BITS = {TOP: 20, 4: 18, 2: 16, 1: 12}
@@ -43,6 +44,7 @@ LINK_ROWS = 2000
 #: Share of toxic rows that the link assumes, whatever the sample's.
 PRIOR = 0.25
 BATCH_BYTES = 6_000_000
+COUNT_BYTES = 12_000_000
 WORD = re.compile(r"[^\W_]+")
 START = "\0" * (TOP - 1)
 END = "\1"
@@ -94,10 +96,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct n-grams of each batch: order, key, letter before, counts in all, toxic, ordinary."""
     names = ["n", "key", "before", "every", "toxic", "ordinary"]
     kinds = [pa.int32(), *[pa.int64()] * 5]
-    for batch in text_pieces(batches, "text", BATCH_BYTES):
+    unpress = zstandard.ZstdDecompressor()
+    for batch in text_pieces(batches, "squeezed", COUNT_BYTES // 3):
         counts = {1: Counter(), 0: Counter(), None: Counter()}
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-            counts[label].update(words(text))
+        for text, label in zip(batch.column("squeezed").to_pylist(), batch.column("label").to_pylist()):
+            counts[label].update(words(unpress.decompress(text).decode()))
         listed = list(set().union(*counts.values()))
         if not listed:
             continue
@@ -111,14 +114,26 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [np.full(len(keys), TOP), keys.view(np.int64), np.zeros(len(keys), np.int64), *sums]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
         for order in SHARED:
-            pairs = np.unique(
-                np.rec.fromarrays([letters.keys(order).view(np.int64), letters.before(order)])
-            )
-            nothing = np.zeros(len(pairs), np.int64)
-            columns = [np.full(len(pairs), order), pairs.f0, pairs.f1, nothing, nothing, nothing]
+            keys, before = letters.keys(order), letters.before(order)
+            # one number per pair tells them apart; unlike ones fall together too rarely to matter
+            _, first = np.unique(keys * MIX + before.view(np.uint64), return_index=True)
+            nothing = np.zeros(len(first), np.int64)
+            columns = [
+                np.full(len(first), order), keys[first].view(np.int64), before[first], nothing, nothing, nothing
+            ]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for the shuffle that brings them to their labels."""
+    press = zstandard.ZstdCompressor(level=1)
+    for batch in text_pieces(batches, "text", BATCH_BYTES):
+        squeezed = [press.compress(t.encode()) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(squeezed, pa.binary())], ["doc_id", "squeezed"]
+        )
+
+
 def _to_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts by slot; kind 0: n-grams, 1: sums of their contexts, 2: what the contexts' n-grams give off."""
     for batch in batches:
@@ -211,8 +226,10 @@ def count_tables(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
         labels.where(F.col(label).isin(0, 1) & remainder().isin(2, 3, 4))
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     )
-    rows = docs.select("doc_id", text_of().alias("text")).join(known, "doc_id", "left")
-    grams = rows.select("text", "label").mapInArrow(
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", text_of().alias("text"))
+    squeezed = texts.mapInArrow(_squeeze, f"doc_id {kind}, squeezed binary")
+    grams = squeezed.join(known, "doc_id", "left").select("squeezed", "label").mapInArrow(
         _count, "n int, key bigint, before bigint, every bigint, toxic bigint, ordinary bigint"
     )
     distinct = grams.groupBy("n", "key", "before").agg(*(F.sum(c).alias(c) for c in SIDES))

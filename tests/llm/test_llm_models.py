@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from llm_fixtures import SMALL, TEN, auc, edge_docs, edge_labels, table
 
 from cohortloom.llm import neighbours, quality, toxicity
@@ -174,7 +175,7 @@ def test_very_long_texts_are_scored_part_by_part():
 
 def test_ratios_follow_the_classes():
     texts = ["good fine nice words"] * 40 + ["nasty vile words"] * 40
-    batch = pa.RecordBatch.from_pydict({"text": texts, "label": pa.array([0] * 40 + [1] * 40, pa.int32())})
+    batch = pa.RecordBatch.from_pydict({"squeezed": [zstandard.compress(t.encode()) for t in texts], "label": pa.array([0] * 40 + [1] * 40, pa.int32())})
     grams = pa.Table.from_batches(toxicity._count([batch])).to_pandas()
     sides = list(toxicity.SIDES)
     summed = grams.groupby(["n", "key"], as_index=False)[sides].sum()
