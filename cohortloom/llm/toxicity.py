@@ -126,7 +126,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed for the shuffle that brings them to their labels."""
-    press = zstandard.ZstdCompressor(level=1)
+    press = zstandard.ZstdCompressor(level=6)
     for batch in text_pieces(batches, "text", BATCH_BYTES):
         squeezed = [press.compress(t.encode()) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
@@ -171,6 +171,18 @@ class Model:
         self.link = np.zeros(1 + N_FEATURES)
         self.prior: float | None = None
 
+    def __getstate__(self) -> dict:
+        """Tables are mostly zeros, so they travel compressed."""
+        press = zstandard.ZstdCompressor(level=3)
+        return {**vars(self), "tables": {k: press.compress(t.tobytes()) for k, t in self.tables.items()}}
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update(state)
+        unpress = zstandard.ZstdDecompressor()
+        self.tables = {
+            k: np.frombuffer(unpress.decompress(t), np.float32) for k, t in state["tables"].items()
+        }
+
     def _mixed(self, order: int, side: str, keys: np.ndarray, lower: np.ndarray) -> np.ndarray:
         own, context = slots(keys, order), context_slots(keys, order)
         total = self.tables[order, 1, side][context]
