@@ -2,17 +2,18 @@
 
 Blocks around licence cues are compressed alone and with each template as a raw zstandard
 dictionary. The templates are ranked by how much smaller the block gets and compared word by word in
-that order; only a template whose wording is all there is reported. A block that is
-itself a part of a longer template, of at least ``EXCERPT`` words, counts as well. Words are runs of
+that order. The exact wording comes first. An excerpt of at least ``EXCERPT`` words that fills its
+lines counts if it fits the templates of one licence alone. Words are runs of
 letters and digits in lower case, so marks and capitals make no difference, but "2.0" and "3.0" do.
 
 Null texts are empty texts without blocks. Repeated rows give a row each. Texts are read whole;
-blocks are bounded by their line and by ``AROUND`` characters on both sides of a cue.
+blocks run over line ends, ``REACH`` words (more than the longest template) on both sides of a cue.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,8 +23,6 @@ from pyspark.sql import functions as F
 
 from cohortloom.llm.common import Recent, query, read, text_of, text_pieces
 
-AROUND = 240
-LEAST_GAIN = 4
 EXCERPT = 8
 BATCH_BYTES = 8_000_000
 
@@ -71,20 +70,24 @@ TEMPLATES = (
     ("all-rights-reserved", "All rights reserved."),
 )
 CUE = re.compile(
-    r"licen[cs]e|\brights\W{1,5}reserved|permission\W{1,5}is\W{1,5}hereby|redistribution\W{1,5}and\W{1,5}use"
-    r"|public\W{1,5}license|\bcc\W{1,5}by|\bcc0",
+    r"licen[cs]e|\brights\W+reserved|permission\W+is\W+hereby|redistribution\W+and\W+use"
+    r"|public\W+license|\bcc\W+by|\bcc0",
     re.IGNORECASE,
 )
 WORD = re.compile(r"[^\W_]+")
+#: Words of a block on either side of its cue.
+REACH = 8 + max(len(WORD.findall(text)) for _, text in TEMPLATES)
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
-    """Spans around the cues, each within its line; overlapping ones are joined."""
+    """Spans of ``REACH`` words around the cues, whatever the lines; overlapping ones are joined."""
     found: list[list[int]] = []
     for cue in CUE.finditer(text):
-        first = max(text.rfind("\n", 0, cue.start()) + 1, cue.start() - AROUND)
-        end = text.find("\n", cue.end())
-        end = min(len(text) if end < 0 else end, cue.end() + AROUND)
+        first, end = before(text, cue.start()), cue.end()
+        for i, word in enumerate(WORD.finditer(text, cue.end())):
+            end = word.end()
+            if i == REACH:
+                break
         if found and first <= found[-1][1]:
             found[-1][1] = max(found[-1][1], end)
         else:
@@ -92,6 +95,18 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in found]
 
 
+def before(text: str, end: int) -> int:
+    """Start of the ``REACH`` words in front of a place, or of the first word there is."""
+    size = 512
+    while True:
+        first = max(0, end - size)
+        starts = [m.start() for m in WORD.finditer(text, first, end)]
+        # a word at the very edge may have begun earlier
+        if first == 0 or len(starts) > REACH:
+            return starts[-REACH:][0] if starts else end
+        size *= 4
+
+
 class Scanner:
     def __init__(self, templates=TEMPLATES):
         self.templates = [
@@ -107,15 +122,56 @@ class Scanner:
             )
             for _, _, text in self.templates
         ]
+        self.counts = [Counter(words) for _, words, _ in self.templates]
         self.judged = Recent(self._judge, 20_000)
 
-    def ranked(self, block: str) -> list[int]:
-        """Templates by the bytes they save, best first; those that save next to nothing are out."""
+    def ranked(self, block: str, among: list[int]) -> list[int]:
+        """Templates by the bytes they save, best first. None is out for saving little: in a long
+        block a short notice hardly shows."""
+        if len(among) < 2:
+            return among
         data = block.lower().encode()
         alone = len(self.plain.compress(data))
-        saved = [alone - len(given.compress(data)) for given in self.given]
-        order = sorted(range(len(saved)), key=lambda i: (-saved[i], i))
-        return [i for i in order if saved[i] >= LEAST_GAIN]
+        saved = {i: alone - len(self.given[i].compress(data)) for i in among}
+        return sorted(among, key=lambda i: (-saved[i], i))
+
+    def possible(self, words: list[str]) -> list[int]:
+        """Templates of which enough words are there; no step can confirm another one."""
+        held = Counter(words)
+        return [
+            i for i, counts in enumerate(self.counts)
+            if sum(min(n, held[w]) for w, n in counts.items()) >= min(EXCERPT, sum(counts.values()))
+        ]
+
+    def wording(self, words: list[str], i: int, lines) -> tuple[int, int] | None:
+        """Word span with the template's exact wording."""
+        template = self.templates[i][1]
+        size = len(template)
+        for at in range(len(words) - size + 1):
+            if words[at] == template[0] and words[at : at + size] == template:
+                return at, at + size
+        return None
+
+    def excerpt(self, words: list[str], i: int, lines) -> tuple[int, int] | None:
+        """Longest run of whole lines that is a part of this template and of no other licence's."""
+        name, template, _ = self.templates[i]
+        starts, ends = lines
+        best = None
+        for at in starts:
+            for place, word in enumerate(template):
+                if word != words[at]:
+                    continue
+                size = 0
+                while at + size < len(words) and place + size < len(template) and words[at + size] == template[place + size]:
+                    size += 1
+                while size >= EXCERPT and at + size not in ends:
+                    size -= 1
+                if size < EXCERPT or best and size <= best[1] - best[0]:
+                    continue
+                part = f" {' '.join(words[at : at + size])} "
+                if {n for n, t, _ in self.templates if part in f" {' '.join(t)} "} == {name}:
+                    best = at, at + size
+        return best
 
     def _judge(self, block: str) -> list[tuple[str, int, int]]:
         """(licence, start, end) of confirmed wordings within the block; longest first at a place."""
@@ -126,8 +182,14 @@ class Scanner:
             words = [(m.group().lower(), m.start(), m.end()) for m in WORD.finditer(rest)]
             if not words:
                 break
-            for i in self.ranked(rest):
-                hit = confirm([w for w, _, _ in words], self.templates[i][1])
+            lines = lines_of(rest, words)
+            plain = [w for w, _, _ in words]
+            order = self.ranked(rest, self.possible(plain))
+            for step in (self.wording, self.excerpt):
+                for i in order:
+                    hit = step(plain, i, lines)
+                    if hit:
+                        break
                 if hit:
                     break
             if not hit:
@@ -143,17 +205,10 @@ class Scanner:
         return len(spans), found
 
 
-def confirm(words: list[str], template: list[str]) -> tuple[int, int] | None:
-    """Word span with the template's exact wording, or an excerpt of it that fills the block."""
-    size = len(template)
-    for i in range(len(words) - size + 1):
-        if words[i] == template[0] and words[i : i + size] == template:
-            return i, i + size
-    if EXCERPT <= len(words) < size:
-        for i in range(size - len(words) + 1):
-            if template[i : i + len(words)] == words:
-                return 0, len(words)
-    return None
+def lines_of(text: str, words: list[tuple[str, int, int]]) -> tuple[list[int], set[int]]:
+    """Places of the words that begin a line, and the places after those that end one."""
+    breaks = [i for i in range(1, len(words)) if "\n" in text[words[i - 1][2] : words[i][1]]]
+    return [0, *breaks], {*breaks, len(words)}
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

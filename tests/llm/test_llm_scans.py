@@ -61,6 +61,25 @@ def test_notices_at_the_end_of_long_lines(spark):
     assert text[found[0][1] : found[0][2]] == "Licensed under CC BY-NC 4.0"
 
 
+def names_in(text):
+    return [n for n, _, _ in license_scan.Scanner().scan(text)[1]]
+
+
+def test_notices_wrapped_over_lines():
+    assert names_in("Released under the\nMIT License.") == ["MIT"]
+    wrapped = "ab cd\nThis work is licensed under the GNU General\nPublic License, version 3.\nef"
+    assert names_in(wrapped) == ["GPL-3.0"]
+    for name, wording in license_scan.TEMPLATES:
+        lines = ["# " + part for part in wording.replace(" ", "\n * ").split("\n")]
+        assert name in names_in("int x;\n" + "\n".join(lines) + "\nint y;")
+
+
+def test_excerpts_of_one_licence_alone():
+    assert names_in("This work is licensed under the GNU General Public License") == []
+    assert names_in("x\nThis work is licensed under the GNU General Public License\ny") == []
+    assert names_in("x\n// you may not use this file except in compliance with the\n// License.\ny") == ["Apache-2.0"]
+
+
 # benchmark
 
 
