@@ -80,6 +80,31 @@ def test_excerpts_of_one_licence_alone():
     assert names_in("x\n// you may not use this file except in compliance with the\n// License.\ny") == ["Apache-2.0"]
 
 
+def test_differences_decide(spark):
+    scanner = license_scan.Scanner()
+    for text, name, change in (
+        ("This program is licensed under the GNU General Public License, version 3.", "GPL-3.0", "work>program"),
+        ("Distributed under the\n MIT License.", "MIT", "released>distributed"),
+        (
+            license_scan.TEMPLATES[2][1].replace("hereby granted", "hereby granted by Jane Doe"), "MIT",
+            "+by +jane +doe",
+        ),
+    ):
+        found = scanner.examine(text)[1]
+        assert [(n, d) for n, _, _, d in found] == [(name, change)]
+    for text in (
+        "Licensed under CC BY-NC 3.0.", "This program is licensed under the GNU General Public License, version 4.",
+        "Available under CC BY-XX 4.0.", "This file is licensed under a Creative Commons Attribution 3.0 International License.",
+        license_scan.TEMPLATES[2][1].replace("is hereby", "is not hereby"),
+    ):
+        assert scanner.scan(text)[1] == []
+    assert names_in("Licensed under CC BY-NC-SA 4.0.") == ["CC-BY-NC-SA-4.0"]
+    assert names_in("This code is licensed under the GNU General Public License, version 2 or later.") == ["GPL-2.0-or-later"]
+    docs = spark.createDataFrame([(1, "The MIT License.\nThis tool is licensed under the GNU Affero General Public License, version 3.")], "doc_id bigint, text string")
+    row = license_scan.scan_licenses(docs).collect()[0]
+    assert row["licenses"] == "AGPL-3.0" and row["differences"].endswith(":work>tool")
+
+
 # benchmark
 
 
