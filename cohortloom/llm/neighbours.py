@@ -155,7 +155,7 @@ def _scaled(vectors: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, vector) of rows that take part, each once."""
+    """(id, vector) of rows that take part; repeated rows are still there."""
     vector = F.col(vector_col).cast("array<double>")
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists(vector, lambda x: x != 0)
@@ -170,12 +170,13 @@ def nearest_neighbours(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest of each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
-    rows = usable(vectors, id_col, vector_col)
+    # each (vector, id) once, so that repeated rows take no places from other ids
+    rows = usable(vectors, id_col, vector_col).groupBy("vector", "id").agg(F.lit(1).alias("one"))
     # equal vectors: their k + 1 smallest ids, cut within each partition before the shuffle
     number = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
     same = rows.withColumn("n", number).where(F.col("n") <= k + 1)
     distinct = stored(same.groupBy("vector").agg(F.array_sort(F.collect_set("id")).alias("ids")))
-    asked = stored(rows.where(F.col("id") % every == 0).groupBy("id", "vector").agg(F.lit(1).alias("one")))
+    asked = stored(rows.where(F.col("id") % every == 0))
     count = asked.count()
     blocks = max(1, -(-count // block))
     found = None

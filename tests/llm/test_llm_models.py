@@ -65,6 +65,16 @@ def test_odd_vectors_ties_and_copies(spark):
     assert neighbours.nearest_neighbours(docs.where("false")).count() == 0
 
 
+def test_repeated_rows_count_once(spark):
+    vector, other = [1.0, 2.0, 3.0], [3.0, -1.0, 0.5]
+    rows = [(i, vector) for i in range(7, 15)] + [(20, vector), (1, other), (2, other)]
+    docs = spark.createDataFrame([r for r in rows for _ in range(6)], "vec_id bigint, embedding array<double>")
+    found = sorted(tuple(r)[:3] for r in neighbours.nearest_neighbours(docs, every=20, k=5).collect())
+    assert found == [(20, n, i) for n, i in enumerate(range(7, 12), 1)]
+    found = sorted(tuple(r)[:3] for r in neighbours.nearest_neighbours(docs, every=7, k=5).collect())
+    assert found == [(q, n, i) for q, near in ((7, (8, 9, 10, 11, 12)), (14, (7, 8, 9, 10, 11))) for n, i in enumerate(near, 1)]
+
+
 def test_longest_prefix_ranges():
     forest = neighbours.Forest(np.eye(8))
     strings = neighbours.hash_strings(np.eye(8)[:2])
