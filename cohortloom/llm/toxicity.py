@@ -8,8 +8,10 @@ expression says little about its class. A document is judged by its length-norma
 ratio under the toxic model, under a model in which only some words are toxic, and by its most
 telling words; a logistic link fitted on separate labelled rows turns these into a score.
 
-Counts live in hashed tables of a fixed number of slots per order, so that the model that is broadcast
-has a fixed size, while the counts themselves cover every labelled training row and every text.
+Counts are a table with one row per n-gram or context, under its letters themselves, so no two are
+ever merged, however many there are. Every distinct word is scored once: words are dealt into buckets,
+each bucket gets the counts of its own n-grams by a join, and the words' ratios are joined back to
+chunks of documents. Nothing of the size of the corpus or of its vocabulary is broadcast or collected.
 
 Of the rows open for learning, those whose crc32 remainder is 1 fit the link (at most ``LINK_ROWS``
 per class), the others are counted. Without toxic or ordinary rows every score is the share of
@@ -18,7 +20,9 @@ toxic labels (0.5 without labels). Null and empty texts have no words and get th
 
 from __future__ import annotations
 
+import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,13 +32,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import Recent, held_out, query, read, text_of, text_pieces
-from cohortloom.llm.quality import labelled_sample, logistic, sampled_rows
+from cohortloom.llm.common import held_out, query, read, stored, text_of, text_pieces
+from cohortloom.llm.quality import labelled_sample, logistic
 
 TOP = 6
 SHARED = (4, 2, 1)
-#: Slots of each order's tables, as a power of two.
-BITS = {TOP: 20, 4: 18, 2: 16, 1: 12}
 DISCOUNT = 0.75
 CLASS_DISCOUNT = 3.0
 #: Share of toxic words in a toxic text.
@@ -43,12 +45,12 @@ TELLING = 3
 LINK_ROWS = 2000
 #: Share of toxic rows that the link assumes, whatever the sample's.
 PRIOR = 0.25
-BATCH_BYTES = 6_000_000
-COUNT_BYTES = 12_000_000
+CHUNK_BYTES = 2_000_000
+BUCKET_WORDS = 5_000
 WORD = re.compile(r"[^\W_]+")
-START = "\0" * (TOP - 1)
+#: Neither occurs in a word.
+START = "\2" * (TOP - 1)
 END = "\1"
-MIX = np.uint64(0x9E3779B97F4A7C15)
 SIDES = ("every", "toxic", "ordinary")
 FEATURES = ["y", "mean", "some", "dense", "telling"]
 N_FEATURES = len(FEATURES) - 1
@@ -58,98 +60,93 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-class Letters:
-    """Positions of a list of words: each letter and the end, with their contexts hashed."""
+def grams_of(word: str, order: int) -> list[str]:
+    """The n-gram that ends at each letter of the word, and at its end."""
+    line = START + word + END
+    return [line[at - order + 1 : at + 1] for at in range(TOP - 1, len(line))]
 
-    def __init__(self, listed: list[str]):
-        joined = "".join([START + w + END for w in listed])
-        self.codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
-        self.at = np.flatnonzero(self.codes)
-        lengths = np.fromiter((len(w) + 1 for w in listed), np.int64, len(listed))
-        self.word = np.repeat(np.arange(len(listed)), lengths)
-        self.first = np.cumsum(lengths) - lengths
 
-    def keys(self, order: int) -> np.ndarray:
-        """Hash of the ``order - 1`` letters before (upper half) and the letter itself."""
-        context = np.zeros(len(self.at), np.uint64)
-        for back in range(order - 1, 0, -1):
-            context = context * np.uint64(0x100000001B3) + self.codes[self.at - back] + np.uint64(1)
-        context = (context * MIX) >> np.uint64(32)
-        return (context << np.uint64(32)) | self.codes[self.at]
+def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Some documents a row: their ids and held-out marks, and their words compressed, a line each."""
+    press = zstandard.ZstdCompressor(level=6)
+    for batch in text_pieces(batches, "text", CHUNK_BYTES):
+        lines = "\n".join(" ".join(words(t)) for t in batch.column("text").to_pylist())
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([uuid.uuid4().hex]),
+                *(pa.ListArray.from_arrays([0, batch.num_rows], batch.column(c)) for c in ("doc_id", "held_out")),
+                pa.array([press.compress(lines.encode())], pa.binary()),
+            ],
+            ["chunk", "ids", "held", "squeezed"],
+        )
 
-    def before(self, order: int) -> np.ndarray:
-        """The letter in front of the n-gram."""
-        return self.codes[self.at - order].astype(np.int64)
 
+def lines_of(squeezed: bytes) -> list[list[str]]:
+    """The documents of a chunk, each as its words."""
+    return [line.split() for line in zstandard.ZstdDecompressor().decompress(squeezed).decode().split("\n")]
 
-def slots(keys: np.ndarray, order: np.ndarray | int) -> np.ndarray:
-    """Slot of each n-gram; ``order`` is one number or one per key."""
-    bits = np.vectorize(BITS.get)(order) if isinstance(order, np.ndarray) else BITS[order]
-    return ((keys * MIX) >> (64 - np.asarray(bits)).astype(np.uint64)).astype(np.int64)
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words of each chunk and how often all, toxic and ordinary texts have them."""
+    for batch in batches:
+        for squeezed, marks in zip(batch.column("squeezed").to_pylist(), batch.column("marks").to_pylist()):
+            label = {m["pos"]: m["label"] for m in marks or ()}
+            counts = {1: Counter(), 0: Counter(), None: Counter()}
+            for i, line in enumerate(lines_of(squeezed)):
+                counts[label.get(i)].update(line)
+            listed = list(set().union(*counts.values()))
+            toxic, ordinary, rest = ([c[w] for w in listed] for c in counts.values())
+            every = [sum(three) for three in zip(toxic, ordinary, rest)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(listed, pa.string()), *(pa.array(c, pa.int64()) for c in (every, toxic, ordinary))],
+                ["word", *SIDES],
+            )
 
-def context_slots(keys: np.ndarray, order: np.ndarray | int) -> np.ndarray:
-    return slots((keys >> np.uint64(32)) + np.uint64(1), order)
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct n-grams of each batch of words: order, letters, letter before, counts on each side."""
+    names = ["n", "key", "before", *SIDES]
+    kinds = [pa.int32(), pa.string(), pa.string(), *[pa.int64()] * 3]
+    for batch in batches:
+        sums, pairs = {}, set()
+        for word, *counts in zip(*(batch.column(c).to_pylist() for c in ("word", *SIDES))):
+            for gram in grams_of(word, TOP):
+                have = sums.setdefault(gram, [0, 0, 0])
+                for i, count in enumerate(counts):
+                    have[i] += count
+            for order in SHARED:
+                pairs.update((order, gram[1:], gram[0]) for gram in grams_of(word, order + 1))
+        rows = [(TOP, gram, "", *counts) for gram, counts in sums.items()]
+        rows += [(*pair, 0, 0, 0) for pair in pairs]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct n-grams of each batch: order, key, letter before, counts in all, toxic, ordinary."""
-    names = ["n", "key", "before", "every", "toxic", "ordinary"]
-    kinds = [pa.int32(), *[pa.int64()] * 5]
-    unpress = zstandard.ZstdDecompressor()
-    for batch in text_pieces(batches, "squeezed", COUNT_BYTES // 3):
-        counts = {1: Counter(), 0: Counter(), None: Counter()}
-        for text, label in zip(batch.column("squeezed").to_pylist(), batch.column("label").to_pylist()):
-            counts[label].update(words(unpress.decompress(text).decode()))
-        listed = list(set().union(*counts.values()))
-        if not listed:
-            continue
-        letters = Letters(listed)
-        each = [np.fromiter(map(c.__getitem__, listed), np.int64, len(listed)) for c in counts.values()]
-        keys, inverse = np.unique(letters.keys(TOP), return_inverse=True)
-        sums = [
-            np.bincount(inverse, c[letters.word], len(keys)).astype(np.int64)
-            for c in (sum(each), each[0], each[1])
-        ]
-        columns = [np.full(len(keys), TOP), keys.view(np.int64), np.zeros(len(keys), np.int64), *sums]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
-        for order in SHARED:
-            keys, before = letters.keys(order), letters.before(order)
-            # one number per pair tells them apart; unlike ones fall together too rarely to matter
-            _, first = np.unique(keys * MIX + before.view(np.uint64), return_index=True)
-            nothing = np.zeros(len(first), np.int64)
-            columns = [
-                np.full(len(first), order), keys[first].view(np.int64), before[first], nothing, nothing, nothing
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
-
-
-def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed for the shuffle that brings them to their labels."""
-    press = zstandard.ZstdCompressor(level=6)
-    for batch in text_pieces(batches, "text", BATCH_BYTES):
-        squeezed = [press.compress(t.encode()) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(squeezed, pa.binary())], ["doc_id", "squeezed"]
-        )
+    """n-grams of texts with a label each."""
+    for batch in batches:
+        lines = [" ".join(words(zstandard.ZstdDecompressor().decompress(t).decode())) for t in batch.column("squeezed").to_pylist()]
+        marks = [{"pos": i, "label": y} for i, y in enumerate(batch.column("label").to_pylist()) if y is not None]
+        chunk = {"squeezed": [zstandard.compress("\n".join(lines).encode())], "marks": [marks]}
+        yield from _grams(_count_words([pa.RecordBatch.from_pydict(chunk)]))
 
 
 def _to_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts by slot; kind 0: n-grams, 1: sums of their contexts, 2: what the contexts' n-grams give off."""
+    """Counts by full key; kind 0: n-grams, 1: sums of their contexts, 2: what the contexts' n-grams give off."""
     for batch in batches:
         if not batch.num_rows:
             continue
         order = batch.column("n").to_numpy()
-        keys = batch.column("key").to_numpy().view(np.uint64)
+        keys = batch.column("key").to_pylist()
         values = {c: batch.column(c).to_numpy() for c in SIDES}
         off = {c: np.minimum(v, DISCOUNT if c == "every" else CLASS_DISCOUNT) for c, v in values.items()}
-        own, context = slots(keys, order), context_slots(keys, order)
+        context = [k[:-1] for k in keys]
         size = len(order)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.tile(order, 3), pa.int32()),
                 pa.array(np.repeat([0, 1, 2], size), pa.int32()),
-                pa.array(np.r_[own, context, context], pa.int32()),
+                pa.array(keys + context + context, pa.string()),
                 *(pa.array(np.r_[values[c], values[c], off[c]].astype(float)) for c in SIDES),
             ],
             ["n", "kind", "slot", *SIDES],
@@ -157,92 +154,85 @@ def _to_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Hashed count tables of both classes and of what they share."""
+    """Counts of both classes and of what they share, for the n-grams of some words."""
 
     def __init__(self, n, kind, slot, every, toxic, ordinary):
-        self.tables = {}
-        for side, values in zip(SIDES, (every, toxic, ordinary)):
-            for order in (TOP, *SHARED) if side == "every" else (TOP,):
-                for k in range(3):
-                    chosen = (n == order) & (kind == k)
-                    table = np.zeros(1 << BITS[order], np.float32)
-                    table[slot[chosen]] = values[chosen]
-                    self.tables[order, k, side] = table
-        self.link = np.zeros(1 + N_FEATURES)
-        self.prior: float | None = None
-
-    def __getstate__(self) -> dict:
-        """Tables are mostly zeros, so they travel compressed."""
-        press = zstandard.ZstdCompressor(level=3)
-        return {**vars(self), "tables": {k: press.compress(t.tobytes()) for k, t in self.tables.items()}}
-
-    def __setstate__(self, state: dict) -> None:
-        vars(self).update(state)
-        unpress = zstandard.ZstdDecompressor()
-        self.tables = {
-            k: np.frombuffer(unpress.decompress(t), np.float32) for k, t in state["tables"].items()
-        }
-
-    def _mixed(self, order: int, side: str, keys: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        own, context = slots(keys, order), context_slots(keys, order)
-        total = self.tables[order, 1, side][context]
-        count = np.minimum(self.tables[order, 0, side][own], total)
-        off = np.minimum(self.tables[order, 2, side][context], total)
-        discount = DISCOUNT if side == "every" else CLASS_DISCOUNT
-        mixed = (np.maximum(count - discount, 0) + off * lower) / np.maximum(total, 1)
-        return np.where(total > 0, mixed, lower)
-
-    def ratios(self, listed: list[str]) -> np.ndarray:
-        """Toxic minus ordinary log-likelihood of each word."""
-        letters = Letters(listed)
-        shared = np.full(len(letters.at), 1 / 65536)
+        rows = zip(every, toxic, ordinary)
+        self.tables = {key: row for key, row in zip(zip(n, kind, slot), rows)}
+        self.known: dict[str, float] = {}
+
+    def _mixed(self, order: int, side: int, gram: str, lower: float) -> float:
+        none = (0, 0, 0)
+        total = self.tables.get((order, 1, gram[:-1]), none)[side]
+        if total <= 0:
+            return lower
+        count = self.tables.get((order, 0, gram), none)[side]
+        off = self.tables.get((order, 2, gram[:-1]), none)[side]
+        discount = DISCOUNT if side == 0 else CLASS_DISCOUNT
+        return (max(count - discount, 0) + off * lower) / total
+
+    def _ratio(self, gram: str) -> float:
+        """Toxic minus ordinary log-likelihood of the last letter of a longest n-gram."""
+        if gram in self.known:
+            return self.known[gram]
+        shared = 1 / 65536
         for order in (*reversed(SHARED), TOP):
-            shared = np.maximum(self._mixed(order, "every", letters.keys(order), shared), 1e-12)
-        keys = letters.keys(TOP)
-        toxic, ordinary = (np.log(self._mixed(TOP, s, keys, shared)) for s in SIDES[1:])
-        return np.add.reduceat(toxic - ordinary, letters.first)
-
-    def features(self, texts: list[str | None], known: Recent) -> np.ndarray:
-        """Per text, over its distinct words: mean ratio, the ratio if only some words are toxic
-        (in sum and per root of the length), and the mean of the most telling words."""
-        split = [list(set(words(t))) for t in texts]
-        new = list({w for listed in split for w in listed if w not in known and w not in known.old})
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            for word, ratio in zip(part, self.ratios(part).tolist()):
-                known.keep(word, ratio)
-        found = np.zeros((len(texts), N_FEATURES))
-        for i, listed in enumerate(split):
-            if listed:
-                ratios = np.sort(np.fromiter(map(known.__getitem__, listed), float, len(listed)))
-                some = np.log1p(SOME * np.expm1(np.minimum(ratios, 12))).sum()
-                found[i] = ratios.mean(), some, some / np.sqrt(len(ratios)), ratios[-TELLING:].sum() / TELLING
-        return found
-
-    def cache(self) -> Recent:
-        return Recent(lambda w: float(self.ratios([w])[0]), 300_000)
-
-    def scores(self, found: np.ndarray) -> np.ndarray:
-        if self.prior is not None:
-            return np.full(len(found), self.prior)
-        return 1 / (1 + np.exp(-np.clip(self.link[0] + found @ self.link[1:], -50, 50)))
+            shared = max(self._mixed(order, 0, gram[-order:], shared), 1e-12)
+        ratio = math.log(self._mixed(TOP, 1, gram, shared)) - math.log(self._mixed(TOP, 2, gram, shared))
+        self.known[gram] = ratio
+        return ratio
+
+    def ratios(self, listed: list[str]) -> list[float]:
+        """Toxic minus ordinary log-likelihood of each word."""
+        return [sum(map(self._ratio, grams_of(word, TOP))) for word in listed]
+
+
+def features(split: list[list[str]], known: dict[str, float]) -> np.ndarray:
+    """Per text, over its distinct words: mean ratio, the ratio if only some words are toxic
+    (in sum and per root of the length), and the mean of the most telling words."""
+    found = np.zeros((len(split), N_FEATURES))
+    for i, line in enumerate(split):
+        listed = set(line)
+        if listed:
+            ratios = np.sort(np.fromiter(map(known.__getitem__, listed), float, len(listed)))
+            some = np.log1p(SOME * np.expm1(np.minimum(ratios, 12))).sum()
+            found[i] = ratios.mean(), some, some / np.sqrt(len(ratios)), ratios[-TELLING:].sum() / TELLING
+    return found
 
 
 def remainder(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5
 
 
-def count_tables(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """Slot counts: class n-grams of labelled training rows, continuation counts of all texts."""
+def chunks_of(docs: DataFrame) -> DataFrame:
+    """chunk, ids, held, squeezed: some documents a row, stored, so that a chunk keeps its documents."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", held_out().alias("held_out"), text_of().alias("text"))
+    return stored(rows.mapInArrow(
+        _chunk, f"chunk string, ids array<{kind}>, held array<boolean>, squeezed binary"
+    ))
+
+
+def word_counts(chunks: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """word, every, toxic, ordinary: words of all texts, and of labelled training rows by class."""
     known = (
         labels.where(F.col(label).isin(0, 1) & remainder().isin(2, 3, 4))
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     )
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", text_of().alias("text"))
-    squeezed = texts.mapInArrow(_squeeze, f"doc_id {kind}, squeezed binary")
-    grams = squeezed.join(known, "doc_id", "left").select("squeezed", "label").mapInArrow(
-        _count, "n int, key bigint, before bigint, every bigint, toxic bigint, ordinary bigint"
+    marks = (
+        chunks.select("chunk", F.posexplode("ids").alias("pos", "doc_id")).join(known, "doc_id")
+        .groupBy("chunk").agg(F.collect_list(F.struct("pos", "label")).alias("marks"))
+    )
+    counted = chunks.join(marks, "chunk", "left").select("squeezed", "marks").mapInArrow(
+        _count_words, "word string, every bigint, toxic bigint, ordinary bigint"
+    )
+    return stored(counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in SIDES)))
+
+
+def count_tables(vocabulary: DataFrame) -> DataFrame:
+    """n, kind, slot, every, toxic, ordinary: class n-grams, and continuation counts of all words."""
+    grams = vocabulary.mapInArrow(
+        _grams, "n int, key string, before string, every bigint, toxic bigint, ordinary bigint"
     )
     distinct = grams.groupBy("n", "key", "before").agg(*(F.sum(c).alias(c) for c in SIDES))
     # a shorter n-gram counts the different letters seen before it
@@ -252,73 +242,106 @@ def count_tables(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     )
     return (
         summed.mapInArrow(
-            _to_slots, "n int, kind int, slot int, every double, toxic double, ordinary double"
+            _to_slots, "n int, kind int, slot string, every double, toxic double, ordinary double"
         )
         .groupBy("n", "kind", "slot").agg(*(F.sum(c).alias(c) for c in SIDES))
     )
 
 
-def _features_with(shared):
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        known = model.cache()
-        for batch in text_pieces(batches, "text", BATCH_BYTES):
-            found = model.features(batch.column("text").to_pylist(), known)
+def _needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts that the words of a bucket ask for."""
+    for batch in batches:
+        needed = set()
+        for bucket, word in zip(batch.column("bucket").to_pylist(), batch.column("word").to_pylist()):
+            for order in (TOP, *SHARED):
+                for gram in grams_of(word, order):
+                    needed.update(((bucket, order, 0, gram), (bucket, order, 1, gram[:-1]), (bucket, order, 2, gram[:-1])))
+        if needed:
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("y"), *(pa.array(np.ascontiguousarray(c)) for c in found.T)], FEATURES
+                [pa.array(c, k) for c, k in zip(zip(*needed), kinds)], ["bucket", "n", "kind", "slot"]
             )
 
-    return compute
 
+def _judge(listed: pa.Table, counts: pa.Table) -> pa.Table:
+    model = Model(*(counts.column(c).to_pylist() for c in ("n", "kind", "slot", *SIDES)))
+    ratios = model.ratios(listed.column("word").to_pylist())
+    return pa.table({"word": listed.column("word"), "ratio": pa.array(ratios, pa.float64())})
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
-    """Driver: the hashed tables (fixed size) and the features of the rows that fit the link."""
-    spark = docs.sparkSession
-    found = count_tables(docs, labels, label).toArrow()
-    model = Model(*(found.column(c).to_numpy() for c in ("n", "kind", "slot", *SIDES)))
-    sample = spark.createDataFrame(
-        labelled_sample(labels, label, LINK_ROWS, remainder() == 1).collect(),
-        f"doc_id {labels.schema['doc_id'].dataType.simpleString()}, y int",
-    )
-    rows = sampled_rows(docs, sample).select("y", "text").mapInArrow(
-        _features_with(spark.sparkContext.broadcast(model)), "y int, mean double, some double, dense double, telling double"
+
+def word_ratios(vocabulary: DataFrame) -> DataFrame:
+    """word, ratio for every word of the corpus, in buckets of about ``BUCKET_WORDS``."""
+    buckets = max(1, -(-vocabulary.count() // BUCKET_WORDS))
+    dealt = vocabulary.select(F.pmod(F.xxhash64("word"), F.lit(buckets)).alias("bucket"), "word")
+    needed = dealt.mapInArrow(_needs, "bucket bigint, n int, kind int, slot string").distinct()
+    counts = needed.join(count_tables(vocabulary), ["n", "kind", "slot"])
+    return stored(
+        dealt.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(_judge, "word string, ratio double")
     )
-    rows = np.array(sorted(tuple(r) for r in rows.collect())).reshape(-1, 1 + N_FEATURES)
-    y = rows[:, 0]
-    if len(set(y.tolist())) < 2:
-        model.prior = float(y.mean()) if len(y) else 0.5
-    else:
-        share = y.mean()
-        weight = np.where(y == 1, PRIOR / share, (1 - PRIOR) / (1 - share))
-        model.link = logistic(rows[:, 1:], y, weight)
-    return model
 
 
-def _scorer(shared):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        known = model.cache()
-        for batch in text_pieces(batches, "text", BATCH_BYTES):
-            scores = model.scores(model.features(batch.column("text").to_pylist(), known))
+def _chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for chunk, squeezed in zip(batch.column("chunk").to_pylist(), batch.column("squeezed").to_pylist()):
+            listed = list({w for line in lines_of(squeezed) for w in line})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([chunk] * len(listed), pa.string()), pa.array(listed, pa.string())], ["chunk", "word"]
+            )
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            ratios = row.column("ratios").flatten()
+            known = dict(zip(ratios.field("word").to_pylist(), ratios.field("ratio").to_pylist()))
+            found = features(lines_of(row.column("squeezed")[0].as_py()), known)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), batch.column("held_out"), pa.array(scores),
-                    pa.array((scores >= 0.5).astype(np.int32)),
+                    row.column("ids").flatten(), row.column("held").flatten(),
+                    *(pa.array(np.ascontiguousarray(c)) for c in found.T),
                 ],
-                ["doc_id", "held_out", "score", "predicted"],
+                ["doc_id", "held_out", *FEATURES[1:]],
             )
 
-    return score
+
+def document_features(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, held_out and the features of every row; stored, as the link is fitted on some of them."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    chunks = chunks_of(docs)
+    ratios = word_ratios(word_counts(chunks, labels, label))
+    listed = (
+        chunks.select("chunk", "squeezed").mapInArrow(_chunk_words, "chunk string, word string")
+        .join(ratios, "word").groupBy("chunk").agg(F.collect_list(F.struct("word", "ratio")).alias("ratios"))
+    )
+    numbers = ", ".join(f"{c} double" for c in FEATURES[1:])
+    return stored(
+        chunks.join(listed, "chunk", "left").select("ids", "held", "squeezed", "ratios")
+        .mapInArrow(_features, f"doc_id {kind}, held_out boolean, {numbers}")
+    )
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
-    """doc_id, held_out, score, predicted for every row; scoring does not shuffle."""
-    model = train(docs, labels, label)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", held_out().alias("held_out"), text_of().alias("text"))
-    return rows.mapInArrow(
-        _scorer(shared), f"doc_id {kind}, held_out boolean, score double, predicted int"
+    """doc_id, held_out, score, predicted for every row."""
+    spark = docs.sparkSession
+    found = document_features(docs, labels, label)
+    sample = spark.createDataFrame(
+        labelled_sample(labels, label, LINK_ROWS, remainder() == 1).collect(),
+        f"doc_id {labels.schema['doc_id'].dataType.simpleString()}, y int",
+    )
+    rows = found.join(F.broadcast(sample), "doc_id").select(*FEATURES)
+    rows = np.array(sorted(tuple(r) for r in rows.collect())).reshape(-1, 1 + N_FEATURES)
+    y = rows[:, 0]
+    if len(set(y.tolist())) < 2:
+        score = F.lit(float(y.mean()) if len(y) else 0.5)
+    else:
+        share = y.mean()
+        weight = np.where(y == 1, PRIOR / share, (1 - PRIOR) / (1 - share))
+        link = logistic(rows[:, 1:], y, weight).tolist()
+        z = sum((F.col(c) * w for c, w in zip(FEATURES[1:], link[1:])), F.lit(link[0]))
+        score = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(50.0)), F.lit(-50.0))))
+    return found.select("doc_id", "held_out", score.alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int")
     )
 
 

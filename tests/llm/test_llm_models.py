@@ -195,3 +195,16 @@ def test_ratios_follow_the_classes():
     model = toxicity.Model(*(slots[c].to_numpy() for c in ("n", "kind", "slot", *sides)))
     good, bad, both, new = model.ratios(["nice", "vile", "words", "zzz"])
     assert bad > 1 and good < -1 and abs(both) < 1 and abs(new) < 1
+
+
+def test_unlike_ngrams_are_never_merged():
+    letters = [chr(0x4E00 + i) for i in range(6000)]
+    texts = [" ".join(letters[i : i + 1000]) for i in range(0, 6000, 1000)]
+    batch = pa.RecordBatch.from_pydict({"squeezed": [zstandard.compress(t.encode()) for t in texts], "label": pa.array([0, 1] * 3, pa.int32())})
+    grams = pa.Table.from_batches(toxicity._count([batch])).to_pandas()
+    summed = grams.groupby(["n", "key"], as_index=False)[list(toxicity.SIDES)].sum()
+    slots = pa.Table.from_batches(toxicity._to_slots([pa.RecordBatch.from_pandas(summed)])).to_pandas()
+    # every letter and the end of a word, each under itself
+    assert slots[(slots["n"] == 1) & (slots["kind"] == 0)]["slot"].nunique() == 6001
+    top = slots[(slots["n"] == toxicity.TOP) & (slots["kind"] == 0)]
+    assert top["slot"].nunique() == 12_000 and top.groupby("slot")["every"].sum().max() == 1
