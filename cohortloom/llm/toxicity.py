@@ -9,9 +9,11 @@ ratio under the toxic model, under a model in which only some words are toxic, a
 telling words; a logistic link fitted on separate labelled rows turns these into a score.
 
 Counts are a table with one row per n-gram or context, under its letters themselves, so no two are
-ever merged, however many there are. Every distinct word is scored once: words are dealt into buckets,
-each bucket gets the counts of its own n-grams by a join, and the words' ratios are joined back to
-chunks of documents. Nothing of the size of the corpus or of its vocabulary is broadcast or collected.
+ever merged, however many there are. Order by order, joins give each n-gram its probability under
+what is shared and, for the longest, its ratio. Every distinct word is scored once, by its n-grams'
+ratios, and the words' ratios are joined back to chunks of documents. Nothing of the size of the
+corpus or of its vocabulary is broadcast or collected on purpose. ``Model`` is the same in plain
+Python, for some words; tests compare the two.
 
 Of the rows open for learning, those whose crc32 remainder is 1 fit the link (at most ``LINK_ROWS``
 per class), the others are counted. Without toxic or ordinary rows every score is the share of
@@ -46,7 +48,6 @@ LINK_ROWS = 2000
 #: Share of toxic rows that the link assumes, whatever the sample's.
 PRIOR = 0.25
 CHUNK_BYTES = 2_000_000
-BUCKET_WORDS = 5_000
 WORD = re.compile(r"[^\W_]+")
 #: Neither occurs in a word.
 START = "\2" * (TOP - 1)
@@ -229,54 +230,59 @@ def word_counts(chunks: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     return stored(counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in SIDES)))
 
 
-def count_tables(vocabulary: DataFrame) -> DataFrame:
-    """n, kind, slot, every, toxic, ordinary: class n-grams, and continuation counts of all words."""
+def gram_counts(vocabulary: DataFrame) -> DataFrame:
+    """n, key, every, toxic, ordinary: class n-grams, and continuation counts of all words; stored."""
     grams = vocabulary.mapInArrow(
         _grams, "n int, key string, before string, every bigint, toxic bigint, ordinary bigint"
     )
     distinct = grams.groupBy("n", "key", "before").agg(*(F.sum(c).alias(c) for c in SIDES))
     # a shorter n-gram counts the different letters seen before it
-    summed = distinct.groupBy("n", "key").agg(
+    return stored(distinct.groupBy("n", "key").agg(
         F.when(F.col("n") == TOP, F.sum("every")).otherwise(F.count("*")).alias("every"),
         F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"),
-    )
-    return (
-        summed.mapInArrow(
-            _to_slots, "n int, kind int, slot string, every double, toxic double, ordinary double"
+    ))
+
+
+def gram_ratios(counts: DataFrame) -> DataFrame:
+    """gram, ratio of every longest n-gram: toxic minus ordinary log-likelihood of its last letter."""
+    rates = {c: DISCOUNT if c == "every" else CLASS_DISCOUNT for c in SIDES}
+    found = None
+    for order in (*reversed(SHARED), TOP):
+        own = counts.where(F.col("n") == order).withColumn("context", F.substring("key", 1, order - 1))
+        given = own.groupBy("context").agg(
+            *(F.sum(c).alias(f"{c}_total") for c in SIDES),
+            *(F.sum(F.least(F.col(c), F.lit(d))).alias(f"{c}_off") for c, d in rates.items()),
         )
-        .groupBy("n", "kind", "slot").agg(*(F.sum(c).alias(c) for c in SIDES))
-    )
+        rows = own.join(given, "context")
+        if found is None:
+            rows = rows.withColumn("lower", F.lit(1 / 65536))
+        else:
+            rows = rows.withColumn("ending", F.substring("key", -last, last)).join(found, "ending")
 
+        def mixed(side, lower):
+            kept = F.greatest(F.col(side) - rates[side], F.lit(0.0)) + F.col(f"{side}_off") * lower
+            return F.when(F.col(f"{side}_total") > 0, kept / F.col(f"{side}_total")).otherwise(lower)
 
-def _needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The counts that the words of a bucket ask for."""
-    for batch in batches:
-        needed = set()
-        for bucket, word in zip(batch.column("bucket").to_pylist(), batch.column("word").to_pylist()):
-            for order in (TOP, *SHARED):
-                for gram in grams_of(word, order):
-                    needed.update(((bucket, order, 0, gram), (bucket, order, 1, gram[:-1]), (bucket, order, 2, gram[:-1])))
-        if needed:
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*needed), kinds)], ["bucket", "n", "kind", "slot"]
-            )
+        rows = rows.withColumn("shared", F.greatest(mixed("every", F.col("lower")), F.lit(1e-12)))
+        found, last = rows.select(F.col("key").alias("ending"), F.col("shared").alias("lower")), order
+    ratio = F.log(mixed("toxic", F.col("shared"))) - F.log(mixed("ordinary", F.col("shared")))
+    return rows.select(F.col("key").alias("gram"), ratio.alias("ratio"))
 
 
-def _judge(listed: pa.Table, counts: pa.Table) -> pa.Table:
-    model = Model(*(counts.column(c).to_pylist() for c in ("n", "kind", "slot", *SIDES)))
-    ratios = model.ratios(listed.column("word").to_pylist())
-    return pa.table({"word": listed.column("word"), "ratio": pa.array(ratios, pa.float64())})
+def _word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        listed = batch.column("word").to_pylist()
+        rows = [(w, gram) for w in listed for gram in grams_of(w, TOP)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], ["word", "gram"])
 
 
 def word_ratios(vocabulary: DataFrame) -> DataFrame:
-    """word, ratio for every word of the corpus, in buckets of about ``BUCKET_WORDS``."""
-    buckets = max(1, -(-vocabulary.count() // BUCKET_WORDS))
-    dealt = vocabulary.select(F.pmod(F.xxhash64("word"), F.lit(buckets)).alias("bucket"), "word")
-    needed = dealt.mapInArrow(_needs, "bucket bigint, n int, kind int, slot string").distinct()
-    counts = needed.join(count_tables(vocabulary), ["n", "kind", "slot"])
+    """word, ratio for every word of the corpus; stored."""
+    grams = vocabulary.select("word").mapInArrow(_word_grams, "word string, gram string")
     return stored(
-        dealt.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(_judge, "word string, ratio double")
+        grams.join(gram_ratios(gram_counts(vocabulary)), "gram")
+        .groupBy("word").agg(F.sum("ratio").alias("ratio"))
     )
 
 

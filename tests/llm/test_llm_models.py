@@ -208,3 +208,19 @@ def test_unlike_ngrams_are_never_merged():
     assert slots[(slots["n"] == 1) & (slots["kind"] == 0)]["slot"].nunique() == 6001
     top = slots[(slots["n"] == toxicity.TOP) & (slots["kind"] == 0)]
     assert top["slot"].nunique() == 12_000 and top.groupby("slot")["every"].sum().max() == 1
+
+
+def test_joined_ratios_are_those_of_the_plain_model(spark):
+    texts = ["good fine nice words été 漢字"] * 9 + ["nasty vile words niece"] * 7
+    batch = pa.RecordBatch.from_pydict({"squeezed": [zstandard.compress(t.encode()) for t in texts], "label": pa.array([0] * 9 + [1] * 7, pa.int32())})
+    rows = [(w, 16 if w == "words" else 9 if w in texts[0].split() else 7, 7 * (w in texts[-1].split()), 9 * (w in texts[0].split())) for w in set((texts[0] + " " + texts[-1]).split())]
+    vocabulary = spark.createDataFrame(rows, "word string, every bigint, toxic bigint, ordinary bigint")
+    got = {r["word"]: r["ratio"] for r in toxicity.word_ratios(vocabulary).collect()}
+    summed = toxicity.gram_counts(vocabulary).toPandas()
+    plain = pa.Table.from_batches(toxicity._count([batch])).to_pandas()
+    plain = plain[plain["n"] == toxicity.TOP].set_index("key")["every"].to_dict()
+    assert summed[summed["n"] == toxicity.TOP].set_index("key")["every"].to_dict() == plain
+    slots = pa.Table.from_batches(toxicity._to_slots([pa.RecordBatch.from_pandas(summed)])).to_pandas()
+    slots = slots.groupby(["n", "kind", "slot"], as_index=False)[list(toxicity.SIDES)].sum()
+    model = toxicity.Model(*(slots[c].to_numpy() for c in ("n", "kind", "slot", *toxicity.SIDES)))
+    assert got == pytest.approx(dict(zip(got, model.ratios(list(got)))))
