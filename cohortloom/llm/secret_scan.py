@@ -106,8 +106,7 @@ def scan(docs: DataFrame, owner_col: str = "source", repo_col: str = "lang") ->
     text = F.col("text")
     named = docs.select(
         "doc_id", text_of().alias("text"), text_key().alias("text_key"),
-        F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"),
-        F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("repo"),
+        F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"),
     )
     parts = named.select(
         "doc_id", "text_key", "owner", "repo",
