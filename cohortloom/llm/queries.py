@@ -11,6 +11,7 @@ from cohortloom.llm import (
     suffix_dedup,
     token_counts,
     toxicity,
+    vector_codes,
 )
 from cohortloom.llm.common import ORACLES, QUERIES
 
@@ -27,4 +28,5 @@ __all__ = [
     "suffix_dedup",
     "token_counts",
     "toxicity",
+    "vector_codes",
 ]
