@@ -61,9 +61,11 @@ def compare(spark, sf_dir, query, sql):
 
 
 def main():
-    from cohortloom.catalog import ORACLES, QUERIES
+    from __spark_entry__ import oracle_sql, queries
     from cohortloom.session import local_session
 
+    QUERIES, ORACLES = queries(), oracle_sql()
+
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(QUERIES)
     spark = local_session("8", 8)
