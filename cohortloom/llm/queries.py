@@ -7,6 +7,7 @@ from cohortloom.llm import (
     neighbours,
     packing,
     quality,
+    ranked_search,
     secret_scan,
     suffix_dedup,
     token_counts,
@@ -24,6 +25,7 @@ __all__ = [
     "neighbours",
     "packing",
     "quality",
+    "ranked_search",
     "secret_scan",
     "suffix_dedup",
     "token_counts",
