@@ -6,6 +6,7 @@ from cohortloom.llm import (
     near_duplicates,
     neighbours,
     packing,
+    personal_data,
     quality,
     ranked_search,
     secret_scan,
@@ -24,6 +25,7 @@ __all__ = [
     "near_duplicates",
     "neighbours",
     "packing",
+    "personal_data",
     "quality",
     "ranked_search",
     "secret_scan",
