@@ -466,12 +466,15 @@ def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(read(spark, sf_dir, "documents"))
     base = F.filter("found", lambda x: x["base"])
 
+    def number(kind):
+        return F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
     def listed(spans):
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
     return found.select(
         "doc_id",
-        *(F.size(F.filter("found", lambda x, k=k: x["base"] & (x["kind"] == k))).cast("bigint").alias(f"n_{k}") for k in KINDS),
+        *map(number, KINDS),
         F.sha2(listed(base), 256).alias("base_sha256"),
         listed(F.col("found")).alias("spans"),
         F.size(F.filter("found", lambda x: ~x["base"])).cast("bigint").alias("n_added"),
