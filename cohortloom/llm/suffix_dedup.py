@@ -13,8 +13,9 @@ A byte goes if it is covered by a string of ``LENGTH`` bytes that also starts an
    rank there. Neighbours in that order which agree in ``LENGTH`` bytes are repeated.
 4. A bucket with more than ``LARGEST_BUCKET`` different contexts is split by longer prefixes: its
    contexts are cut into blocks of ``BLOCK`` starts, and the bytes that all strings of a block share
-   name the new bucket. Equal blocks become one again. Should such a bucket still be too large, it is
-   split into one bucket per string, by a 128-bit digest of its ``LENGTH`` bytes.
+   name the new bucket. Equal blocks become one again. A bucket that is still too large is split
+   once more, into blocks of one start; all strings of such a bucket are equal, so one context is left
+   of it. Every bucket, however it came about, is sorted in the same way.
 
 Texts are named by a digest, so equal texts are searched once; a text that occurs more than once
 goes as a whole if it has ``LENGTH`` bytes. Null texts are empty texts. Each row gets a result.
@@ -283,7 +284,7 @@ def _sort_buckets(length: int):
     return sort
 
 
-def _blocks(length: int):
+def _blocks(length: int, block: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Contexts cut into blocks of starts, aligned at the anchor; each with its own bucket and digest."""
         names = ["context_key", "hash", "before", "many", "times"]
@@ -293,12 +294,12 @@ def _blocks(length: int):
             for key, bucket, before, many, times, context in zip(*columns, batch.column("context").to_pylist()):
                 first = 0
                 while first < many:
-                    number = (first - before) // BLOCK
-                    end = min(many, (number + 1) * BLOCK + before)
+                    number = (first - before) // block
+                    end = min(many, (number + 1) * block + before)
                     part = context[first : end - 1 + length]
                     # the bytes that every string starting in this block has, wherever it starts
-                    start = number * BLOCK + before
-                    core = context[start + BLOCK - 1 : start + length]
+                    start = number * block + before
+                    core = context[start + block - 1 : start + length]
                     name = hashlib.blake2b(core, digest_size=8, key=b"%d,%d" % (bucket, number)).digest()
                     digest = hashlib.blake2b(part, digest_size=16, key=b"%d,%d,%d" % (bucket, before - first, end - first))
                     for values, value in zip(
@@ -316,38 +317,6 @@ def _blocks(length: int):
     return cut
 
 
-def _strings(length: int):
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Digest of every string of the contexts of large buckets."""
-        for batch in batches:
-            for row in range(batch.num_rows):
-                context = batch.column("context")[row].as_py()
-                many, times = batch.column("many")[row].as_py(), batch.column("times")[row].as_py()
-                key = batch.column("context_key")[row].as_py()
-                digests = [hashlib.blake2b(context[i : i + length], digest_size=16).digest() for i in range(many)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(digests, pa.binary()), pa.array([key] * many, pa.binary()),
-                        pa.array(range(many), pa.int32()), pa.array([times] * many, pa.int64()),
-                    ],
-                    ["digest", "context_key", "place", "times"],
-                )
-
-    return spread
-
-
-def _to_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        packed = []
-        for places in batch.column("places").to_pylist():
-            mask = np.zeros(max(places) + 1, bool)
-            mask[places] = True
-            packed.append(_stretches(mask).tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("context_key"), pa.array(packed, pa.binary())], ["context_key", "stretches"]
-        )
-
-
 def _remove(length: int):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
@@ -387,11 +356,33 @@ def _remove(length: int):
 
 
 def _sorted(contexts: DataFrame, length: int) -> DataFrame:
-    """Repeated stretches of the contexts in buckets of bounded size."""
+    """Repeated stretches of the contexts of whole buckets: base (0), context_key, stretches."""
     return (
-        contexts.where(F.col("size") <= LARGEST_BUCKET)
-        .repartition("hash").sortWithinPartitions("hash")
+        contexts.repartition("hash").sortWithinPartitions("hash")
         .mapInArrow(_sort_buckets(length), "context_key binary, stretches binary")
+        .select("context_key", F.lit(0).alias("base"), "stretches")
+    )
+
+
+def _split(contexts: DataFrame, length: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks of the contexts, and the different ones among them with their numbers and their buckets' sizes."""
+    blocks = stored(contexts.mapInArrow(
+        _blocks(length, block),
+        "whole_key binary, base int, context_key binary, hash bigint, before int, many int, "
+        "times bigint, context binary",
+    ))
+    distinct = blocks.groupBy("context_key").agg(
+        F.sum("times").alias("times"), F.first(F.struct("hash", "before", "many", "context")).alias("c")
+    ).select("context_key", "times", "c.*")
+    sizes = distinct.groupBy("hash").agg(F.count("*").alias("size"))
+    return blocks, stored(distinct.join(sizes, "hash").where("size > 1 OR times > 1"))
+
+
+def _whole(blocks: DataFrame, marks: DataFrame) -> DataFrame:
+    """Marks of blocks as marks of the contexts that they were cut from."""
+    places = blocks.select("whole_key", F.col("base").alias("from"), "context_key")
+    return places.join(marks, "context_key").select(
+        F.col("whole_key").alias("context_key"), (F.col("from") + F.col("base")).alias("base"), "stretches"
     )
 
 
@@ -443,34 +434,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         .select("context_key", "c.*", "times", "size")
     )
     contexts = stored(contexts)
-    blocks = stored(
-        contexts.where(F.col("size") > LARGEST_BUCKET).mapInArrow(
-            _blocks(length),
-            "whole_key binary, base int, context_key binary, hash bigint, before int, many int, "
-            "times bigint, context binary",
-        )
-    )
-    distinct = blocks.groupBy("context_key").agg(
-        F.sum("times").alias("times"), F.first(F.struct("hash", "before", "many", "context")).alias("c")
-    ).select("context_key", "times", "c.*")
-    block_sizes = distinct.groupBy("hash").agg(F.count("*").alias("size"))
-    distinct = stored(distinct.join(block_sizes, "hash").where("size > 1 OR times > 1"))
-    strings = distinct.where(F.col("size") > LARGEST_BUCKET).mapInArrow(
-        _strings(length), "digest binary, context_key binary, place int, times bigint"
-    )
-    again = strings.groupBy("digest").agg(F.sum("times").alias("n")).where("n > 1").select("digest")
-    string_marks = (
-        strings.join(again, "digest").groupBy("context_key").agg(F.collect_set("place").alias("places"))
-        .mapInArrow(_to_stretches, "context_key binary, stretches binary")
-    )
-    block_marks = (
-        blocks.select("whole_key", "base", "context_key")
-        .join(_sorted(distinct, length).union(string_marks), "context_key")
-        .select(F.col("whole_key").alias("context_key"), "base", "stretches")
-    )
-    found = _sorted(contexts, length).select("context_key", F.lit(0).alias("base"), "stretches")
+    small, large = F.col("size") <= LARGEST_BUCKET, F.col("size") > LARGEST_BUCKET
+    blocks, distinct = _split(contexts.where(large), length, BLOCK)
+    starts, strings = _split(distinct.where(large), length, 1)
+    block_marks = _sorted(distinct.where(small), length).union(_whole(starts, _sorted(strings, length)))
+    found = _sorted(contexts.where(small), length).union(_whole(blocks, block_marks))
     marks = (
-        places.join(found.union(block_marks), "context_key")
+        places.join(found, "context_key")
         .groupBy("text_key")
         .agg(F.collect_list(F.struct((F.col("low") + F.col("base")).alias("low"), "stretches")).alias("marks"))
     )
