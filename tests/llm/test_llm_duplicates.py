@@ -141,6 +141,26 @@ def test_removal_from_random_texts(spark, monkeypatch, largest, block):
     removal_agrees(docs, 70)
 
 
+@pytest.mark.parametrize("shared", [375, 405])
+def test_removal_with_one_passage_between_many_texts(spark, shared):
+    """More different contexts of one passage than a bucket takes, before and after the first split."""
+    rng = random.Random(shared)
+    passage = "".join(rng.choices("abcdefghij ", k=shared))
+    count = suffix_dedup.LARGEST_BUCKET + 100
+    texts = ["".join(rng.choices("klmnopqr ", k=450)) + passage + "".join(rng.choices("stuvwxyz ", k=450)) for _ in range(count)]
+    texts += [t[300:1200] for t in texts[:9]] + [texts[11][430:870] + "end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    rows = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.repeated_spans(docs).collect()}
+    data = [t.encode() for t in texts]
+    seen = Counter(hash(d[i : i + 400]) for d in data for i in range(len(d) - 399))
+    for i, d in enumerate(data):
+        mask = np.zeros(len(d), bool)
+        for at in range(len(d) - 399):
+            if seen[hash(d[at : at + 400])] > 1:
+                mask[at : at + 400] = True
+        assert rows[i] == mask.sum()
+
+
 def test_removal_from_odd_texts(spark):
     docs = edge_docs(spark).where("length(text) < 100 OR text IS NULL")
     removal_agrees(docs, 20)
