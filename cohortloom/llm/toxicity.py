@@ -8,12 +8,13 @@ expression says little about its class. A document is judged by its length-norma
 ratio under the toxic model, under a model in which only some words are toxic, and by its most
 telling words; a logistic link fitted on separate labelled rows turns these into a score.
 
-Counts are a table with one row per n-gram or context, under its letters themselves, so no two are
-ever merged, however many there are. Order by order, joins give each n-gram its probability under
-what is shared and, for the longest, its ratio. Every distinct word is scored once, by its n-grams'
-ratios, and the words' ratios are joined back to chunks of documents. Nothing of the size of the
-corpus or of its vocabulary is broadcast or collected on purpose. ``Model`` is the same in plain
-Python, for some words; tests compare the two.
+Documents are stored in chunks, each as its distinct words. Every chunk counts its distinct n-grams, and these
+counts add up to a stored table with one row per n-gram, under its letters themselves, so no two are ever
+merged, however many there are. The lower orders are tables derived from that one, and order by order joins
+give each n-gram its probability under what is shared and, for the longest, its ratio. Then every chunk lists its
+n-grams by number, the listing meets the ratios, and these go back to their chunks and score the chunk's
+words. N-grams that follow letters which no labelled text has are left out, as their ratio is 0. Nothing of the
+size of the corpus or of its vocabulary is broadcast or collected.
 
 Of the rows open for learning, those whose crc32 remainder is 1 fit the link (at most ``LINK_ROWS``
 per class), the others are counted. Without toxic or ordinary rows every score is the share of
@@ -22,11 +23,11 @@ toxic labels (0.5 without labels). Null and empty texts have no words and get th
 
 from __future__ import annotations
 
-import math
 import re
-import uuid
+import secrets
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,10 @@ TELLING = 3
 LINK_ROWS = 2000
 #: Share of toxic rows that the link assumes, whatever the sample's.
 PRIOR = 0.25
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 32_000_000
+#: Training labels are broadcast up to so many, and joined beyond.
+LABELLED_ROWS = 500_000
+SALTS = 256
 WORD = re.compile(r"[^\W_]+")
 #: Neither occurs in a word.
 START = "\2" * (TOP - 1)
@@ -61,131 +65,73 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def grams_of(word: str, order: int) -> list[str]:
-    """The n-gram that ends at each letter of the word, and at its end."""
+def grams_of(word: str) -> list[str]:
+    """The longest n-gram that ends at each letter of the word, and at its end."""
     line = START + word + END
-    return [line[at - order + 1 : at + 1] for at in range(TOP - 1, len(line))]
+    return [line[at : at + TOP] for at in range(len(word) + 1)]
 
 
 def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Some documents a row: their ids and held-out marks, and their words compressed, a line each."""
-    press = zstandard.ZstdCompressor(level=6)
+    """Some documents a row: ids, held-out marks, training labels, and distinct words compressed, a line each."""
+    press = zstandard.ZstdCompressor(level=9)
     for batch in text_pieces(batches, "text", CHUNK_BYTES):
-        lines = "\n".join(" ".join(words(t)) for t in batch.column("text").to_pylist())
+        lines = "\n".join(" ".join(sorted(set(words(t)))) for t in batch.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([uuid.uuid4().hex]),
-                *(pa.ListArray.from_arrays([0, batch.num_rows], batch.column(c)) for c in ("doc_id", "held_out")),
+                pa.array([secrets.randbits(63)], pa.int64()),
+                *(pa.ListArray.from_arrays([0, batch.num_rows], batch.column(c)) for c in ("doc_id", "held_out", "label")),
                 pa.array([press.compress(lines.encode())], pa.binary()),
             ],
-            ["chunk", "ids", "held", "squeezed"],
+            ["chunk", "ids", "held", "labels", "squeezed"],
         )
 
 
 def lines_of(squeezed: bytes) -> list[list[str]]:
-    """The documents of a chunk, each as its words."""
+    """The documents of a chunk, each as its distinct words."""
     return [line.split() for line in zstandard.ZstdDecompressor().decompress(squeezed).decode().split("\n")]
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of each chunk and how often all, toxic and ordinary texts have them."""
-    for batch in batches:
-        for squeezed, marks in zip(batch.column("squeezed").to_pylist(), batch.column("marks").to_pylist()):
-            label = {m["pos"]: m["label"] for m in marks or ()}
-            counts = {1: Counter(), 0: Counter(), None: Counter()}
-            for i, line in enumerate(lines_of(squeezed)):
-                counts[label.get(i)].update(line)
-            listed = list(set().union(*counts.values()))
-            toxic, ordinary, rest = ([c[w] for w in listed] for c in counts.values())
-            every = [sum(three) for three in zip(toxic, ordinary, rest)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(listed, pa.string()), *(pa.array(c, pa.int64()) for c in (every, toxic, ordinary))],
-                ["word", *SIDES],
-            )
+def grams_in(listed) -> list[str]:
+    """All longest n-grams of some words, sorted; a gram's place in it is its number in the chunk."""
+    found: set[str] = set()
+    for word in listed:
+        found.update(grams_of(word))
+    return sorted(found)
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct n-grams of each batch of words: order, letters, letter before, counts on each side."""
-    names = ["n", "key", "before", *SIDES]
-    kinds = [pa.int32(), pa.string(), pa.string(), *[pa.int64()] * 3]
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct n-grams of each chunk, and how many times texts of each side have their words."""
     for batch in batches:
-        sums, pairs = {}, set()
-        for word, *counts in zip(*(batch.column(c).to_pylist() for c in ("word", *SIDES))):
-            for gram in grams_of(word, TOP):
-                have = sums.setdefault(gram, [0, 0, 0])
-                for i, count in enumerate(counts):
-                    have[i] += count
-            for order in SHARED:
-                pairs.update((order, gram[1:], gram[0]) for gram in grams_of(word, order + 1))
-        rows = [(TOP, gram, "", *counts) for gram, counts in sums.items()]
-        rows += [(*pair, 0, 0, 0) for pair in pairs]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n-grams of texts with a label each."""
-    for batch in batches:
-        lines = [" ".join(words(zstandard.ZstdDecompressor().decompress(t).decode())) for t in batch.column("squeezed").to_pylist()]
-        marks = [{"pos": i, "label": y} for i, y in enumerate(batch.column("label").to_pylist()) if y is not None]
-        chunk = {"squeezed": [zstandard.compress("\n".join(lines).encode())], "marks": [marks]}
-        yield from _grams(_count_words([pa.RecordBatch.from_pydict(chunk)]))
+        for labels, squeezed in zip(batch.column("labels").to_pylist(), batch.column("squeezed").to_pylist()):
+            lines = lines_of(squeezed)
+            sums: dict[str, list[int]] = {}
+            for side, wanted in enumerate((None, 1, 0)):
+                part = (line for line, y in zip(lines, labels) if side == 0 or y == wanted)
+                for word, count in Counter(chain.from_iterable(part)).items():
+                    for gram in grams_of(word):
+                        have = sums.get(gram)
+                        if have is None:
+                            have = sums[gram] = [0, 0, 0]
+                        have[side] += count
+            listed = sorted(sums)
+            counts = np.array([sums[g] for g in listed], np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(listed, pa.string()), *(pa.array(np.ascontiguousarray(c)) for c in counts.T)], ["gram", *SIDES]
+            )
 
 
-def _to_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts by full key; kind 0: n-grams, 1: sums of their contexts, 2: what the contexts' n-grams give off."""
+def _list_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct n-grams of each chunk and their places."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        order = batch.column("n").to_numpy()
-        keys = batch.column("key").to_pylist()
-        values = {c: batch.column(c).to_numpy() for c in SIDES}
-        off = {c: np.minimum(v, DISCOUNT if c == "every" else CLASS_DISCOUNT) for c, v in values.items()}
-        context = [k[:-1] for k in keys]
-        size = len(order)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.tile(order, 3), pa.int32()),
-                pa.array(np.repeat([0, 1, 2], size), pa.int32()),
-                pa.array(keys + context + context, pa.string()),
-                *(pa.array(np.r_[values[c], values[c], off[c]].astype(float)) for c in SIDES),
-            ],
-            ["n", "kind", "slot", *SIDES],
-        )
-
-
-class Model:
-    """Counts of both classes and of what they share, for the n-grams of some words."""
-
-    def __init__(self, n, kind, slot, every, toxic, ordinary):
-        rows = zip(every, toxic, ordinary)
-        self.tables = {key: row for key, row in zip(zip(n, kind, slot), rows)}
-        self.known: dict[str, float] = {}
-
-    def _mixed(self, order: int, side: int, gram: str, lower: float) -> float:
-        none = (0, 0, 0)
-        total = self.tables.get((order, 1, gram[:-1]), none)[side]
-        if total <= 0:
-            return lower
-        count = self.tables.get((order, 0, gram), none)[side]
-        off = self.tables.get((order, 2, gram[:-1]), none)[side]
-        discount = DISCOUNT if side == 0 else CLASS_DISCOUNT
-        return (max(count - discount, 0) + off * lower) / total
-
-    def _ratio(self, gram: str) -> float:
-        """Toxic minus ordinary log-likelihood of the last letter of a longest n-gram."""
-        if gram in self.known:
-            return self.known[gram]
-        shared = 1 / 65536
-        for order in (*reversed(SHARED), TOP):
-            shared = max(self._mixed(order, 0, gram[-order:], shared), 1e-12)
-        ratio = math.log(self._mixed(TOP, 1, gram, shared)) - math.log(self._mixed(TOP, 2, gram, shared))
-        self.known[gram] = ratio
-        return ratio
-
-    def ratios(self, listed: list[str]) -> list[float]:
-        """Toxic minus ordinary log-likelihood of each word."""
-        return [sum(map(self._ratio, grams_of(word, TOP))) for word in listed]
+        for chunk, squeezed in zip(batch.column("chunk").to_pylist(), batch.column("squeezed").to_pylist()):
+            listed = grams_in(set(chain.from_iterable(lines_of(squeezed))))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(listed), chunk)), pa.array(np.arange(len(listed), dtype=np.int32)),
+                    pa.array(listed, pa.string()),
+                ],
+                ["chunk", "place", "gram"],
+            )
 
 
 def features(split: list[list[str]], known: dict[str, float]) -> np.ndarray:
@@ -205,103 +151,92 @@ def remainder(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5
 
 
-def chunks_of(docs: DataFrame) -> DataFrame:
-    """chunk, ids, held, squeezed: some documents a row, stored, so that a chunk keeps its documents."""
+def chunks_of(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """chunk, ids, held, labels, squeezed: some documents a row, stored, so that a chunk keeps its documents."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", held_out().alias("held_out"), text_of().alias("text"))
-    return stored(rows.mapInArrow(
-        _chunk, f"chunk string, ids array<{kind}>, held array<boolean>, squeezed binary"
-    ))
-
-
-def word_counts(chunks: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """word, every, toxic, ordinary: words of all texts, and of labelled training rows by class."""
     known = (
         labels.where(F.col(label).isin(0, 1) & remainder().isin(2, 3, 4))
-        .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    )
-    marks = (
-        chunks.select("chunk", F.posexplode("ids").alias("pos", "doc_id")).join(known, "doc_id")
-        .groupBy("chunk").agg(F.collect_list(F.struct("pos", "label")).alias("marks"))
+        .groupBy(F.col("doc_id").alias("of")).agg(F.max(label).cast("int").alias("label"))
+        .withColumn("salt", F.lit(0))
     )
-    counted = chunks.join(marks, "chunk", "left").select("squeezed", "marks").mapInArrow(
-        _count_words, "word string, every bigint, toxic bigint, ordinary bigint"
-    )
-    return stored(counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in SIDES)))
+    if known.count() <= LABELLED_ROWS:
+        known = F.broadcast(known)
+    # rows without id, however many, meet no label in no single task
+    salt = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(SALTS)) + 1).otherwise(0)
+    rows = docs.select("doc_id", held_out().alias("held_out"), text_of().alias("text"))
+    rows = rows.withColumn("dealt", salt).join(known, (F.col("doc_id") == F.col("of")) & (F.col("dealt") == F.col("salt")), "left")
+    return stored(rows.select("doc_id", "held_out", "label", "text").mapInArrow(
+        _chunk, f"chunk bigint, ids array<{kind}>, held array<boolean>, labels array<int>, squeezed binary"
+    ))
 
 
-def gram_counts(vocabulary: DataFrame) -> DataFrame:
-    """n, key, every, toxic, ordinary: class n-grams, and continuation counts of all words; stored."""
-    grams = vocabulary.mapInArrow(
-        _grams, "n int, key string, before string, every bigint, toxic bigint, ordinary bigint"
+def gram_counts(chunks: DataFrame) -> DataFrame:
+    """gram, every, toxic, ordinary: one row per longest n-gram of the corpus; stored."""
+    counts = chunks.select("labels", "squeezed").mapInArrow(
+        _count_grams, "gram string, every bigint, toxic bigint, ordinary bigint"
     )
-    distinct = grams.groupBy("n", "key", "before").agg(*(F.sum(c).alias(c) for c in SIDES))
-    # a shorter n-gram counts the different letters seen before it
-    return stored(distinct.groupBy("n", "key").agg(
-        F.when(F.col("n") == TOP, F.sum("every")).otherwise(F.count("*")).alias("every"),
-        F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"),
-    ))
+    return stored(counts.groupBy("gram").agg(*(F.sum(c).alias(c) for c in SIDES)))
 
 
-def gram_ratios(counts: DataFrame) -> DataFrame:
-    """gram, ratio of every longest n-gram: toxic minus ordinary log-likelihood of its last letter."""
-    rates = {c: DISCOUNT if c == "every" else CLASS_DISCOUNT for c in SIDES}
+def shared_odds(grams: DataFrame) -> DataFrame:
+    """ending, lower: how likely its last letter is after the others, for every ending of an n-gram, in all texts."""
+    longer, tables = grams.select(F.col("gram").alias("key")), {}
+    for order in SHARED:
+        # an n-gram counts the different letters seen before it
+        pairs = longer.select(F.substring("key", -order - 1, order + 1).alias("pair")).distinct()
+        tables[order] = pairs.groupBy(F.substring("pair", 2, order).alias("key")).agg(F.count("*").alias("every"))
+        longer = tables[order]
     found = None
-    for order in (*reversed(SHARED), TOP):
-        own = counts.where(F.col("n") == order).withColumn("context", F.substring("key", 1, order - 1))
+    for order in reversed(SHARED):
+        own = tables[order].withColumn("context", F.substring("key", 1, order - 1))
         given = own.groupBy("context").agg(
-            *(F.sum(c).alias(f"{c}_total") for c in SIDES),
-            *(F.sum(F.least(F.col(c), F.lit(d))).alias(f"{c}_off") for c, d in rates.items()),
+            F.sum("every").alias("total"), F.sum(F.least("every", F.lit(DISCOUNT))).alias("off")
         )
         rows = own.join(given, "context")
         if found is None:
             rows = rows.withColumn("lower", F.lit(1 / 65536))
         else:
             rows = rows.withColumn("ending", F.substring("key", -last, last)).join(found, "ending")
+        odds = (F.greatest(F.col("every") - DISCOUNT, F.lit(0.0)) + F.col("off") * F.col("lower")) / F.col("total")
+        found = rows.select(F.col("key").alias("ending"), F.greatest(odds, F.lit(1e-12)).alias("lower"))
+        last = order
+    return found
 
-        def mixed(side, lower):
-            kept = F.greatest(F.col(side) - rates[side], F.lit(0.0)) + F.col(f"{side}_off") * lower
-            return F.when(F.col(f"{side}_total") > 0, kept / F.col(f"{side}_total")).otherwise(lower)
 
-        rows = rows.withColumn("shared", F.greatest(mixed("every", F.col("lower")), F.lit(1e-12)))
-        found, last = rows.select(F.col("key").alias("ending"), F.col("shared").alias("lower")), order
+def gram_ratios(counts: DataFrame) -> DataFrame:
+    """gram, ratio: toxic minus ordinary log-likelihood of the last letter, of n-grams where it can differ from 0."""
+    rates = {c: DISCOUNT if c == "every" else CLASS_DISCOUNT for c in SIDES}
+    own = counts.withColumn("context", F.substring("gram", 1, TOP - 1))
+    given = own.groupBy("context").agg(
+        *(F.sum(c).alias(f"{c}_total") for c in SIDES),
+        *(F.sum(F.least(F.col(c), F.lit(d))).alias(f"{c}_off") for c, d in rates.items()),
+    ).where("toxic_total + ordinary_total > 0")
+    rows = own.join(given, "context").withColumn("ending", F.substring("gram", -SHARED[0], SHARED[0]))
+    rows = rows.join(shared_odds(counts), "ending")
+
+    def mixed(side, lower):
+        kept = F.greatest(F.col(side) - rates[side], F.lit(0.0)) + F.col(f"{side}_off") * lower
+        return F.when(F.col(f"{side}_total") > 0, kept / F.col(f"{side}_total")).otherwise(lower)
+
+    rows = rows.withColumn("shared", F.greatest(mixed("every", F.col("lower")), F.lit(1e-12)))
     ratio = F.log(mixed("toxic", F.col("shared"))) - F.log(mixed("ordinary", F.col("shared")))
-    return rows.select(F.col("key").alias("gram"), ratio.alias("ratio"))
-
-
-def _word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        listed = batch.column("word").to_pylist()
-        rows = [(w, gram) for w in listed for gram in grams_of(w, TOP)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], ["word", "gram"])
-
-
-def word_ratios(vocabulary: DataFrame) -> DataFrame:
-    """word, ratio for every word of the corpus; stored."""
-    grams = vocabulary.select("word").mapInArrow(_word_grams, "word string, gram string")
-    return stored(
-        grams.join(gram_ratios(gram_counts(vocabulary)), "gram")
-        .groupBy("word").agg(F.sum("ratio").alias("ratio"))
-    )
-
-
-def _chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for chunk, squeezed in zip(batch.column("chunk").to_pylist(), batch.column("squeezed").to_pylist()):
-            listed = list({w for line in lines_of(squeezed) for w in line})
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk] * len(listed), pa.string()), pa.array(listed, pa.string())], ["chunk", "word"]
-            )
+    return rows.select("gram", ratio.cast("float").alias("ratio"))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1)
-            ratios = row.column("ratios").flatten()
-            known = dict(zip(ratios.field("word").to_pylist(), ratios.field("ratio").to_pylist()))
-            found = features(lines_of(row.column("squeezed")[0].as_py()), known)
+            lines = lines_of(row.column("squeezed")[0].as_py())
+            listed = set(chain.from_iterable(lines))
+            grams = grams_in(listed)
+            values = np.zeros(len(grams), np.float32)
+            given = row.column("ratios").flatten()
+            if len(given):
+                values[given.field("place").to_numpy()] = given.field("ratio").to_numpy()
+            ratio = dict(zip(grams, values.tolist()))
+            known = {w: sum(map(ratio.__getitem__, grams_of(w))) for w in listed}
+            found = features(lines, known)
             yield pa.RecordBatch.from_arrays(
                 [
                     row.column("ids").flatten(), row.column("held").flatten(),
@@ -314,15 +249,15 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def document_features(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """doc_id, held_out and the features of every row; stored, as the link is fitted on some of them."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    chunks = chunks_of(docs)
-    ratios = word_ratios(word_counts(chunks, labels, label))
-    listed = (
-        chunks.select("chunk", "squeezed").mapInArrow(_chunk_words, "chunk string, word string")
-        .join(ratios, "word").groupBy("chunk").agg(F.collect_list(F.struct("word", "ratio")).alias("ratios"))
+    chunks = chunks_of(docs, labels, label)
+    listing = chunks.select("chunk", "squeezed").mapInArrow(_list_grams, "chunk bigint, place int, gram string")
+    back = (
+        listing.join(gram_ratios(gram_counts(chunks)), "gram")
+        .groupBy("chunk").agg(F.collect_list(F.struct("place", "ratio")).alias("ratios"))
     )
     numbers = ", ".join(f"{c} double" for c in FEATURES[1:])
     return stored(
-        chunks.join(listed, "chunk", "left").select("ids", "held", "squeezed", "ratios")
+        chunks.join(back, "chunk", "left").select("ids", "held", "squeezed", "ratios")
         .mapInArrow(_features, f"doc_id {kind}, held_out boolean, {numbers}")
     )
 
