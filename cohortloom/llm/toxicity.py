@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import re
 import secrets
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -91,40 +90,51 @@ def lines_of(squeezed: bytes) -> list[list[str]]:
     return [line.split() for line in zstandard.ZstdDecompressor().decompress(squeezed).decode().split("\n")]
 
 
-def grams_in(listed) -> list[str]:
-    """All longest n-grams of some words, sorted; a gram's place in it is its number in the chunk."""
-    found: set[str] = set()
-    for word in listed:
-        found.update(grams_of(word))
-    return sorted(found)
+class Listing:
+    """A chunk's distinct words and n-grams, the latter sorted; ``places`` has each word's n-grams, one word after another."""
+
+    def __init__(self, squeezed: bytes):
+        self.lines = lines_of(squeezed)
+        self.words = list(dict.fromkeys(chain.from_iterable(self.lines)))
+        grams = list(chain.from_iterable(map(grams_of, self.words)))
+        self.grams = sorted(set(grams))
+        place = dict(zip(self.grams, range(len(self.grams))))
+        self.places = np.fromiter(map(place.__getitem__, grams), np.int64, len(grams))
+        self.sizes = np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1
+        number = dict(zip(self.words, range(len(self.words))))
+        self.numbers = np.fromiter(map(number.__getitem__, chain.from_iterable(self.lines)), np.int64, sum(map(len, self.lines)))
+        self.lengths = np.fromiter(map(len, self.lines), np.int64, len(self.lines))
+
+    def counts(self, taken: np.ndarray) -> np.ndarray:
+        """How often the documents marked in ``taken`` have each n-gram."""
+        words = np.bincount(self.numbers[np.repeat(taken, self.lengths)], minlength=len(self.words))
+        return np.bincount(self.places, np.repeat(words, self.sizes), len(self.grams)).astype(np.int64)
+
+    def word_ratios(self, ratios: np.ndarray) -> np.ndarray:
+        """Toxic minus ordinary log-likelihood of each word, given those of the n-grams."""
+        sums = np.append(0, np.cumsum(ratios[self.places], dtype=float))
+        ends = np.cumsum(self.sizes)
+        return sums[ends] - sums[ends - self.sizes]
+
+    def features(self, ratios: np.ndarray) -> np.ndarray:
+        return features(self.word_ratios(ratios)[self.numbers], self.lengths)
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct n-grams of each chunk, and how many times texts of each side have their words."""
     for batch in batches:
         for labels, squeezed in zip(batch.column("labels").to_pylist(), batch.column("squeezed").to_pylist()):
-            lines = lines_of(squeezed)
-            sums: dict[str, list[int]] = {}
-            for side, wanted in enumerate((None, 1, 0)):
-                part = (line for line, y in zip(lines, labels) if side == 0 or y == wanted)
-                for word, count in Counter(chain.from_iterable(part)).items():
-                    for gram in grams_of(word):
-                        have = sums.get(gram)
-                        if have is None:
-                            have = sums[gram] = [0, 0, 0]
-                        have[side] += count
-            listed = sorted(sums)
-            counts = np.array([sums[g] for g in listed], np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(listed, pa.string()), *(pa.array(np.ascontiguousarray(c)) for c in counts.T)], ["gram", *SIDES]
-            )
+            found = Listing(squeezed)
+            label = np.array([-1 if y is None else y for y in labels])
+            counts = [found.counts(taken) for taken in (np.ones(len(label), bool), label == 1, label == 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(found.grams, pa.string()), *map(pa.array, counts)], ["gram", *SIDES])
 
 
 def _list_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct n-grams of each chunk and their places."""
     for batch in batches:
         for chunk, squeezed in zip(batch.column("chunk").to_pylist(), batch.column("squeezed").to_pylist()):
-            listed = grams_in(set(chain.from_iterable(lines_of(squeezed))))
+            listed = sorted(set(chain.from_iterable(map(grams_of, set(chain.from_iterable(lines_of(squeezed)))))))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(len(listed), chunk)), pa.array(np.arange(len(listed), dtype=np.int32)),
@@ -134,16 +144,19 @@ def _list_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def features(split: list[list[str]], known: dict[str, float]) -> np.ndarray:
+def features(ratios: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Per text, over its distinct words: mean ratio, the ratio if only some words are toxic
     (in sum and per root of the length), and the mean of the most telling words."""
-    found = np.zeros((len(split), N_FEATURES))
-    for i, line in enumerate(split):
-        listed = set(line)
-        if listed:
-            ratios = np.sort(np.fromiter(map(known.__getitem__, listed), float, len(listed)))
-            some = np.log1p(SOME * np.expm1(np.minimum(ratios, 12))).sum()
-            found[i] = ratios.mean(), some, some / np.sqrt(len(ratios)), ratios[-TELLING:].sum() / TELLING
+    found = np.zeros((len(lengths), N_FEATURES))
+    some = np.log1p(SOME * np.expm1(np.minimum(ratios, 12)))
+    end = 0
+    for i, length in enumerate(lengths.tolist()):
+        start, end = end, end + length
+        if length:
+            own = ratios[start:end]
+            top = np.partition(own, -TELLING)[-TELLING:] if length > TELLING else own
+            summed = some[start:end].sum()
+            found[i] = own.mean(), summed, summed / np.sqrt(length), top.sum() / TELLING
     return found
 
 
@@ -227,16 +240,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1)
-            lines = lines_of(row.column("squeezed")[0].as_py())
-            listed = set(chain.from_iterable(lines))
-            grams = grams_in(listed)
-            values = np.zeros(len(grams), np.float32)
+            listing = Listing(row.column("squeezed")[0].as_py())
+            ratios = np.zeros(len(listing.grams), np.float32)
             given = row.column("ratios").flatten()
             if len(given):
-                values[given.field("place").to_numpy()] = given.field("ratio").to_numpy()
-            ratio = dict(zip(grams, values.tolist()))
-            known = {w: sum(map(ratio.__getitem__, grams_of(w))) for w in listed}
-            found = features(lines, known)
+                ratios[given.field("place").to_numpy()] = given.field("ratio").to_numpy()
+            found = listing.features(ratios)
             yield pa.RecordBatch.from_arrays(
                 [
                     row.column("ids").flatten(), row.column("held").flatten(),
