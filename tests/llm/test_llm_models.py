@@ -1,9 +1,7 @@
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
-import zstandard
 from llm_fixtures import SMALL, TEN, auc, edge_docs, edge_labels, table
 
 from cohortloom.llm import neighbours, quality, toxicity
@@ -183,44 +181,119 @@ def test_very_long_texts_are_scored_part_by_part():
     assert found.shape == (3, 2)
 
 
+class PlainModel:
+    """Both classes' Kneser-Ney models and scores, word by word, from (text, label) pairs; label None: not learned from."""
+
+    def __init__(self, rows):
+        self.counts = {}
+        for text, label in rows:
+            for word in set(toxicity.words(text)):
+                for gram in toxicity.grams_of(word):
+                    have = self.counts.setdefault(gram, [0, 0, 0])
+                    have[0] += 1
+                    have[1] += label == 1
+                    have[2] += label == 0
+        self.lower, longer = {}, set(self.counts)
+        for order in toxicity.SHARED:
+            before = {}
+            for gram in longer:
+                before.setdefault(gram[-order:], set()).add(gram[-order - 1])
+            self.lower[order] = {k: len(v) for k, v in before.items()}
+            longer = set(before)
+
+    def odds(self, gram):
+        p = 1 / 65536
+        for order in reversed(toxicity.SHARED):
+            ending, table = gram[-order:], self.lower[order]
+            like = [n for k, n in table.items() if k[:-1] == ending[:-1]]
+            off = sum(min(n, toxicity.DISCOUNT) for n in like)
+            p = max((max(table[ending] - toxicity.DISCOUNT, 0) + off * p) / sum(like), 1e-12)
+        return p
+
+    def ratio(self, gram):
+        like = [c for k, c in self.counts.items() if k[:-1] == gram[:-1]]
+
+        def mixed(side, discount, lower):
+            total = sum(c[side] for c in like)
+            if not total:
+                return lower
+            off = sum(min(c[side], discount) for c in like)
+            return (max(self.counts[gram][side] - discount, 0) + off * lower) / total
+
+        shared = max(mixed(0, toxicity.DISCOUNT, self.odds(gram)), 1e-12)
+        return np.log(mixed(1, toxicity.CLASS_DISCOUNT, shared)) - np.log(mixed(2, toxicity.CLASS_DISCOUNT, shared))
+
+    def features(self, text):
+        ratios = sorted(sum(map(self.ratio, toxicity.grams_of(w))) for w in set(toxicity.words(text)))
+        if not ratios:
+            return [0.0] * 4
+        some = sum(np.log(1 + toxicity.SOME * (np.exp(min(r, 12)) - 1)) for r in ratios)
+        return [np.mean(ratios), some, some / len(ratios) ** 0.5, sum(ratios[-3:]) / 3]
+
+
+def toxic_rows():
+    texts = ["good fine nice words été 漢字 nice", "nasty vile words niece", "nasty fine zebra", "", None, "unseen zzz words"]
+    rows = []
+    for i in range(60):
+        text = texts[i % 6]
+        rows.append((i, text, None if text is None else int("nasty" in text)))
+    return rows
+
+
+def test_document_features_are_those_of_the_plain_model(spark, monkeypatch):
+    """Word for word, from several chunks, with labels broadcast and joined."""
+    rows = toxic_rows()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i % 5 != 1], "doc_id bigint, toxic int")
+    learned = {i: y for i, _, y in rows if i % 5 != 1 and zlib.crc32(str(i).encode()) % 5 in (2, 3, 4)}
+    model = PlainModel([(t, learned.get(i)) for i, t, _ in rows])
+    wanted = {t: model.features(t) for t in {t for _, t, _ in rows}}
+    for most in (500_000, 0):
+        monkeypatch.setattr(toxicity, "LABELLED_ROWS", most)
+        found = toxicity.document_features(docs, labels, "toxic").collect()
+        assert len(found) == len(rows)
+        for r in found:
+            assert [r[c] for c in toxicity.FEATURES[1:]] == pytest.approx(wanted[rows[r["doc_id"]][1]], rel=1e-4, abs=1e-5)
+
+
 def test_ratios_follow_the_classes():
-    texts = ["good fine nice words"] * 40 + ["nasty vile words"] * 40
-    batch = pa.RecordBatch.from_pydict({"squeezed": [zstandard.compress(t.encode()) for t in texts], "label": pa.array([0] * 40 + [1] * 40, pa.int32())})
-    grams = pa.Table.from_batches(toxicity._count([batch])).to_pandas()
-    sides = list(toxicity.SIDES)
-    summed = grams.groupby(["n", "key"], as_index=False)[sides].sum()
-    summed["every"] = np.maximum(summed["every"], 1)
-    slots = pa.Table.from_batches(toxicity._to_slots([pa.RecordBatch.from_pandas(summed)])).to_pandas()
-    slots = slots.groupby(["n", "kind", "slot"], as_index=False)[sides].sum()
-    model = toxicity.Model(*(slots[c].to_numpy() for c in ("n", "kind", "slot", *sides)))
-    good, bad, both, new = model.ratios(["nice", "vile", "words", "zzz"])
+    model = PlainModel([("good fine nice words", 0)] * 40 + [("nasty vile words", 1)] * 40 + [("zzz", None)])
+    good, bad, both, new = (sum(map(model.ratio, toxicity.grams_of(w))) for w in ("nice", "vile", "words", "zzz"))
     assert bad > 1 and good < -1 and abs(both) < 1 and abs(new) < 1
 
 
-def test_unlike_ngrams_are_never_merged():
+def test_unlike_ngrams_are_never_merged(spark):
     letters = [chr(0x4E00 + i) for i in range(6000)]
-    texts = [" ".join(letters[i : i + 1000]) for i in range(0, 6000, 1000)]
-    batch = pa.RecordBatch.from_pydict({"squeezed": [zstandard.compress(t.encode()) for t in texts], "label": pa.array([0, 1] * 3, pa.int32())})
-    grams = pa.Table.from_batches(toxicity._count([batch])).to_pandas()
-    summed = grams.groupby(["n", "key"], as_index=False)[list(toxicity.SIDES)].sum()
-    slots = pa.Table.from_batches(toxicity._to_slots([pa.RecordBatch.from_pandas(summed)])).to_pandas()
-    # every letter and the end of a word, each under itself
-    assert slots[(slots["n"] == 1) & (slots["kind"] == 0)]["slot"].nunique() == 6001
-    top = slots[(slots["n"] == toxicity.TOP) & (slots["kind"] == 0)]
-    assert top["slot"].nunique() == 12_000 and top.groupby("slot")["every"].sum().max() == 1
-
-
-def test_joined_ratios_are_those_of_the_plain_model(spark):
-    texts = ["good fine nice words été 漢字"] * 9 + ["nasty vile words niece"] * 7
-    batch = pa.RecordBatch.from_pydict({"squeezed": [zstandard.compress(t.encode()) for t in texts], "label": pa.array([0] * 9 + [1] * 7, pa.int32())})
-    rows = [(w, 16 if w == "words" else 9 if w in texts[0].split() else 7, 7 * (w in texts[-1].split()), 9 * (w in texts[0].split())) for w in set((texts[0] + " " + texts[-1]).split())]
-    vocabulary = spark.createDataFrame(rows, "word string, every bigint, toxic bigint, ordinary bigint")
-    got = {r["word"]: r["ratio"] for r in toxicity.word_ratios(vocabulary).collect()}
-    summed = toxicity.gram_counts(vocabulary).toPandas()
-    plain = pa.Table.from_batches(toxicity._count([batch])).to_pandas()
-    plain = plain[plain["n"] == toxicity.TOP].set_index("key")["every"].to_dict()
-    assert summed[summed["n"] == toxicity.TOP].set_index("key")["every"].to_dict() == plain
-    slots = pa.Table.from_batches(toxicity._to_slots([pa.RecordBatch.from_pandas(summed)])).to_pandas()
-    slots = slots.groupby(["n", "kind", "slot"], as_index=False)[list(toxicity.SIDES)].sum()
-    model = toxicity.Model(*(slots[c].to_numpy() for c in ("n", "kind", "slot", *toxicity.SIDES)))
-    assert got == pytest.approx(dict(zip(got, model.ratios(list(got)))))
+    docs = [(i, " ".join(letters[i : i + 1000])) for i in range(0, 6000, 1000)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    counts = toxicity.gram_counts(toxicity.chunks_of(frame, edge_labels(spark, "toxic"), "toxic"))
+    # every letter and the end of each word after it, each under itself
+    assert counts.count() == 12_000 and counts.agg({"every": "max"}).first()[0] == 1
+    assert toxicity.shared_odds(counts).count() > 6000
+
+
+def plain_logit(network, data):
+    """One chunk through the network, value by value."""
+    w = network.weights
+    letters = [*data] + [quality.PAD] * (quality.CHUNK - len(data))
+    vectors = [w["embed"][b] for b in letters]
+    z = float(w["shift"][0])
+    for f in range(quality.FILTERS):
+        best = max(
+            sum(
+                float(vectors[start + i][e]) * float(w["filters"][i * quality.EMBED + e, f])
+                for i in range(quality.WIDTH) for e in range(quality.EMBED)
+            )
+            for start in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE)
+        )
+        z += max(best + float(w["bias"][f]), 0) * float(w["out"][f])
+    return z
+
+
+def test_network_scores_a_document_like_plain_loops():
+    """One text's features and its score, filter by filter and byte by byte."""
+    network = quality.Network(7)
+    text = bytes(np.random.default_rng(1).integers(32, 127, 700).astype(np.uint8))
+    starts = quality.chunk_starts(len(text))
+    logits = [plain_logit(network, text[s : s + quality.CHUNK]) for s in starts]
+    assert network.features([text])[0] == pytest.approx([np.mean(logits), min(logits)], rel=1e-3, abs=1e-3)
