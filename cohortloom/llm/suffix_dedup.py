@@ -356,11 +356,10 @@ def _remove(length: int):
 
 
 def _sorted(contexts: DataFrame, length: int) -> DataFrame:
-    """Repeated stretches of the contexts of whole buckets: base (0), context_key, stretches."""
+    """Repeated stretches of the contexts of whole buckets."""
     return (
         contexts.repartition("hash").sortWithinPartitions("hash")
         .mapInArrow(_sort_buckets(length), "context_key binary, stretches binary")
-        .select("context_key", F.lit(0).alias("base"), "stretches")
     )
 
 
@@ -378,11 +377,27 @@ def _split(contexts: DataFrame, length: int, block: int) -> tuple[DataFrame, Dat
     return blocks, stored(distinct.join(sizes, "hash").where("size > 1 OR times > 1"))
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of stretches per context, whose starts are those of its blocks together."""
+    for batch in batches:
+        packed = []
+        for marks in batch.column("marks").to_pylist():
+            parts = [np.frombuffer(m["stretches"], np.int32).reshape(-1, 2) + m["base"] for m in marks]
+            spans = np.concatenate(parts)
+            mask = np.zeros(int(spans.max()) + 1, bool)
+            for first, last in spans.tolist():
+                mask[first : last + 1] = True
+            packed.append(_stretches(mask).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("context_key"), pa.array(packed, pa.binary())], ["context_key", "stretches"])
+
+
 def _whole(blocks: DataFrame, marks: DataFrame) -> DataFrame:
-    """Marks of blocks as marks of the contexts that they were cut from."""
-    places = blocks.select("whole_key", F.col("base").alias("from"), "context_key")
-    return places.join(marks, "context_key").select(
-        F.col("whole_key").alias("context_key"), (F.col("from") + F.col("base")).alias("base"), "stretches"
+    """Marks of blocks as marks of the contexts that they were cut from, one row each."""
+    places = blocks.select("whole_key", "base", "context_key")
+    return (
+        places.join(marks, "context_key").groupBy(F.col("whole_key").alias("context_key"))
+        .agg(F.collect_list(F.struct("base", "stretches")).alias("marks"))
+        .mapInArrow(_merge, "context_key binary, stretches binary")
     )
 
 
@@ -442,7 +457,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     marks = (
         places.join(found, "context_key")
         .groupBy("text_key")
-        .agg(F.collect_list(F.struct((F.col("low") + F.col("base")).alias("low"), "stretches")).alias("marks"))
+        .agg(F.collect_list(F.struct("low", "stretches")).alias("marks"))
     )
     removed = part.select("text_key", "squeezed").join(marks, "text_key").mapInArrow(
         _remove(length),
