@@ -85,29 +85,34 @@ def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def lines_of(squeezed: bytes) -> list[list[str]]:
-    """The documents of a chunk, each as its distinct words."""
-    return [line.split() for line in zstandard.ZstdDecompressor().decompress(squeezed).decode().split("\n")]
+def lines_of(squeezed: bytes) -> list[str]:
+    """The documents of a chunk, each as a line of its distinct words."""
+    return zstandard.ZstdDecompressor().decompress(squeezed).decode().split("\n")
 
 
 class Listing:
-    """A chunk's distinct words and n-grams, the latter sorted; ``places`` has each word's n-grams, one word after another."""
+    """A chunk's distinct words and n-grams, the latter sorted; ``places`` has each word's n-grams, one word after another.
+
+    Words and n-grams are made anew for each pass over them, so that only the distinct ones are held.
+    """
 
     def __init__(self, squeezed: bytes):
-        self.lines = lines_of(squeezed)
-        self.words = list(dict.fromkeys(chain.from_iterable(self.lines)))
-        grams = list(chain.from_iterable(map(grams_of, self.words)))
-        self.grams = sorted(set(grams))
-        place = dict(zip(self.grams, range(len(self.grams))))
-        self.places = np.fromiter(map(place.__getitem__, grams), np.int64, len(grams))
-        self.sizes = np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1
-        number = dict(zip(self.words, range(len(self.words))))
-        self.numbers = np.fromiter(map(number.__getitem__, chain.from_iterable(self.lines)), np.int64, sum(map(len, self.lines)))
-        self.lengths = np.fromiter(map(len, self.lines), np.int64, len(self.lines))
+        lines = lines_of(squeezed)
+        self.lengths = np.fromiter((len(line.split()) for line in lines), np.int64, len(lines))
+        number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(map(str.split, lines))))}
+        self.numbers = np.fromiter(
+            map(number.__getitem__, chain.from_iterable(map(str.split, lines))), np.int32, int(self.lengths.sum())
+        )
+        self.sizes = np.fromiter(map(len, number), np.int64, len(number)) + 1
+        self.grams = sorted(set(chain.from_iterable(map(grams_of, number))))
+        place = {g: i for i, g in enumerate(self.grams)}
+        self.places = np.fromiter(
+            map(place.__getitem__, chain.from_iterable(map(grams_of, number))), np.int32, int(self.sizes.sum())
+        )
 
     def counts(self, taken: np.ndarray) -> np.ndarray:
         """How often the documents marked in ``taken`` have each n-gram."""
-        words = np.bincount(self.numbers[np.repeat(taken, self.lengths)], minlength=len(self.words))
+        words = np.bincount(self.numbers[np.repeat(taken, self.lengths)], minlength=len(self.sizes))
         return np.bincount(self.places, np.repeat(words, self.sizes), len(self.grams)).astype(np.int64)
 
     def word_ratios(self, ratios: np.ndarray) -> np.ndarray:
@@ -134,7 +139,7 @@ def _list_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct n-grams of each chunk and their places."""
     for batch in batches:
         for chunk, squeezed in zip(batch.column("chunk").to_pylist(), batch.column("squeezed").to_pylist()):
-            listed = sorted(set(chain.from_iterable(map(grams_of, set(chain.from_iterable(lines_of(squeezed)))))))
+            listed = sorted(set(chain.from_iterable(map(grams_of, set(chain.from_iterable(map(str.split, lines_of(squeezed))))))))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(len(listed), chunk)), pa.array(np.arange(len(listed), dtype=np.int32)),
