@@ -1,11 +1,12 @@
-"""Exact order statistics of data of any size.
-
-``percentile`` keeps every distinct value of a group in one task. Here an
-approximate quantile sketch only proposes where to look; exact counts decide, and
-the interval holding each wanted rank shrinks until at most ``LISTED_VALUES`` values
-are left in it, of which an aggregate picks the one. The searches are a table of
-their own, one row per wanted rank, so there may be any number of keys; all passes
-are map-side combined aggregates over the values joined with that table.
+"""Exact order statistics of data of any size, by histograms.
+
+``percentile`` keeps every distinct value of a group in one task. Here the interval that holds a
+wanted rank is cut into ``BINS`` bins, one map-side combined aggregate counts them, and the rank's bin, from
+its smallest to its largest value, is the next interval. Bins are as wide as each other on a logarithmic
+scale while an interval spans more than a factor of two or changes sign, and on a linear one after that, so any
+double is reached in four passes; evenly spread values take two. An interval with ``LISTED_VALUES`` values or
+fewer is counted value by value. A hot value is one row per task and bin, and becomes an interval of
+its own. The searches are a table, one row per wanted rank, so there may be any number of keys.
 """
 
 from __future__ import annotations
@@ -14,20 +15,17 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.session import cut_lineage
 
-SKETCH_ACCURACY = 2_000
-SKETCH_STEPS = 256
-# values of one rank's interval that an aggregate may list
-LISTED_VALUES = 64
-# deviations around the expected place of a rank among evenly spread values
-UNIFORM_MARGIN = 8
-UNIFORM_ROUNDS = 3
-# searches that are broadcast to the values (about 60 bytes each); more are joined by key
+BINS = 65_536
+# values of one rank's interval that are counted one by one
+LISTED_VALUES = 4_096
+# searches that are kept as a local table and broadcast to the values; more are stored and joined by key
 BROADCAST_SEARCHES = 50_000
+SEARCH = "key bigint, rank bigint, low double, high double, below bigint, inside bigint"
 
 
 @dataclass
@@ -44,20 +42,26 @@ def order_statistics(
     ranks: dict[int, Sequence[int]],
     counts: dict[int, int],
     listed: int = LISTED_VALUES,
-    uniform: tuple[int, int] | None = None,
+    bounds: dict[int, tuple[float, float]] | None = None,
+    even: bool = False,
 ) -> dict[tuple[int, int], Statistic]:
     """Exact values at zero-based ``ranks`` of a few keys, on the driver.
 
-    ``counts`` holds the number of values of each key; see ``rank_values``.
+    ``counts`` holds the number of values of each key, ``bounds`` their least and largest, if known; see
+    ``rank_values``.
     """
     wanted = [(key, rank, counts[key]) for key, found in ranks.items() for rank in sorted(set(found))]
     for key, rank, inside in wanted:
         if not 0 <= rank < inside:
             raise ValueError(f"rank {rank} is outside 0..{inside - 1}")
-    table = values.sparkSession.createDataFrame(wanted, "key bigint, rank bigint, inside bigint")
+    spark = values.sparkSession
+    table = spark.createDataFrame(wanted, "key bigint, rank bigint, inside bigint")
+    edges = None
+    if bounds is not None:
+        edges = spark.createDataFrame([(k, *map(float, bounds[k])) for k in ranks], "key bigint, low double, high double")
     return {
         (r["key"], r["rank"]): Statistic(r["value"], r["below"], r["equal"])
-        for r in rank_values(values, table, listed, uniform).collect()
+        for r in rank_values(values, table, listed, edges, even).collect()
     }
 
 
@@ -65,129 +69,100 @@ def rank_values(
     values: DataFrame,
     wanted: DataFrame,
     listed: int = LISTED_VALUES,
-    uniform: tuple[int, int] | None = None,
+    bounds: DataFrame | None = None,
+    even: bool = False,
 ) -> DataFrame:
     """(key, rank, value, below, equal) for every zero-based (key, rank) of ``wanted``.
 
     ``values`` has columns ``key`` (an integer naming a column or class) and ``value``
     (a non-null number, exact as a double, infinities included); ``wanted`` has key, rank
-    and ``inside``, the number of values of the key. Integers known to be spread evenly
-    over the open interval ``uniform`` need no sketch pass: where a rank lies is computed,
-    then verified by counting.
+    and ``inside``, the number of values of the key. ``bounds`` (key, low, high) saves the pass that finds
+    each key's least and largest value; wider ones do. ``even``: the values are spread evenly, so
+    that linear bins are best from the start.
     """
-    low, high = uniform or (None, None)
-    numbers = values.select(F.col("key").cast("bigint").alias("key"), F.col("value").cast("double").alias("value"))
-    searches = cut_lineage(
-        wanted.select(
-            "key", "rank", F.lit(low).cast("double").alias("low"), F.lit(high).cast("double").alias("high"),
-            F.lit(0).cast("bigint").alias("below"), "inside",
-            F.lit(None).cast("double").alias("value"), F.lit(None).cast("bigint").alias("equal"),
-        )
+    numbers = values.select(
+        F.col("key").cast("bigint").alias("key"), (F.col("value").cast("double") + 0.0).alias("value")
     )
-    rounds = 0
-    while (count := searches.where(_is_wide(listed)).count()) > 0:
-        wide = searches.where(_is_wide(listed))
-        if uniform and rounds < UNIFORM_ROUNDS:
-            bounded = _expected(wide)
-        else:
-            bounded = _sketched(numbers, wide, count)
-        narrowed = _narrowed(numbers, bounded, count)
-        searches = cut_lineage(searches.where(~_is_wide(listed)).unionByName(narrowed))
-        rounds += 1
-    left = searches.where("value IS NULL")
-    return searches.where("value IS NOT NULL").select("key", "rank", "value", "below", "equal").unionByName(
-        _picked(numbers, left, left.count())
+    if bounds is None:
+        bounds = numbers.groupBy("key").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    searches = wanted.join(bounds, "key").select(
+        "key", "rank", "low", "high", F.lit(0).cast("bigint").alias("below"), "inside"
     )
+    while True:
+        searches, count, wide = _kept(searches, listed)
+        if not wide:
+            break
+        is_wide = _is_wide(listed)
+        narrowed = _narrowed(numbers, searches.where(is_wide), count, even)
+        searches = searches.where(~is_wide).unionByName(narrowed)
+    one = F.col("low") == F.col("high")
+    done = searches.where(one).select("key", "rank", F.col("low").alias("value"), "below", F.col("inside").alias("equal"))
+    return done.unionByName(_picked(numbers, searches.where(~one), count))
 
 
 def _is_wide(listed: int) -> Column:
-    return F.col("value").isNull() & (F.col("inside") > listed)
+    return (F.col("low") < F.col("high")) & (F.col("inside") > listed)
+
+
+def _kept(searches: DataFrame, listed: int) -> tuple[DataFrame, int, bool]:
+    """The searches as a local table (or a stored one, if many), their number, and whether any goes on."""
+    rows = searches.limit(BROADCAST_SEARCHES + 1).collect()
+    if len(rows) <= BROADCAST_SEARCHES:
+        local = searches.sparkSession.createDataFrame(rows, SEARCH)
+        return local, len(rows), any(r["low"] < r["high"] and r["inside"] > listed for r in rows)
+    kept = cut_lineage(searches)
+    return kept, len(rows), not kept.where(_is_wide(listed)).isEmpty()
+
+
+def _small(table: DataFrame, count: int) -> DataFrame:
+    return F.broadcast(table) if count <= BROADCAST_SEARCHES else table
 
 
 def _inside(values: DataFrame, searches: DataFrame, count: int) -> DataFrame:
-    """Values with the searches whose interval holds them; a missing end is open to infinity."""
-    table = searches.withColumnRenamed("value", "found")
-    table = F.broadcast(table) if count <= BROADCAST_SEARCHES else table
-    above = F.col("low").isNull() | (F.col("value") > F.col("low"))
-    under = F.col("high").isNull() | (F.col("value") < F.col("high"))
-    return values.join(table, "key").filter(above & under)
-
-
-def _expected(searches: DataFrame) -> DataFrame:
-    """Bounds of each rank if the integers of its interval are spread evenly."""
-    fraction = (F.col("rank") - F.col("below") + 0.5) / F.col("inside")
-    spread = F.greatest(fraction * (1 - fraction), 1 / F.col("inside")) / F.col("inside")
-    width = F.col("high") - F.col("low")
-    start = F.floor(F.col("low") + (fraction - UNIFORM_MARGIN * F.sqrt(spread)) * width)
-    end = F.ceil(F.col("low") + (fraction + UNIFORM_MARGIN * F.sqrt(spread)) * width)
-    return searches.select(
-        "*", F.greatest(start, "low").cast("double").alias("a"), F.least(end, "high").cast("double").alias("b")
-    )
+    """Values with the different intervals that hold them."""
+    intervals = searches.select("key", "low", "high").distinct()
+    return values.join(_small(intervals, count), "key").where("value >= low AND value <= high")
 
 
-def _sketched(values: DataFrame, searches: DataFrame, count: int) -> DataFrame:
-    """Bounds of each rank according to a quantile sketch of its interval."""
-    grid = [i / SKETCH_STEPS for i in range(SKETCH_STEPS + 1)]
-    sketches = (
-        _inside(values, searches, count)
-        .groupBy("key", "rank")
-        .agg(F.percentile_approx("value", grid, SKETCH_ACCURACY).alias("grid"))
-    )
-    at = (F.col("rank") - F.col("below")) / F.col("inside") * SKETCH_STEPS
-    first = F.greatest(F.lit(0), F.floor(at) - 1).cast("int")
-    last = F.least(F.lit(SKETCH_STEPS), F.ceil(at) + 1).cast("int")
-    return searches.join(sketches, ["key", "rank"]).select(
-        *searches.columns, F.col("grid")[first].alias("a"), F.col("grid")[last].alias("b")
-    )
+def _scale(value: Column) -> Column:
+    """Logarithmic and increasing over all doubles: 0 for zero, from 5 on above, down from -5 below it."""
+    size = F.when(F.abs(value) == float("inf"), F.lit(1030.0)).otherwise(F.log2(F.abs(value)))
+    return F.when(value == 0, F.lit(0.0)).otherwise(F.signum(value) * (size + 1080.0))
 
 
-def _narrowed(values: DataFrame, bounded: DataFrame, count: int) -> DataFrame:
-    """One counting pass: each search moves to the stretch of its interval that holds the rank.
+def _bin(even: bool) -> Column:
+    """Bin of a value in its interval: never less for a larger value, 0 and ``BINS`` for the ends."""
+    v, low, high = F.col("value"), F.col("low"), F.col("high")
+    linear = (v - low) / (high - low)
+    if not even:
+        linear = F.when(_scale(high) - _scale(low) > 1, (_scale(v) - _scale(low)) / (_scale(high) - _scale(low))).otherwise(linear)
+    return F.floor(F.least(F.greatest(linear, F.lit(0.0)), F.lit(1.0)) * BINS).cast("int")
 
-    The stretches are the values below, at, between and at the proposed bounds, and the rest.
-    """
-    v, a, b = F.col("value"), F.col("a"), F.col("b")
-    tallies = (
-        _inside(values, bounded, count)
-        .groupBy("key", "rank")
-        .agg(
-            F.count_if(v < a).alias("n0"),
-            F.count_if(v == a).alias("n1"),
-            F.count_if((v > a) & (v < b)).alias("n2"),
-            F.count_if((v == b) & (a < b)).alias("n3"),
-        )
+
+def _narrowed(values: DataFrame, searches: DataFrame, count: int, even: bool) -> DataFrame:
+    """One counting pass: each search moves to the bin of its interval that holds the rank."""
+    bins = (
+        _inside(values, searches, count).withColumn("bin", _bin(even))
+        .groupBy("key", "low", "high", "bin")
+        .agg(F.count("*").alias("n"), F.min("value").alias("a"), F.max("value").alias("b"))
+    )
+    return _at_rank(bins, searches, count, ["bin"]).select(
+        "key", "rank", F.col("a").alias("low"), F.col("b").alias("high"), "below", F.col("n").alias("inside")
     )
-    joined = bounded.drop("value", "equal").join(tallies, ["key", "rank"])
-    sizes = [F.col(f"n{i}") for i in range(4)]
-    sizes.append(F.col("inside") - sum(sizes, F.lit(0)))
-    ends = [("low", "a"), ("a", "a"), ("a", "b"), ("b", "b"), ("b", "high")]
-    null = F.lit(None)
-    moved, before = F.lit(None), F.col("below")
-    for size, (start, end) in zip(sizes, ends):
-        here = F.struct(
-            F.col(start).alias("low"), F.col(end).alias("high"), before.alias("below"), size.alias("inside"),
-            (F.col(start) if start == end else null.cast("double")).alias("value"),
-            (size if start == end else null.cast("bigint")).alias("equal"),
-        )
-        before = before + size
-        reached = F.col("rank") < before
-        moved = F.when(reached, here) if start == "low" else moved.when(reached, here)
-    return joined.select("key", "rank", moved.alias("m")).select("key", "rank", "m.*")
 
 
 def _picked(values: DataFrame, searches: DataFrame, count: int) -> DataFrame:
-    """The ranks of searches with few values left: these are listed and looked up per search."""
-    lists = (
-        _inside(values, searches, count)
-        .groupBy("key", "rank", "below")
-        .agg(F.array_sort(F.collect_list("value")).alias("all"))
-    )
-    value = F.col("all")[(F.col("rank") - F.col("below")).cast("int")]
-    return lists.withColumn("value", value).select(
-        "key", "rank", "value",
-        (F.col("below") + F.size(F.filter("all", lambda x: x < F.col("value")))).alias("below"),
-        F.size(F.filter("all", lambda x: x == F.col("value"))).cast("bigint").alias("equal"),
-    )
+    """The ranks of searches with few values left, from counts of each value."""
+    counts = _inside(values, searches, count).groupBy("key", "low", "high", "value").agg(F.count("*").alias("n"))
+    return _at_rank(counts, searches, count, ["value"]).select("key", "rank", "value", "below", F.col("n").alias("equal"))
+
+
+def _at_rank(counts: DataFrame, searches: DataFrame, count: int, order: list[str]) -> DataFrame:
+    """The counted row that holds each search's rank; ``below`` becomes the number of values before that row."""
+    upto = F.sum("n").over(Window.partitionBy("key", "low", "high").orderBy(*order))
+    summed = counts.withColumn("before", upto - F.col("n"))
+    found = summed.join(_small(searches.select("key", "low", "high", "rank", F.col("below").alias("under")), count), ["key", "low", "high"])
+    return found.withColumn("below", F.col("under") + F.col("before")).where("rank >= below AND rank < below + n")
 
 
 def long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -209,16 +184,18 @@ def quantiles(
 ) -> dict[str, dict[float, float | None]]:
     """Exact quantiles with linear interpolation; None for a column without values."""
     numbers = [F.col(c).cast("double") for c in cols]
-    found = df.agg(
-        *[F.count_if(x.isNotNull() & ~F.isnan(x)).alias(f"n{i}") for i, x in enumerate(numbers)]
-    ).first()
+    numbers = [F.when(~F.isnan(x), x) for x in numbers]
+    found = df.agg(*[
+        f(x).alias(f"{name}{i}") for i, x in enumerate(numbers) for name, f in (("n", F.count), ("low", F.min), ("high", F.max))
+    ]).first()
     counts = {i: found[f"n{i}"] for i in range(len(cols)) if found[f"n{i}"] > 0}
+    bounds = {i: (found[f"low{i}"], found[f"high{i}"]) for i in counts}
     spots = {i: {q: (n - 1) * q for q in fractions} for i, n in counts.items()}
     ranks = {
         i: [r for at in wanted.values() for r in (math.floor(at), math.ceil(at))]
         for i, wanted in spots.items()
     }
-    stats = order_statistics(long_values(df, cols), ranks, counts, listed) if ranks else {}
+    stats = order_statistics(long_values(df, cols), ranks, counts, listed, bounds) if ranks else {}
     result: dict[str, dict[float, float | None]] = {c: dict.fromkeys(fractions) for c in cols}
     for i, wanted in spots.items():
         for q, at in wanted.items():

@@ -78,23 +78,30 @@ def assign_parts(
         F.col("_class").alias("key"), F.col("_draw").alias("value"), F.col(id_col).alias("id")
     )
     spark = df.sparkSession
-    marks = cut_lineage(
-        rank_values(
-            draws.select("key", "value"),
-            spark.createDataFrame(wanted, "key bigint, rank bigint, inside bigint"),
-            uniform=(-1, DRAW_LIMIT),
-        ).join(spark.createDataFrame(times, "key bigint, rank bigint, times int"), ["key", "rank"])
-        .withColumn("value", F.col("value").cast("bigint"))
+    classes = sorted({key for key, _, _ in wanted})
+    found = rank_values(
+        draws.select("key", "value"),
+        spark.createDataFrame(wanted, "key bigint, rank bigint, inside bigint"),
+        bounds=spark.createDataFrame([(i, 0.0, float(DRAW_LIMIT)) for i in classes], "key bigint, low double, high double"),
+        even=True,
     )
-    # equal draws at a threshold: the ids decide, and only those needed are looked at
-    tied = marks.where("rank > below").select("key", "rank", "value", (F.col("rank") - F.col("below")).alias("before"))
-    order = Window.partitionBy("key", "rank").orderBy("id")
-    firsts = (
-        draws.join(_small(tied, len(wanted)), ["key", "value"])
-        .withColumn("place", F.row_number().over(order)).where("place = before + 1")
-        .select("key", "rank", F.col("id").alias("first_after"))
+    marks = _kept(
+        found.join(spark.createDataFrame(times, "key bigint, rank bigint, times int"), ["key", "rank"])
+        .withColumn("value", F.col("value").cast("bigint")), len(wanted)
     )
-    per_class = marks.join(firsts, ["key", "rank"], "left").groupBy(F.col("key").alias("_class")).agg(
+    tied = marks.where("rank > below").select("key", "rank", "value", (F.col("rank") - F.col("below")).alias("before"))
+    if tied.isEmpty():
+        marks = marks.withColumn("first_after", F.lit(None).cast(df.schema[id_col].dataType))
+    else:
+        # equal draws at a threshold: the ids decide, and only those needed are looked at
+        order = Window.partitionBy("key", "rank").orderBy("id")
+        firsts = (
+            draws.join(_small(tied, len(wanted)), ["key", "value"])
+            .withColumn("place", F.row_number().over(order)).where("place = before + 1")
+            .select("key", "rank", F.col("id").alias("first_after"))
+        )
+        marks = marks.join(firsts, ["key", "rank"], "left")
+    per_class = marks.groupBy(F.col("key").alias("_class")).agg(
         F.collect_list(F.struct("value", "times", "first_after")).alias("_marks")
     )
     number = F.col("_draw")
@@ -109,6 +116,13 @@ def assign_parts(
     return labelled.withColumn(out, part.cast("int")).select(*df.columns, out)
 
 
+def _kept(table: DataFrame, rows: int) -> DataFrame:
+    """A table of ``rows`` rows that is not computed again: local if these are few, else stored."""
+    if rows <= BROADCAST_CLASSES:
+        return table.sparkSession.createDataFrame(table.collect(), table.schema)
+    return cut_lineage(table)
+
+
 def _small(table: DataFrame, rows: int) -> DataFrame:
     """A table of at most ``rows`` rows, broadcast if these are few."""
     return F.broadcast(table) if rows <= BROADCAST_CLASSES else table

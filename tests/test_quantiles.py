@@ -82,7 +82,7 @@ def test_even_spread_is_only_a_guess(spark, kind):
     }[kind].astype(float)
     long = frame(spark, values, "value").selectExpr("0 AS key", "value")
     ranks = [0, 999, 2500, 4999]
-    found = order_statistics(long, {0: ranks}, {0: 5000}, listed=50, uniform=(-1, 1 << 52))
+    found = order_statistics(long, {0: ranks}, {0: 5000}, listed=50, bounds={0: (0, 1 << 52)}, even=True)
     ordered = np.sort(values)
     for rank in ranks:
         stat = found[(0, rank)]
@@ -107,3 +107,40 @@ def test_many_keys_at_once(spark):
     found = order_statistics(long, {k: [n // 2] for k, n in counts.items()}, counts, listed=4)
     for k, n in counts.items():
         assert found[(k, n // 2)].value == np.sort(numbers[keys == k])[n // 2]
+
+
+def test_passes_over_values_of_any_spread(spark, monkeypatch):
+    """Values of all magnitudes, of one magnitude and constant: four histograms at most."""
+    from cohortloom.operators import quantiles as module
+
+    passes = []
+    narrowed = module._narrowed
+    monkeypatch.setattr(module, "_narrowed", lambda *args: passes.append(1) or narrowed(*args))
+    rng = np.random.default_rng(3)
+    kinds = {
+        "all": np.ldexp(rng.choice([-1.0, 1.0], 6000) * rng.uniform(1, 2, 6000), rng.integers(-1070, 1023, 6000)),
+        "close": 1000 + rng.random(6000) * 1e-9,
+        "constant": np.full(6000, 2.5),
+        "ends": np.r_[np.full(3001, -np.inf), np.full(2000, np.inf), rng.normal(size=1000)],
+        "zeros": np.r_[np.zeros(3000), -np.zeros(1000), rng.normal(size=2000) * 5e-324],
+    }
+    for name, values in kinds.items():
+        passes.clear()
+        found = quantiles(frame(spark, values), ["x"], [0.25, 0.5], listed=1)["x"]
+        ordered = np.sort(values)
+        for q, value in found.items():
+            at = (len(values) - 1) * q
+            low, high = ordered[int(np.floor(at))], ordered[int(np.ceil(at))]
+            assert value == (low if low == high else low + (high - low) * (at - np.floor(at))), name
+        assert len(passes) <= (0 if name == "constant" else 4), name
+
+
+def test_many_searches_are_stored_and_joined(spark, monkeypatch):
+    from cohortloom.operators import quantiles as module
+
+    monkeypatch.setattr(module, "BROADCAST_SEARCHES", 3)
+    rng = np.random.default_rng(4)
+    values = rng.normal(size=3000)
+    found = order_statistics(frame(spark, values, "value").selectExpr("0 AS key", "value"), {0: range(0, 3000, 250)}, {0: 3000}, listed=5)
+    ordered = np.sort(values)
+    assert all(found[(0, r)].value == ordered[r] for r in range(0, 3000, 250))
