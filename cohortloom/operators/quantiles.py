@@ -4,7 +4,7 @@
 wanted rank is cut into ``BINS`` bins, one map-side combined aggregate counts them, and the rank's bin, from
 its smallest to its largest value, is the next interval. Bins are as wide as each other on a logarithmic
 scale while an interval spans more than a factor of two or changes sign, and on a linear one after that, so any
-double is reached in four passes; evenly spread values take two. An interval with ``LISTED_VALUES`` values or
+double is reached in five passes; evenly spread values take one or two. An interval with ``LISTED_VALUES`` values or
 fewer is counted value by value. A hot value is one row per task and bin, and becomes an interval of
 its own. The searches are a table, one row per wanted rank, so there may be any number of keys.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.session import cut_lineage
 
-BINS = 65_536
+BINS = 16_384
 # values of one rank's interval that are counted one by one
 LISTED_VALUES = 4_096
 # searches that are kept as a local table and broadcast to the values; more are stored and joined by key
@@ -54,64 +54,69 @@ def order_statistics(
     for key, rank, inside in wanted:
         if not 0 <= rank < inside:
             raise ValueError(f"rank {rank} is outside 0..{inside - 1}")
-    spark = values.sparkSession
-    table = spark.createDataFrame(wanted, "key bigint, rank bigint, inside bigint")
-    edges = None
-    if bounds is not None:
-        edges = spark.createDataFrame([(k, *map(float, bounds[k])) for k in ranks], "key bigint, low double, high double")
-    return {
-        (r["key"], r["rank"]): Statistic(r["value"], r["below"], r["equal"])
-        for r in rank_values(values, table, listed, edges, even).collect()
-    }
+    found = rank_values(values, searches(values, wanted, bounds), listed, even)
+    return {(r["key"], r["rank"]): Statistic(r["value"], r["below"], r["equal"]) for r in found.collect()}
 
 
-def rank_values(
-    values: DataFrame,
-    wanted: DataFrame,
-    listed: int = LISTED_VALUES,
-    bounds: DataFrame | None = None,
-    even: bool = False,
+def searches(
+    values: DataFrame, wanted: Sequence[tuple[int, int, int]], bounds: dict[int, tuple[float, float]] | None
 ) -> DataFrame:
-    """(key, rank, value, below, equal) for every zero-based (key, rank) of ``wanted``.
+    """Table of (key, rank, number of the key's values); ``bounds`` as for ``order_statistics``."""
+    rows = [(key, rank, *map(float, bounds[key] if bounds else (math.nan, math.nan)), 0, n) for key, rank, n in wanted]
+    return values.sparkSession.createDataFrame(rows, SEARCH) if bounds else _bounded(
+        values, values.sparkSession.createDataFrame(rows, SEARCH).drop("low", "high")
+    )
+
+
+def _bounded(values: DataFrame, wanted: DataFrame) -> DataFrame:
+    ends = values.groupBy("key").agg(
+        F.min("value").cast("double").alias("low"), F.max("value").cast("double").alias("high")
+    )
+    return wanted.join(ends, "key").select("key", "rank", "low", "high", "below", "inside")
+
+
+def rank_values(values: DataFrame, searches: DataFrame, listed: int = LISTED_VALUES, even: bool = False) -> DataFrame:
+    """(key, rank, value, below, equal) for every search.
 
     ``values`` has columns ``key`` (an integer naming a column or class) and ``value``
-    (a non-null number, exact as a double, infinities included); ``wanted`` has key, rank
-    and ``inside``, the number of values of the key. ``bounds`` (key, low, high) saves the pass that finds
-    each key's least and largest value; wider ones do. ``even``: the values are spread evenly, so
-    that linear bins are best from the start.
+    (a non-null number, exact as a double, infinities included). A search (see ``SEARCH``) has a key, a zero-based
+    rank, the key's least and largest value or less and more, 0, and the number of the key's values.
+    ``even``: the values are spread evenly, so that linear bins are best from the start.
     """
     numbers = values.select(
         F.col("key").cast("bigint").alias("key"), (F.col("value").cast("double") + 0.0).alias("value")
     )
-    if bounds is None:
-        bounds = numbers.groupBy("key").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    searches = wanted.join(bounds, "key").select(
-        "key", "rank", "low", "high", F.lit(0).cast("bigint").alias("below"), "inside"
-    )
     while True:
-        searches, count, wide = _kept(searches, listed)
-        if not wide:
+        searches, count, states = _kept(searches, listed)
+        if "wide" not in states:
             break
         is_wide = _is_wide(listed)
         narrowed = _narrowed(numbers, searches.where(is_wide), count, even)
-        searches = searches.where(~is_wide).unionByName(narrowed)
+        searches = searches.where(~is_wide).unionByName(narrowed) if len(states) > 1 else narrowed
     one = F.col("low") == F.col("high")
     done = searches.where(one).select("key", "rank", F.col("low").alias("value"), "below", F.col("inside").alias("equal"))
-    return done.unionByName(_picked(numbers, searches.where(~one), count))
+    if "few" not in states:
+        return done
+    picked = _picked(numbers, searches.where(~one), count)
+    return done.unionByName(picked) if "one" in states else picked
 
 
 def _is_wide(listed: int) -> Column:
     return (F.col("low") < F.col("high")) & (F.col("inside") > listed)
 
 
-def _kept(searches: DataFrame, listed: int) -> tuple[DataFrame, int, bool]:
-    """The searches as a local table (or a stored one, if many), their number, and whether any goes on."""
-    rows = searches.limit(BROADCAST_SEARCHES + 1).collect()
+def _state(listed: int) -> Column:
+    return F.when(F.col("low") == F.col("high"), "one").when(_is_wide(listed), "wide").otherwise("few")
+
+
+def _kept(searches: DataFrame, listed: int) -> tuple[DataFrame, int, set[str]]:
+    """The searches as a local table (or a stored one, if many), their number, and which states they are in."""
+    rows = searches.withColumn("state", _state(listed)).limit(BROADCAST_SEARCHES + 1).collect()
     if len(rows) <= BROADCAST_SEARCHES:
-        local = searches.sparkSession.createDataFrame(rows, SEARCH)
-        return local, len(rows), any(r["low"] < r["high"] and r["inside"] > listed for r in rows)
+        local = searches.sparkSession.createDataFrame([tuple(r)[:-1] for r in rows], SEARCH)
+        return local, len(rows), {r["state"] for r in rows}
     kept = cut_lineage(searches)
-    return kept, len(rows), not kept.where(_is_wide(listed)).isEmpty()
+    return kept, len(rows), {r["state"] for r in kept.select(_state(listed).alias("state")).distinct().collect()}
 
 
 def _small(table: DataFrame, count: int) -> DataFrame:

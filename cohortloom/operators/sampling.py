@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom import fixed_values as fv
-from cohortloom.operators.quantiles import rank_values
+from cohortloom.operators.quantiles import rank_values, searches
 from cohortloom.operators.ranking import with_row_number
 from cohortloom.session import cut_lineage
 
@@ -78,19 +78,15 @@ def assign_parts(
         F.col("_class").alias("key"), F.col("_draw").alias("value"), F.col(id_col).alias("id")
     )
     spark = df.sparkSession
-    classes = sorted({key for key, _, _ in wanted})
-    found = rank_values(
-        draws.select("key", "value"),
-        spark.createDataFrame(wanted, "key bigint, rank bigint, inside bigint"),
-        bounds=spark.createDataFrame([(i, 0.0, float(DRAW_LIMIT)) for i in classes], "key bigint, low double, high double"),
-        even=True,
-    )
+    bounds = {key: (0, DRAW_LIMIT) for key, _, _ in wanted}
+    found = rank_values(draws.select("key", "value"), searches(draws, wanted, bounds), even=True)
     marks = _kept(
         found.join(spark.createDataFrame(times, "key bigint, rank bigint, times int"), ["key", "rank"])
         .withColumn("value", F.col("value").cast("bigint")), len(wanted)
     )
     tied = marks.where("rank > below").select("key", "rank", "value", (F.col("rank") - F.col("below")).alias("before"))
     if tied.isEmpty():
+        # the usual case: draws have 52 bits
         marks = marks.withColumn("first_after", F.lit(None).cast(df.schema[id_col].dataType))
     else:
         # equal draws at a threshold: the ids decide, and only those needed are looked at
