@@ -1,6 +1,7 @@
 """Registered queries with their SQL counterparts."""
 
 from cohortloom.catalog import (
+    boosting,
     features,
     models,
     profiles,
@@ -11,4 +12,4 @@ from cohortloom.catalog import (
 )
 from cohortloom.catalog.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "features", "models", "profiles", "record_columns", "records", "samples", "texts"]
+__all__ = ["ORACLES", "QUERIES", "boosting", "features", "models", "profiles", "record_columns", "records", "samples", "texts"]
