@@ -5,8 +5,9 @@ between its matches, so running lengths give each match's place in code points.
 
 A further candidate is a long token that mixes letters and digits and is no base finding. Its hash
 is counted over the distinct repositories and owners that hold it, in the whole corpus. A candidate
-or finding that several owners share is an example people copy; one that a single owner holds looks
-live. Live candidates join the spans under the kind ``owned``.
+or finding that several owners share, or that one owner has put into more than ``REPOSITORIES``
+repositories, is an example that gets copied; any other looks live. Live candidates join the spans under the
+kind ``owned``.
 
 Counting goes from (hash, owner, repository) to hash, so a value found in a third of all rows is
 reduced before it meets anything. Rows are joined by a digest of their text, so null and repeated
@@ -30,6 +31,8 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 #: Tokens of 20 and more characters; kept if they have letters and at least four digits.
 OWNED = r"[A-Za-z0-9+/_=-]{20,}"
+#: A live credential is in few repositories of its owner.
+REPOSITORIES = 3
 KINDS = ("assign", "access", "hex", "owned")
 MASK = "<secret>"
 
@@ -99,7 +102,8 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, owner_col: str = "source", repo_col: str = "lang") -> DataFrame:
-    """Per row: counts, digest of base spans, all spans, and how many spans look live or copied.
+    """Per row: counts, digest of base spans, all spans, how many spans look live or copied, and the most
+    owners and repositories that hold one of its spans (0 without spans).
 
     ``owner_col`` names the owner; owner and ``repo_col`` together name the repository.
     """
@@ -137,14 +141,16 @@ def scan(docs: DataFrame, owner_col: str = "source", repo_col: str = "lang") ->
         "text_key", "owner", "repo", F.explode(F.concat("base", "extra")).alias("span")
     ).select("text_key", "owner", "repo", "span", F.xxhash64("span.value").alias("value"))
     frequency = ownership(found)
+    alive = (F.col("owners") == 1) & (F.col("repos") <= REPOSITORIES)
     judged = (
         found.groupBy("text_key", "span", "value").agg(F.lit(1).alias("one"))
         .join(frequency, "value")
         .groupBy("text_key")
         .agg(
-            F.collect_list(F.when((F.col("span.kind") == 3) & (F.col("owners") == 1), F.col("span"))).alias("live"),
-            F.sum(F.when(F.col("owners") == 1, 1).otherwise(0)).alias("n_live"),
-            F.sum(F.when((F.col("owners") > 1) & (F.col("span.kind") < 3), 1).otherwise(0)).alias("n_copied"),
+            F.collect_list(F.when((F.col("span.kind") == 3) & alive, F.col("span"))).alias("live"),
+            F.sum(F.when(alive, 1).otherwise(0)).alias("n_live"),
+            F.sum(F.when(~alive & (F.col("span.kind") < 3), 1).otherwise(0)).alias("n_copied"),
+            F.max("owners").alias("owners"), F.max("repos").alias("repos"),
         )
     )
     joined = parts.join(judged, "text_key", "left")
@@ -156,6 +162,8 @@ def scan(docs: DataFrame, owner_col: str = "source", repo_col: str = "lang") ->
         listed(every).alias("spans"),
         F.coalesce("n_live", F.lit(0)).cast("bigint").alias("n_live"),
         F.coalesce("n_copied", F.lit(0)).cast("bigint").alias("n_copied"),
+        F.coalesce("owners", F.lit(0)).cast("bigint").alias("owners"),
+        F.coalesce("repos", F.lit(0)).cast("bigint").alias("repos"),
         every.alias("found"),
     )
 
@@ -208,33 +216,35 @@ def _sql() -> str:
     names = ", ".join(f"'{k}'" for k in KINDS)
     return f"""
     WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
-        coalesce(source, '') AS owner, coalesce(lang, '') AS repo FROM documents),
+        {{'owner': source}} AS owner, {{'owner': source, 'repo': lang}} AS repo FROM documents),
     m AS ({kinds}),
     x AS (SELECT *, unnest(generate_series(1, len(f))) AS i FROM m),
-    s AS (SELECT r, owner, kind, v[i] AS value, length(f[i]) AS n,
+    s AS (SELECT r, owner, repo, kind, v[i] AS value, length(f[i]) AS n,
         CAST(list_sum(list_transform(p[1 : i], lambda y: length(y)))
           + coalesce(list_sum(list_transform(f[1 : i - 1], lambda y: length(y))), 0) AS BIGINT) AS a FROM x),
     b AS (SELECT * FROM s WHERE kind IN (1, 2) OR kind = 0 AND length(value) >= {ASSIGN_LEAST}),
     e AS (SELECT * FROM s WHERE kind = 3 AND regexp_matches(value, '[A-Za-z]')
         AND regexp_matches(value, '([0-9][^0-9]*){{4}}')
         AND NOT EXISTS (FROM b WHERE b.r = s.r AND b.a < s.a + s.n AND s.a < b.a + b.n)),
-    o AS (SELECT value, count(DISTINCT owner) AS owners FROM (FROM b UNION ALL FROM e) GROUP BY value),
-    j AS (SELECT u.*, owners, ([{names}])[kind + 1] || ':' || a || ':' || (a + n) AS span
+    o AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT repo) AS repos FROM (FROM b UNION ALL FROM e) GROUP BY value),
+    j AS (SELECT u.*, owners, repos, owners = 1 AND repos <= {REPOSITORIES} AS alive, ([{names}])[kind + 1] || ':' || a || ':' || (a + n) AS span
         FROM (FROM b UNION ALL FROM e) u JOIN o USING (value)),
     g AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
         count(*) FILTER (kind = 2) AS n_hex,
         string_agg(span, ',' ORDER BY a, kind) FILTER (kind < 3) AS base,
-        string_agg(span, ',' ORDER BY a, kind) FILTER (kind < 3 OR owners = 1) AS spans,
-        count(*) FILTER (owners = 1) AS n_live, count(*) FILTER (owners > 1 AND kind < 3) AS n_copied
+        string_agg(span, ',' ORDER BY a, kind) FILTER (kind < 3 OR alive) AS spans,
+        count(*) FILTER (alive) AS n_live, count(*) FILTER (NOT alive AND kind < 3) AS n_copied,
+        max(owners) AS owners, max(repos) AS repos
         FROM j GROUP BY r)
     SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
       coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-      coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+      coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied,
+      coalesce(owners, 0) AS owners, coalesce(repos, 0) AS repos
     FROM d LEFT JOIN g USING (r)"""
 
 
 @query("op6_secret_scans", _sql())
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "documents")).select(
-        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_copied"
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_copied", "owners", "repos"
     )
