@@ -1,13 +1,15 @@
 """License scans by conditional compression.
 
 Blocks around licence cues are compressed alone and with each template as a raw zstandard
-dictionary. The templates are ranked by how much smaller the block gets and compared word by word in
-that order. The exact wording comes first, then wordings with differences: the block is aligned with
-the template word by word, and the inserted, missing and replaced words are reported. They are
-harmless (a subject, a holder, a verb) unless one is in ``TELLING`` or has a digit, which would make
-another licence or version of it; at most a ``DIFFERENT``-th of a template's words may differ. Last, an excerpt of at least ``EXCERPT`` words that fills its
-lines counts if it fits the templates of one licence alone. Words are runs of
-letters and digits in lower case, so marks and capitals make no difference, but "2.0" and "3.0" do.
+dictionary. Templates that make the block smaller by at least ``SHARE`` of what they save on their own text, or by
+``LEAST_SAVED`` bytes, are ranked by the bytes saved; no other is looked at. They are compared word by word in
+that order, and the first that is confirmed names the notice. The exact wording comes first, then
+wordings with differences: the block is aligned with the template word by word, and the inserted, missing and
+replaced words are reported. They are harmless (a subject, a holder, a verb) unless one is in ``TELLING`` or
+has a digit, which would make another licence or version of it; at most a ``DIFFERENT``-th of a template's words may
+differ. Last, an excerpt of at least ``EXCERPT`` words that fills its lines counts if it fits the templates of one
+licence alone. Words are runs of letters and digits in lower case, so marks and capitals make no difference, but
+"2.0" and "3.0" do.
 
 Null texts are empty texts without blocks. Repeated rows give a row each. Texts are read whole;
 blocks run over line ends, ``REACH`` words (more than the longest template) on both sides of a cue.
@@ -16,7 +18,6 @@ blocks run over line ends, ``REACH`` words (more than the longest template) on b
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +29,11 @@ from cohortloom.llm.common import Recent, query, read, text_of, text_pieces
 
 EXCERPT = 8
 DIFFERENT = 4
+#: A template is tried if it saves this share of what it saves on itself, or so many bytes.
+SHARE = 0.35
+LEAST_SAVED = 24
+#: Characters on either side of a cue in which short templates are looked for.
+NEAR = 120
 BATCH_BYTES = 8_000_000
 
 # Public licence notices.
@@ -104,10 +110,33 @@ TEMPLATES = (
     ),
     ("CC0-1.0", "Licensed under CC0 1.0 Universal."),
     ("all-rights-reserved", "All rights reserved."),
+    ("EPL-2.0", "Licensed under the Eclipse Public License 2.0."),
+    (
+        "EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+        "License 2.0",
+    ),
+    ("ISC", "Licensed under the ISC License."),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3"),
+    (
+        "BSD",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+        "promote products derived from this software without specific prior written permission.",
+    ),
 )
 CUE = re.compile(
     r"licen[cs]e|\brights\W+reserved|permission\W+is\W+hereby|redistribution\W+and\W+use"
-    r"|public\W+license|\bcc\W+by|\bcc0",
+    r"|public\W+license|\bcc\W+by|\bcc0|permission\W+to\W+use|unencumbered|neither\W+the\W+name",
     re.IGNORECASE,
 )
 WORD = re.compile(r"[^\W_]+")
@@ -153,6 +182,11 @@ def before(text: str, end: int) -> int:
         size *= 4
 
 
+def plain_words(text: str) -> bytes:
+    """The words of a text as they are compressed: lower case, a blank between them."""
+    return " ".join(WORD.findall(text)).lower().encode()
+
+
 class Scanner:
     def __init__(self, templates=TEMPLATES):
         self.templates = [
@@ -163,33 +197,29 @@ class Scanner:
             zstandard.ZstdCompressor(
                 level=19,
                 dict_data=zstandard.ZstdCompressionDict(
-                    text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT
+                    plain_words(text), dict_type=zstandard.DICT_TYPE_RAWCONTENT
                 ),
             )
             for _, _, text in self.templates
         ]
-        self.counts = [Counter(words) for _, words, _ in self.templates]
+        #: what each template saves on its own text, the most there is to save
+        texts = [plain_words(text) for _, _, text in self.templates]
+        self.own = [len(self.plain.compress(t)) - len(g.compress(t)) for t, g in zip(texts, self.given)]
         self.judged = Recent(self._judge, 20_000)
 
-    def ranked(self, block: str, among: list[int]) -> list[int]:
-        """Templates by the bytes they save, best first. None is out for saving little: in a long
-        block a short notice hardly shows."""
-        if len(among) < 2:
-            return among
-        data = block.lower().encode()
-        alone = len(self.plain.compress(data))
-        saved = {i: alone - len(self.given[i].compress(data)) for i in among}
-        return sorted(among, key=lambda i: (-saved[i], i))
-
-    def possible(self, words: list[str]) -> list[int]:
-        """Templates of which enough words are there; no step can confirm another one."""
-        held = Counter(words)
-        found = []
-        for i, counts in enumerate(self.counts):
-            size = sum(counts.values())
-            if sum(min(n, held[w]) for w, n in counts.items()) >= min(EXCERPT, size - size // DIFFERENT):
-                found.append(i)
-        return found
+    def ranked(self, block: str) -> list[int]:
+        """The templates that the block is likely to hold: those that save enough bytes, best first.
+
+        Saving is measured against what a template saves on itself, since a short one cannot save much.
+        """
+        saved = [0] * len(self.given)
+        # a short template hardly shows in a long block, so the surroundings of each cue are compressed, too
+        for part in {block, *(block[max(0, m.start() - NEAR) : m.end() + NEAR] for m in CUE.finditer(block))}:
+            data = plain_words(part)
+            alone = len(self.plain.compress(data))
+            saved = [max(n, alone - len(given.compress(data))) for n, given in zip(saved, self.given)]
+        likely = [i for i, n in enumerate(saved) if n >= min(self.own[i] * SHARE, LEAST_SAVED)]
+        return sorted(likely, key=lambda i: (-saved[i], i))
 
     def wording(self, words: list[str], i: int, lines) -> tuple[int, int, str] | None:
         """Word span with the template's exact wording."""
@@ -243,12 +273,14 @@ class Scanner:
                 break
             lines = lines_of(rest, words)
             plain = [w for w, _, _ in words]
-            order = self.ranked(rest, self.possible(plain))
+            order = self.ranked(rest)
             for step in (self.wording, self.nearly, self.excerpt):
                 hits = [(i, h) for i in order if (h := step(plain, i, lines))]
                 if hits:
                     which, hit = hits[0]
                     # "version 2 or later" holds "version 2": the longer one is what is said
+                    if step == self.wording:
+                        hits += [(i, h) for i in order if (h := self.nearly(plain, i, lines))]
                     for i, h in hits[1:]:
                         if h[0] <= hit[0] and hit[1] <= h[1] and h[1] - h[0] > hit[1] - hit[0]:
                             which, hit = i, h
