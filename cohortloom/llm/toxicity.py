@@ -90,30 +90,64 @@ def lines_of(squeezed: bytes) -> list[str]:
     return zstandard.ZstdDecompressor().decompress(squeezed).decode().split("\n")
 
 
-class Listing:
-    """A chunk's distinct words and n-grams, the latter sorted; ``places`` has each word's n-grams, one word after another.
+class Grams:
+    """All longest n-grams of some words, one word after another, as numbers in the order of their letters."""
+
+    def __init__(self, listed: list[str]):
+        line = "".join([f"{START}{word}{END}" for word in listed])
+        codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+        used = np.zeros(0x110000, bool)
+        used[codes] = True
+        self.letters = np.flatnonzero(used).astype(np.uint32)
+        ids = (np.cumsum(used) - 1)[codes]
+        #: n-grams per word
+        self.sizes = np.fromiter(map(len, listed), np.int64, len(listed)) + 1
+        ends = np.cumsum(self.sizes + TOP - 1)
+        first = np.repeat(ends - np.cumsum(self.sizes) - (TOP - 1), self.sizes) + np.arange(int(self.sizes.sum()))
+        # halves of three letters fit one number each for any alphabet; all six do for most
+        size, half = max(len(self.letters), 1), TOP // 2
+        parts = [sum((ids[first + start + i] * size ** (half - 1 - i) for i in range(half)), np.zeros(len(first), np.int64)) for start in (0, half)]
+        self.halves = None
+        if size**TOP < 2**62:
+            self.keys = parts[0] * size**half + parts[1]
+        else:
+            self.halves, codes = zip(*(np.unique(p, return_inverse=True) for p in parts))
+            self.keys = codes[0].astype(np.int64) * len(self.halves[1]) + codes[1]
+
+    def spelt(self, keys: np.ndarray) -> list[str]:
+        size, half = max(len(self.letters), 1), TOP // 2
+        if self.halves is None:
+            parts = [keys // size**half, keys % size**half]
+        else:
+            many = len(self.halves[1])
+            parts = [self.halves[0][keys // many], self.halves[1][keys % many]]
+        digits = [p // size ** (half - 1 - i) % size for p in parts for i in range(half)]
+        return np.ascontiguousarray(self.letters[np.stack(digits, 1)]).view(f"<U{TOP}").ravel().tolist() if len(keys) else []
 
-    Words and n-grams are made anew for each pass over them, so that only the distinct ones are held.
-    """
+
+class Listing:
+    """A chunk's distinct words and n-grams, the latter sorted; ``places`` has each word's n-grams, one word after another."""
 
     def __init__(self, squeezed: bytes):
         lines = lines_of(squeezed)
-        self.lengths = np.fromiter((len(line.split()) for line in lines), np.int64, len(lines))
+        self.lengths = np.fromiter((line.count(" ") + 1 if line else 0 for line in lines), np.int64, len(lines))
         number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(map(str.split, lines))))}
         self.numbers = np.fromiter(
             map(number.__getitem__, chain.from_iterable(map(str.split, lines))), np.int32, int(self.lengths.sum())
         )
-        self.sizes = np.fromiter(map(len, number), np.int64, len(number)) + 1
-        self.grams = sorted(set(chain.from_iterable(map(grams_of, number))))
-        place = {g: i for i, g in enumerate(self.grams)}
-        self.places = np.fromiter(
-            map(place.__getitem__, chain.from_iterable(map(grams_of, number))), np.int32, int(self.sizes.sum())
-        )
+        found = Grams(list(number))
+        self.sizes, self.spelt = found.sizes, found.spelt
+        self.keys, places = np.unique(found.keys, return_inverse=True)
+        self.places = places.astype(np.int32)
+
+    @property
+    def grams(self) -> list[str]:
+        return self.spelt(self.keys)
 
     def counts(self, taken: np.ndarray) -> np.ndarray:
         """How often the documents marked in ``taken`` have each n-gram."""
         words = np.bincount(self.numbers[np.repeat(taken, self.lengths)], minlength=len(self.sizes))
-        return np.bincount(self.places, np.repeat(words, self.sizes), len(self.grams)).astype(np.int64)
+        return np.bincount(self.places, np.repeat(words, self.sizes), len(self.keys)).astype(np.int64)
 
     def word_ratios(self, ratios: np.ndarray) -> np.ndarray:
         """Toxic minus ordinary log-likelihood of each word, given those of the n-grams."""
@@ -139,7 +173,9 @@ def _list_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct n-grams of each chunk and their places."""
     for batch in batches:
         for chunk, squeezed in zip(batch.column("chunk").to_pylist(), batch.column("squeezed").to_pylist()):
-            listed = sorted(set(chain.from_iterable(map(grams_of, set(chain.from_iterable(map(str.split, lines_of(squeezed))))))))
+            # in the order of letters, as a chunk's listing has them, however its words are ordered
+            found = Grams(list(dict.fromkeys(chain.from_iterable(map(str.split, lines_of(squeezed))))))
+            listed = found.spelt(np.unique(found.keys))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(len(listed), chunk)), pa.array(np.arange(len(listed), dtype=np.int32)),
@@ -246,7 +282,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1)
             listing = Listing(row.column("squeezed")[0].as_py())
-            ratios = np.zeros(len(listing.grams), np.float32)
+            ratios = np.zeros(len(listing.keys), np.float32)
             given = row.column("ratios").flatten()
             if len(given):
                 ratios[given.field("place").to_numpy()] = given.field("ratio").to_numpy()
