@@ -256,6 +256,17 @@ def test_document_features_are_those_of_the_plain_model(spark, monkeypatch):
             assert [r[c] for c in toxicity.FEATURES[1:]] == pytest.approx(wanted[rows[r["doc_id"]][1]], rel=1e-4, abs=1e-5)
 
 
+@pytest.mark.parametrize("letters", ["abc", "aé漢😀", "".join(map(chr, range(0x4E00, 0x9000)))])
+def test_grams_as_numbers(letters):
+    """Small alphabets, all planes, and more letters than six of them fit one number."""
+    rng = np.random.default_rng(6)
+    words = list(dict.fromkeys("".join(rng.choice(list(letters), rng.integers(1, 12))) for _ in range(3000)))
+    found = toxicity.Grams(words)
+    assert found.spelt(found.keys) == [g for w in words for g in toxicity.grams_of(w)]
+    assert found.spelt(np.unique(found.keys)) == sorted({g for w in words for g in toxicity.grams_of(w)})
+    assert toxicity.Grams([]).spelt(np.array([], np.int64)) == []
+
+
 def test_ratios_follow_the_classes():
     model = PlainModel([("good fine nice words", 0)] * 40 + [("nasty vile words", 1)] * 40 + [("zzz", None)])
     good, bad, both, new = (sum(map(model.ratio, toxicity.grams_of(w))) for w in ("nice", "vile", "words", "zzz"))
