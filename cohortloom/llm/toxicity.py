@@ -72,7 +72,7 @@ def grams_of(word: str) -> list[str]:
 
 def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Some documents a row: ids, held-out marks, training labels, and distinct words compressed, a line each."""
-    press = zstandard.ZstdCompressor(level=9)
+    press = zstandard.ZstdCompressor(level=12)
     for batch in text_pieces(batches, "text", CHUNK_BYTES):
         lines = "\n".join(" ".join(sorted(set(words(t)))) for t in batch.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays(
