@@ -10,6 +10,7 @@ from cohortloom.operators import attribution as a
 from cohortloom.operators import training as tr
 from cohortloom.operators.cohort import score
 from cohortloom.operators.columns import expand_vector
+from cohortloom.operators.kernel_attribution import kernel_attribution
 from cohortloom.operators.sampling import assign_split
 from cohortloom.session import ensure_checkpoint_dir
 from cohortloom.sources.models import load_model, save_model
@@ -395,6 +396,27 @@ def stump_attribution(spark, sf):
     return found.select("p_partkey", *[rounded(f"phi_{n}", 6).alias(f"phi_{n}") for n in PLANTED])
 
 
+@query(
+    "kernel_attribution",
+    f"""
+    WITH v AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS a, CAST(p_partkey * 7919 % 101 AS DOUBLE) AS b, p_retailprice AS c FROM part),
+    g AS (SELECT avg(a) AS ea, avg(b) AS eb, avg(c) AS ec, avg(a * b) AS eab FROM (SELECT * FROM v
+      ORDER BY CAST('0x' || left(md5(CAST(p_partkey AS VARCHAR) || ':42'), 13) AS BIGINT), p_partkey LIMIT 100))
+    SELECT p_partkey, round((a * eb - eab + a * b - ea * b) / 2, 4) + 0.0 AS phi_a,
+      round((b * ea - eab + a * b - eb * a) / 2, 4) + 0.0 AS phi_b, round(10 * (c - ec), 4) + 0.0 AS phi_c FROM v, g""",
+)
+def kernel_attribution_of_a_product(spark, sf):
+    """Exact Shapley values of a * b + 10 * c over a background of 100 rows."""
+    rows = table(spark, sf, "part").select(
+        "p_partkey", F.col("p_size").cast("double").alias("a"),
+        (F.col("p_partkey").cast("bigint") * 7919 % 101).cast("double").alias("b"), F.col("p_retailprice").cast("double").alias("c"),
+    )
+    found = kernel_attribution(
+        rows, lambda df: df.withColumn("score", F.col("a") * F.col("b") + 10 * F.col("c")), ["a", "b", "c"], "p_partkey"
+    )
+    return found.select("p_partkey", *[rounded(f"phi_{n}").alias(f"phi_{n}") for n in "abc"])
+
+
 @query(
     "svm_audit_adds_up",
     f"WITH {_SQL_PLANTED} SELECT p_partkey, abs(large - large) < 1 AS additive FROM p",

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LinearSVCModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom import fixed_values as fv
 from cohortloom.operators import attribution as a
+from cohortloom.operators.kernel_attribution import kernel_attribution
 from cohortloom.operators.sampling import sample_n
 from cohortloom.session import cut_lineage
 
@@ -17,14 +19,17 @@ def explained(features: DataFrame, model, names: list[str], id_col: str) -> Data
     """Id, features and their contributions (``phi_`` columns) under a fitted pipeline.
 
     Trees get exact path attribution; the linear family gets weight times deviation, which
-    adds up to the margin minus its mean.
+    adds up to the margin minus its mean. Any other family gets kernel attribution of its probability.
     """
     last = model.stages[-1]
     if isinstance(last, PipelineModel) and isinstance(last.stages[0], LinearSVCModel):
         weights = dict(zip(names, (float(w) for w in last.stages[0].coefficients.toArray())))
         return a.linear_attribution(features, weights)
-    if not hasattr(last, "trees"):
-        raise ValueError(f"no attribution for {type(last).__name__}")
+    if not hasattr(last, "treeWeights"):
+        def scored(rows: DataFrame) -> DataFrame:
+            return model.transform(rows).withColumn("score", vector_to_array("probability")[1])
+
+        return kernel_attribution(features, scored, names, id_col)
     parts = a.tree_attribution(model.stages[0].transform(features), last)
     return parts.select(
         id_col, *names, *[F.col("phi")[i].alias(f"phi_{n}") for i, n in enumerate(names)]
