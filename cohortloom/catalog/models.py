@@ -5,6 +5,7 @@ import uuid
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from cohortloom import fixed_values as fv
 from cohortloom.catalog.registry import query, rounded, table
 from cohortloom.operators import attribution as a
 from cohortloom.operators import training as tr
@@ -76,6 +77,20 @@ def network_results(spark, sf):
     return _results(spark, sf, [tr.Config("network", strategy="oversample_0.8", params=params)])
 
 
+@query("two_tower_results")
+def two_tower_results(spark, sf):
+    """The two-input network: vectors in one branch, two numbers of them again in the other."""
+    rows = split_vectors(spark, sf)
+    named = rows.select(
+        "vec_id", "target", "split", (F.col("emb_0") + F.col("emb_1")).alias("sum"), (F.col("emb_0") * F.col("emb_1")).alias("product"),
+        *[F.col(n).alias(f"{fv.PCA_PREFIX}{i}") for i, n in enumerate(NAMES)],
+    )
+    cols = [c for c in named.columns if c not in ("vec_id", "target", "split")]
+    params = {"epochs": 6, "batchSize": 2048, "stepSize": 0.01}
+    found = tr.evaluate(named, cols, [tr.Config("two_towers", "tabular_plus_embeddings", "oversample_0.8", params)], "vec_id", "target", runs=1)
+    return found.select("model_name", "metric_name", rounded("mean").alias("mean"))
+
+
 @query("saved_model_scores")
 def saved_model_scores(spark, sf):
     """Refit, save, load, score every row; the file carries the feature order."""

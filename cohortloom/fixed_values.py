@@ -368,3 +368,15 @@ BOOSTED_GRID = {
     "featureSubsetStrategy": ["0.8", "0.9"],
 }
 GRIDS = {"forest": FOREST_GRID, "boosted": BOOSTED_GRID}
+
+# --- fixed values: the two-input network
+NETWORK_PARAMS = {
+    "towers": ((32, 64), (64, 64)),
+    "combined": 128,
+    "last": 64,
+    "dropout": 0.3,
+    "stepSize": 0.001,
+    "decay": 1e-4,
+    "epochs": 100,
+    "patience": 5,
+}

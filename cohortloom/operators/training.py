@@ -27,8 +27,9 @@ from cohortloom.operators import metrics as m
 from cohortloom.operators.boosting import GainBoosting, with_missing
 from cohortloom.operators.columns import assemble
 from cohortloom.operators.sampling import assign_folds, class_weights, oversample, rebalance
+from cohortloom.operators.two_tower import TwoTowers
 
-FAMILIES = ("svm", "forest", "boosted", "network", "gain_boosted")
+FAMILIES = ("svm", "forest", "boosted", "network", "gain_boosted", "two_towers")
 WEIGHTED_FAMILIES = ("svm", "forest")
 
 
@@ -66,7 +67,7 @@ def estimator(
     others to 0..1, both as fitted on the training rows.
     """
     common = {"featuresCol": features, "labelCol": label}
-    if weight and family != "network":
+    if weight and family not in ("network", "two_towers"):
         common["weightCol"] = weight
     params = dict(params or {})
     if family == "forest":
@@ -88,6 +89,10 @@ def estimator(
         scaled = {**common, "featuresCol": "_scaled"}
         network = MultilayerPerceptronClassifier(**scaled, layers=layers, seed=seed, **params)
         return Pipeline(stages=[*_scalers(size, vectors, features), network])
+    if family == "two_towers":
+        left = size - len(set(vectors))
+        towers = TwoTowers(featuresCol="_scaled", labelCol=label, left=left, seed=seed, **params)
+        return Pipeline(stages=[*_scalers(size, vectors, features), towers])
     raise ValueError(f"unknown family: {family}")
 
 
@@ -233,7 +238,7 @@ def evaluate(
             config.params = {**config.params, **tuned[key]}
         for run in range(runs):
             model = fit(train, config, id_col, label, seed + run, cols)
-            held = validation if config.family == "network" else None
+            held = validation if config.family in ("network", "two_towers") else None
             found = run_metrics(model, test, label, held)
             named = (config.family, config.input_mode, config.strategy)
             rows.append((seq, *named, run, *found.values()))
