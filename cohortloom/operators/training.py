@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -218,13 +218,29 @@ def evaluate(
     and once per strategy for forests; then every configuration is trained ``runs``
     times with seed + run.
     """
+    return evaluate_tuned(data, cols, configs, id_col, label, split, runs, seed, grids, folds)[0]
+
+
+def evaluate_tuned(
+    data: DataFrame,
+    cols: Sequence[str],
+    configs: Sequence[Config],
+    id_col: str,
+    label: str = "label",
+    split: str = "split",
+    runs: int = fv.RUNS,
+    seed: int = fv.SEED,
+    grids: Mapping[str, Mapping[str, Sequence]] | None = None,
+    folds: int = fv.FOLDS,
+) -> tuple[DataFrame, list[Config]]:
+    """Results as of ``evaluate``, and copies of the configurations with the parameters found."""
     target = F.col(label).cast("double").alias(label)
     assembled = assemble(data.select(id_col, target, split, *cols), cols)
     frame = assembled.select(id_col, label, split, "features").persist()
     train, test = frame.filter(F.col(split) == "train"), frame.filter(F.col(split) == "test")
     validation = frame.filter(F.col(split) == "validation")
     tuned: dict[tuple, dict] = {}
-    rows = []
+    rows, used = [], []
     for seq, config in enumerate(configs):
         grid = (grids or {}).get(config.family)
         if grid:
@@ -235,7 +251,8 @@ def evaluate(
                 tuned[key], _ = search(
                     weighted, config.family, grid, id_col, label, folds, seed, weight
                 )
-            config.params = {**config.params, **tuned[key]}
+            config = replace(config, params={**config.params, **tuned[key]})
+        used.append(config)
         for run in range(runs):
             model = fit(train, config, id_col, label, seed + run, cols)
             held = validation if config.family in ("network", "two_towers") else None
@@ -249,7 +266,7 @@ def evaluate(
         rows,
         f"seq int, model_name string, input_mode string, imbalance_strategy string, run int, {metric_types}",
     )
-    return m.to_long(m.summarise_runs(per_run, keys), keys)
+    return m.to_long(m.summarise_runs(per_run, keys), keys), used
 
 
 def select_features(

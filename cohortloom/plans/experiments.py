@@ -12,7 +12,7 @@ from cohortloom.operators import columns as c
 from cohortloom.operators.impute import apply_impute, coerce_numeric, fit_impute
 from cohortloom.operators.metrics import best_config
 from cohortloom.operators.sampling import assign_split
-from cohortloom.operators.training import Config, evaluate, refit, select_features
+from cohortloom.operators.training import Config, evaluate_tuned, refit, select_features
 from cohortloom.sources.models import save_model
 
 
@@ -59,7 +59,7 @@ def run_experiments(
     ``grids`` holds the parameters searched per family, the full ones by default; an empty
     mapping trains with the parameters given in ``configs``.
     """
-    results, views, offset = None, {}, 0
+    results, views, offset, tuned = None, {}, 0, []
     for mode in dict.fromkeys(x.input_mode for x in configs):
         data, cols = model_view(table, mode, id_col, label)
         if select:
@@ -67,7 +67,8 @@ def run_experiments(
             cols, _ = select_features(train, cols, label, params=selection_params)
         chosen = [x for x in configs if x.input_mode == mode]
         views[mode] = (data, cols)
-        found = evaluate(data, cols, chosen, id_col, label, runs=runs, grids=grids, folds=folds)
+        found, used = evaluate_tuned(data, cols, chosen, id_col, label, runs=runs, grids=grids, folds=folds)
+        tuned += used
         found = found.withColumn("seq", F.col("seq") + offset)
         offset += len(chosen)
         results = found if results is None else results.unionByName(found)
@@ -75,7 +76,7 @@ def run_experiments(
         best = best_config(results).first()
         config = next(
             x
-            for x in configs
+            for x in tuned
             if (x.family, x.input_mode, x.strategy)
             == (best["model_name"], best["input_mode"], best["imbalance_strategy"])
         )

@@ -35,7 +35,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can read")
         configured = tempfile.mkdtemp(prefix="cohortloom-checkpoint-")
         atexit.register(shutil.rmtree, configured, ignore_errors=True)

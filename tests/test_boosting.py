@@ -110,3 +110,13 @@ def test_family_in_experiments(spark):
     assert found["roc_auc"] > 0.75
     kept, table = tr.select_features(df, ["u", "v"], "y", min_keep=1, params={"maxIter": 3, "maxDepth": 2}, family="gain_boosted")
     assert kept and abs(sum(r["importance"] for r in table.collect()) - 1) < 1e-9
+
+
+def test_search_leaves_configurations_alone(spark):
+    x, y = sample(400, 6)
+    df = spark.createDataFrame([(i, float(np.nan_to_num(a[0])), int(t)) for i, (a, t) in enumerate(zip(x, y))], "i bigint, u double, y int")
+    split = df.withColumn("split", F.when(F.col("i") % 4 == 0, "test").otherwise("train"))
+    config = tr.Config("forest", params={"numTrees": 2})
+    _, used = tr.evaluate_tuned(split, ["u"], [config], "i", "y", runs=1, grids={"forest": {"maxDepth": [1, 2]}}, folds=2)
+    assert config.params == {"numTrees": 2}
+    assert used[0].params["numTrees"] == 2 and used[0].params["maxDepth"] in (1, 2)
