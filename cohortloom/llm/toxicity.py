@@ -99,19 +99,27 @@ class Grams:
         used = np.zeros(0x110000, bool)
         used[codes] = True
         self.letters = np.flatnonzero(used).astype(np.uint32)
-        ids = (np.cumsum(used) - 1)[codes]
+        ids = (np.cumsum(used, dtype=np.int32) - 1)[codes]
+        del line, codes, used
         #: n-grams per word
         self.sizes = np.fromiter(map(len, listed), np.int64, len(listed)) + 1
         ends = np.cumsum(self.sizes + TOP - 1)
         first = np.repeat(ends - np.cumsum(self.sizes) - (TOP - 1), self.sizes) + np.arange(int(self.sizes.sum()))
-        # halves of three letters fit one number each for any alphabet; all six do for most
         size, half = max(len(self.letters), 1), TOP // 2
-        parts = [sum((ids[first + start + i] * size ** (half - 1 - i) for i in range(half)), np.zeros(len(first), np.int64)) for start in (0, half)]
+
+        def numbered(start: int, end: int) -> np.ndarray:
+            found = np.zeros(len(first), np.int64)
+            for i in range(start, end):
+                found *= size
+                found += ids[first + i]
+            return found
+
+        # all six letters fit one number for most alphabets, three for any
         self.halves = None
         if size**TOP < 2**62:
-            self.keys = parts[0] * size**half + parts[1]
+            self.keys = numbered(0, TOP)
         else:
-            self.halves, codes = zip(*(np.unique(p, return_inverse=True) for p in parts))
+            self.halves, codes = zip(*(np.unique(numbered(*p), return_inverse=True) for p in ((0, half), (half, TOP))))
             self.keys = codes[0].astype(np.int64) * len(self.halves[1]) + codes[1]
 
     def spelt(self, keys: np.ndarray) -> list[str]:
@@ -137,7 +145,9 @@ class Listing:
         )
         found = Grams(list(number))
         self.sizes, self.spelt = found.sizes, found.spelt
+        del number, lines
         self.keys, places = np.unique(found.keys, return_inverse=True)
+        found.keys = None
         self.places = places.astype(np.int32)
 
     @property
