@@ -20,6 +20,27 @@ def keyword_match(lowered: Column, keywords: Sequence[str]) -> Column:
     return matched
 
 
+def shared_parts(keywords: Sequence[str], least: int = 5) -> dict[str, list[str]]:
+    """Keywords by a part that all of a group hold; a keyword without such company stands for itself.
+
+    A text without the part has none of the group. Greedy: the part of at least ``least`` characters that
+    most keywords left hold, the longest of equals.
+    """
+    left, groups = sorted({k.lower() for k in keywords}), {}
+    while left:
+        holders: dict[str, list[str]] = {}
+        for keyword in left:
+            ends = range(len(keyword) + 1)
+            for part in {keyword[a:b] for a in ends for b in ends if b - a >= least}:
+                holders.setdefault(part, []).append(keyword)
+        best = max(holders, key=lambda part: (len(holders[part]), len(part), part), default=None)
+        if best is None or len(holders[best]) < 2:
+            break
+        groups[best] = holders[best]
+        left = [k for k in left if k not in groups[best]]
+    return {**groups, **{k: [k] for k in left}}
+
+
 def keyword_flag(text: Column, keywords: Sequence[str]) -> Column:
     """1 when any keyword occurs in the text, ignoring case; null text gives 0."""
     return flag(keyword_match(F.lower(text), keywords))

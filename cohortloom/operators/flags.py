@@ -15,13 +15,29 @@ from cohortloom.functions.nested import flag
 def add_keyword_flags(
     df: DataFrame, haystack: Column, keyword_map: Mapping[str, Sequence[str]]
 ) -> DataFrame:
-    """One 0/1 column per entry of the map; the text is lower-cased once per row."""
+    """One 0/1 column per entry of the map; the text is lower-cased once per row.
+
+    Parts that several keywords share are looked up first; keywords are only looked for in
+    texts that hold their part, so most texts cost one search per part.
+    """
     lowered = df.withColumn("_lowered", F.lower(haystack))
-    flags = [
-        flag(t.keyword_match(F.col("_lowered"), words)).alias(name)
-        for name, words in keyword_map.items()
-    ]
-    return lowered.select(*df.columns, *flags)
+    groups = t.shared_parts([k for words in keyword_map.values() for k in words])
+    parts = {part: f"_part{i}" for i, part in enumerate(groups)}
+    held = lowered.select("*", *[t.keyword_match(F.col("_lowered"), [p]).alias(n) for p, n in parts.items()])
+    part_of = {keyword: part for part, members in groups.items() for keyword in members}
+
+    def matched(words: Sequence[str]) -> Column:
+        found = F.lit(False)
+        for keyword in dict.fromkeys(k.lower() for k in words):
+            part = part_of[keyword]
+            hit = F.col(parts[part])
+            if keyword != part:
+                hit = hit & t.keyword_match(F.col("_lowered"), [keyword])
+            found = found | hit
+        return found
+
+    flags = [flag(matched(words)).alias(name) for name, words in keyword_map.items()]
+    return held.select(*df.columns, *flags)
 
 
 def _flag_sum(cols: Sequence[str]) -> Column:

@@ -139,3 +139,28 @@ def test_shorten(spark):
     df = spark.createDataFrame([("x" * 30,), ("x" * 31,), (None,)], "s string")
     found = [r[0] for r in df.select(t.shorten(F.col("s"), 30, "...")).collect()]
     assert found == ["x" * 30, "x" * 30 + "...", None]
+
+
+def test_keywords_by_shared_parts(spark):
+    # side matches, nesting, parts that alone are no hit, repeated and one-letter keywords
+    words = {
+        "small": ["small cell lung cancer", "sclc"], "not_small": ["non-small cell lung cancer", "nsclc"],
+        "any": ["cancer", "Carcinoma"], "colon": ["colon cancer", "colon carcinoma", "colon cancer"], "one": ["é", "ab"],
+    }
+    groups = t.shared_parts([k for x in words.values() for k in x])
+    assert sorted(k for x in groups.values() for k in x) == sorted({k.lower() for x in words.values() for k in x})
+    assert all(part in k for part, members in groups.items() for k in members)
+    texts = [None, "", "NSCLC", "sclc", "Non-Small Cell Lung Cancer", "colon", "colon carcinom", "COLON CARCINOMA", "lung cance", "É", "cabin"]
+    texts += [f"{a} {b}" for a in ("small cell", "colon", "xcolon") for b in ("lung cancer", "cancer", "carcinoma é", "")]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    for row in flags.add_keyword_flags(df, F.col("x"), words).collect():
+        for name, keywords in words.items():
+            assert row[name] == int(any(k.lower() in (row["x"] or "").lower() for k in keywords)), (row["x"], name)
+
+
+def test_fewer_searches_than_keywords():
+    disease = [k for x in flags.fv.DISEASE_KEYWORDS.values() for k in x]
+    assert 2 * len(t.shared_parts(disease)) < len(set(disease))
+    # more keywords of the same kind need no more searches in texts without them
+    assert len(t.shared_parts(disease + [f"kind {i} cancer" for i in range(50)])) <= len(t.shared_parts(disease))
+    assert t.shared_parts([]) == {}
