@@ -5,6 +5,7 @@ from cohortloom.catalog import (
     features,
     models,
     profiles,
+    radial,
     record_columns,
     records,
     samples,
@@ -12,4 +13,4 @@ from cohortloom.catalog import (
 )
 from cohortloom.catalog.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "boosting", "features", "models", "profiles", "record_columns", "records", "samples", "texts"]
+__all__ = ["ORACLES", "QUERIES", "boosting", "features", "models", "profiles", "radial", "record_columns", "records", "samples", "texts"]

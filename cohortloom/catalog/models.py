@@ -329,11 +329,16 @@ def _planted_results(spark, sf, config, cols=PLANTED, runs=1, **options):
     return found.select("model_name", "metric_name", rounded("mean").alias("mean"), rounded(F.coalesce("std", F.lit(0.0))).alias("std"))
 
 
+def sql_planted_split():
+    """Tables p (the parts) and sp (the part of the split that each belongs to)."""
+    split = _sql_split("target").replace("doc_id", "p_partkey").replace("quality", "target").replace("FROM labels", "FROM p")
+    return split.replace("WITH l AS", f"WITH {_SQL_PLANTED}, l AS", 1)
+
+
 def _sql_told(family):
     """Metrics on the test part of a model that goes by the telling feature: its two scores have one order."""
-    split = _sql_split("target").replace("doc_id", "p_partkey").replace("quality", "target").replace("FROM labels", "FROM p")
     return f"""
-    {split.replace("WITH l AS", f"WITH {_SQL_PLANTED}, l AS", 1)},
+    {sql_planted_split()},
     n AS (SELECT count(*) FILTER (large = 1 AND p.target = 1) AS tp, count(*) FILTER (large = 1 AND p.target = 0) AS fp,
         count(*) FILTER (large = 0 AND p.target = 1) AS fn, count(*) FILTER (large = 0 AND p.target = 0) AS tn
       FROM sp JOIN p USING (p_partkey) WHERE split = 'test')

@@ -15,11 +15,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import astuple, dataclass, field, fields
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.base import Estimator, Model
+from pyspark.ml.base import Estimator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from cohortloom import fixed_values as fv
 from cohortloom.operators.sampling import DRAW_LIMIT, draw
 from cohortloom.session import cut_lineage
+from cohortloom.sources.stored import StoredModel
 
 MAX_BINS = 256
 #: Gains are compared with so many decimals, so that sums added in another order give the same tree.
@@ -253,13 +254,33 @@ class GainBoosting(Estimator):
         return model
 
 
-class GainBoosted(Model):
+class GainBoosted(StoredModel):
     """Trees of a boosting; ``importances`` are average gains per cut, scaled to 1 in all."""
 
     def __init__(self, features: str, size: int, trees: list[Tree] | None = None):
         super().__init__()
         self.features, self.size, self.trees = features, size, trees or []
 
+    def state(self):
+        arrays = {}
+        for i, tree in enumerate(self.trees):
+            arrays[f"splits/{i}"] = np.array(
+                [(n, *astuple(s)) for n, s in tree.splits.items()], float
+            ).reshape(-1, 1 + len(fields(Split)))
+            arrays[f"values/{i}"] = np.array(list(tree.values.items()), float).reshape(-1, 2)
+        return {"features": self.features, "size": self.size, "trees": len(self.trees)}, arrays
+
+    @classmethod
+    def from_state(cls, settings, arrays):
+        trees = []
+        for i in range(settings["trees"]):
+            tree = Tree()
+            for node, feature, cut, place, left, gain, rows in arrays[f"splits/{i}"].tolist():
+                tree.splits[int(node)] = Split(int(feature), cut, int(place), bool(left), gain, int(rows))
+            tree.values = {int(n): v for n, v in arrays[f"values/{i}"].tolist()}
+            trees.append(tree)
+        return cls(settings["features"], settings["size"], trees)
+
     @property
     def importances(self) -> list[float]:
         sums, counts = np.zeros(self.size), np.zeros(self.size)

@@ -26,11 +26,12 @@ from cohortloom import fixed_values as fv
 from cohortloom.operators import metrics as m
 from cohortloom.operators.boosting import GainBoosting, with_missing
 from cohortloom.operators.columns import assemble
+from cohortloom.operators.radial import RadialSVM
 from cohortloom.operators.sampling import assign_folds, class_weights, oversample, rebalance
 from cohortloom.operators.two_tower import TwoTowers
 
-FAMILIES = ("svm", "forest", "boosted", "network", "gain_boosted", "two_towers")
-WEIGHTED_FAMILIES = ("svm", "forest")
+FAMILIES = ("svm", "radial_svm", "forest", "boosted", "network", "gain_boosted", "two_towers")
+WEIGHTED_FAMILIES = ("svm", "radial_svm", "forest")
 
 
 @dataclass
@@ -84,6 +85,8 @@ def estimator(
         as_vector = VectorAssembler(inputCols=["_margin_raw"], outputCol="_margin")
         platt = LogisticRegression(featuresCol="_margin", labelCol=label, standardization=False)
         return Pipeline(stages=[margin, as_vector, platt])
+    if family == "radial_svm":
+        return RadialSVM(**common, seed=seed, **params)
     if family == "network":
         layers = [size, *params.pop("hidden", [64, 32]), 2]
         scaled = {**common, "featuresCol": "_scaled"}

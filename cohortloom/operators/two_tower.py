@@ -20,7 +20,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.base import Estimator, Model
+from pyspark.ml.base import Estimator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +29,7 @@ from cohortloom import fixed_values as fv
 from cohortloom.operators.metrics import roc_auc
 from cohortloom.operators.sampling import DRAW_LIMIT, draw
 from cohortloom.session import cut_lineage
+from cohortloom.sources.stored import StoredModel
 
 SMALL = 1e-5
 MOMENTUM = 0.1
@@ -96,6 +97,7 @@ class Network:
 
     def __init__(self, left: int, right: int, towers=((32, 64), (64, 64)), combined: int = 128, last: int = 64, dropout: float = 0.3):
         self.left, self.right, self.dropout = left, right, dropout
+        self.shape = {"left": left, "right": right, "towers": towers, "combined": combined, "last": last, "dropout": dropout}
         self.parts = [
             Layers([size, *tower], [True] * len(tower), name)
             for size, tower, name in ((left, towers[0], "left"), (right, towers[1], "right")) if size
@@ -259,13 +261,26 @@ class TwoTowers(Estimator):
         return model
 
 
-class TwoTowerModel(Model):
+class TwoTowerModel(StoredModel):
     """Trained weights with their running averages; ``area`` is the ROC-AUC of the held rows."""
 
     def __init__(self, features: str, network: Network, weights: dict, running: dict, area: float | None = None):
         super().__init__()
         self.features, self.network, self.weights, self.running, self.area = features, network, weights, running, area
 
+    def state(self):
+        settings = {"features": self.features, "area": self.area, "network": self.network.shape}
+        weights = {f"weights/{n}": v for n, v in self.weights.items()}
+        return settings, {**weights, **{f"running/{n}": v for n, v in self.running.items()}}
+
+    @classmethod
+    def from_state(cls, settings, arrays):
+        parts = {"weights": {}, "running": {}}
+        for name, values in arrays.items():
+            part, _, name = name.partition("/")
+            parts[part][name] = values
+        return cls(settings["features"], Network(**settings["network"]), area=settings["area"], **parts)
+
     def _score(self, spark):
         shared = spark.sparkContext.broadcast((self.network, self.weights, self.running))
 
