@@ -54,7 +54,7 @@ def planted_radial_results(spark, sf):
     "refitted_svm_scores",
     f"""
     {sql_planted_split()},
-    w AS (SELECT large, avg(target) AS share FROM sp JOIN p USING (p_partkey) WHERE split = 'train' GROUP BY large)
+    w AS (SELECT large, avg(p.target) AS share FROM sp JOIN p USING (p_partkey) WHERE split = 'train' GROUP BY large)
     SELECT p_partkey, round(share, 3) + 0.0 AS p_completion FROM p JOIN w USING (large)""",
 )
 def refitted_svm_scores(spark, sf):
