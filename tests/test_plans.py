@@ -171,8 +171,10 @@ def test_unknown_family():
 def test_empty_sides_of_a_parse_can_be_read(spark, scratch):
     path = f"{scratch}/only_bad"
     spark.createDataFrame([("{",), ("",)], "value string").coalesce(1).write.text(path)
-    parsed, rejects = dataset.parse_stage(spark, path, f"{path}-none", f"{scratch}/only_bad_out")
-    assert read_stage(spark, parsed).count() == 0 and read_stage(spark, rejects).count() > 0
+    parsed, rejects, counts = dataset.parse_stage(spark, path, f"{path}-none", f"{scratch}/only_bad_out")
+    lost = read_stage(spark, rejects).count()
+    assert read_stage(spark, parsed).count() == 0 and lost > 0
+    assert (counts["kept"], counts["rejected"], counts["missing_nct_id"]) == (0, lost, 0)
 
 
 def test_equal_ids_stay_apart_in_a_scored_cohort(spark):
