@@ -18,6 +18,7 @@ from cohortloom.operators.records import (
     parse_records,
 )
 from cohortloom.session import ensure_checkpoint_dir
+from cohortloom.plans.dataset import parse_stage
 from cohortloom.sources.records import first_existing, read_lines
 from cohortloom.sources.tables import read_stage, write_results, write_stage
 
@@ -371,3 +372,21 @@ def csv_round_trip(spark, sf):
     results = parsed_records(spark, sf).select("nct_id", "brief_title", "secondary_ids")
     write_results(results, path, "csv")
     return spark.read.option("header", True).option("escape", '"').csv(path)
+
+
+@query(
+    "counts_of_a_parse",
+    f"""
+    WITH o AS (SELECT {_SQL_REASON} IS NULL AS kept, lang FROM documents)
+    SELECT 'kept' AS metric, count(*) FILTER (kept) AS n FROM o
+    UNION ALL SELECT 'rejected', count(*) FILTER (NOT kept) FROM o
+    UNION ALL SELECT 'label_1', count(*) FILTER (kept AND lang = 'en') FROM o
+    UNION ALL SELECT 'label_0', count(*) FILTER (kept AND lang = 'fr') FROM o
+    UNION ALL SELECT 'missing_nct_id', 0""",
+)
+def counts_of_a_parse(spark, sf):
+    """What the parse stage counts while it writes table and rejects."""
+    path = record_files(spark, sf)
+    counts = parse_stage(spark, path, path, f"{path}-parsed")[2]
+    shown = ("kept", "rejected", "label_1", "label_0", "missing_nct_id")
+    return spark.createDataFrame([(n, counts[n]) for n in shown], "metric string, n bigint")
