@@ -13,6 +13,7 @@ from cohortloom.functions.text import joined_all
 from cohortloom.operators import columns, flags, vectors
 from cohortloom.operators.records import drop_unlabelled, parse_all
 from cohortloom.plans.stages import Stages, files_mark
+from cohortloom.session import sibling_session
 from cohortloom.sources.records import first_existing, read_lines
 from cohortloom.sources.tables import read_stage, write_stage
 
@@ -43,7 +44,8 @@ def parse_stage(
     belong to the writing tasks, nothing is read again. Returns the two paths and the counts.
     """
     path = first_existing(spark, [full_path, search_path])
-    parsed = parse_all(read_lines(spark, path), wrapped=path == full_path)
+    # a session that has observed a frame cannot ship fitted models, which may refer to it, so this one is apart
+    parsed = parse_all(read_lines(sibling_session(spark), path), wrapped=path == full_path)
     observed = Observation()
     counts = [test.alias(name) for name, test in parse_counts(parsed).items()]
     write_stage(parsed.observe(observed, *counts), out, partition_by=["kept"])

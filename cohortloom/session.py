@@ -27,6 +27,15 @@ def local_session(cpus: str = "*", partitions: int = 8, memory: str = "16g") ->
     return session
 
 
+def sibling_session(spark: SparkSession) -> SparkSession:
+    """Another session of the same application with the same settings; views and observations are its own."""
+    session = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if name.startswith("spark.sql.") and spark.conf.isModifiable(name):
+            session.conf.set(name, value)
+    return session
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Checkpoint folder: the one the cluster names, or a scratch one on local runs, removed at their end."""
     context = spark.sparkContext
