@@ -23,6 +23,7 @@ from cohortloom.sources.records import first_existing, read_lines
 from cohortloom.sources.tables import read_stage, write_results, write_stage
 
 _JSON = {"ignoreNullFields": "true"}
+LINES_PER_FILE = 10_000
 
 
 def _sentences():
@@ -30,8 +31,9 @@ def _sentences():
 
 
 def record_lines(spark, sf) -> DataFrame:
-    """One JSON line per document: doc_id, value."""
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    """One JSON line per document: doc_id, value. The join hashes the narrow labels, so that no text is sorted."""
+    labels = table(spark, sf, "labels").hint("shuffle_hash")
+    docs = table(spark, sf, "documents").join(labels, "doc_id", "left")
     kind = F.pmod("doc_id", F.lit(10))
     lines = _sentences()
     toxic, quality = F.col("toxic") == 1, F.col("quality") == 1
@@ -172,11 +174,16 @@ _FILES: dict[tuple[str, str], str] = {}
 
 
 def record_files(spark, sf) -> str:
-    """The lines as text files, written once per application below the checkpoint folder."""
+    """The lines as packed text files, written once per application below the checkpoint folder.
+
+    A line holds its document's text four times, so the files shrink to about a sixth. Packed files cannot be
+    split, so they are kept short.
+    """
     key = (spark.sparkContext.applicationId, sf)
     if key not in _FILES:
         path = _scratch(spark, "lines")
-        record_lines(spark, sf).select("value").write.text(path)
+        lines = record_lines(spark, sf).select("value").write
+        lines.option("compression", "lz4").option("maxRecordsPerFile", LINES_PER_FILE).text(path)
         _FILES[key] = path
     return _FILES[key]
 

@@ -2,11 +2,14 @@
 
 import copy
 import json
+import os
 
 import pytest
 from pyspark.sql import Row
 
+from cohortloom.catalog.records import record_files, record_lines
 from cohortloom.operators.records import encode_nested, filter_records, parse_records
+from cohortloom.session import settings
 from cohortloom.sources.records import first_existing, read_lines
 
 
@@ -259,3 +262,29 @@ def test_files_in_order_of_preference(spark, tmp_path):
         first_existing(spark, [f"{tmp_path}/none"])
     kept, rejects = filter_records(read_lines(spark, path))
     assert kept.count() == 1 and rejects.count() == 1
+
+
+def document_tables(spark, folder, n=400):
+    """Documents with ids that are null or repeat, and labels of some of them, twice for one."""
+    text = " ".join(f"word{i}" for i in range(300))
+    docs = [(None if i == 7 else i % (n - 5), f"{i} {text}\nend", "en", f"src{i % 4}", 9) for i in range(n)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{folder}/documents.parquet")
+    labels = [(i, i % 2, 0) for i in range(0, n, 3)] + [(3, 0, 1)]
+    spark.createDataFrame(labels, "doc_id bigint, quality bigint, toxic bigint").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_lines_are_joined_without_a_sort_and_stored_packed(spark, tmp_path):
+    folder = document_tables(spark, tmp_path)
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": -1}):
+        lines = record_lines(spark, folder)
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "Sort" not in plan
+        want = sorted(r["value"] or "" for r in lines.collect())
+    assert len(want) == 401 + 1  # labels name one id twice, and two documents share it
+    path = record_files(spark, folder)
+    raw = sum(len(x.encode()) + 1 for x in want)
+    at = path.removeprefix("file:").replace("///", "/")
+    stored = sum(os.path.getsize(f"{at}/{f}") for f in os.listdir(at) if f.startswith("part-"))
+    assert 0 < stored * 3 < raw
+    assert sorted(r["value"] for r in read_lines(spark, path).collect()) == want
