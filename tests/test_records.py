@@ -5,12 +5,13 @@ import json
 import os
 
 import pytest
-from pyspark.sql import Row
+from pyspark.sql import DataFrameWriter, Row
 
 from cohortloom.catalog.records import record_files, record_lines
-from cohortloom.operators.records import encode_nested, filter_records, parse_records
+from cohortloom.operators.records import encode_nested, filter_records, parse_all, parse_records
 from cohortloom.session import settings
 from cohortloom.sources.records import first_existing, read_lines
+from cohortloom.sources.tables import write_stage
 
 
 def study(**changes):
@@ -288,3 +289,19 @@ def test_lines_are_joined_without_a_sort_and_stored_packed(spark, tmp_path):
     stored = sum(os.path.getsize(f"{at}/{f}") for f in os.listdir(at) if f.startswith("part-"))
     assert 0 < stored * 3 < raw
     assert sorted(r["value"] for r in read_lines(spark, path).collect()) == want
+
+
+def test_folders_are_written_without_a_sort(spark, tmp_path, monkeypatch):
+    lines = spark.createDataFrame([Row(value=json.dumps(study())), Row(value="{"), Row(value=json.dumps(study(designModule__studyType="X")))] * 5)
+    name, seen, write = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.parquet
+    before = spark.conf.get(name)
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: seen.append(spark.conf.get(name)) or write(self, path))
+    write_stage(parse_all(lines).coalesce(1), f"{tmp_path}/out", ["kept"])
+    assert int(seen[0]) > 1 and spark.conf.get(name) == before
+    stored = spark.read.parquet(f"{tmp_path}/out")
+    assert {(r["kept"], r["count"]) for r in stored.groupBy("kept").count().collect()} == {("true", 5), ("false", 10)}
+
+
+def test_more_folders_than_are_held_open(spark, tmp_path):
+    write_stage(spark.range(0, 300, 1, 2).selectExpr("id", "id % 37 AS k"), f"{tmp_path}/out", ["k"])
+    assert {(r["k"], r["count"]) for r in spark.read.parquet(f"{tmp_path}/out").groupBy("k").count().collect()} == {(k, len(range(k, 300, 37))) for k in range(37)}
