@@ -2,19 +2,22 @@
 
 One branch reads the tabular places of a vector, the other the text-vector places; each is a stack of linear
 layers with batch normalisation, rectifier and dropout. Their outputs are put side by side for a classifier of
-one normalised and one plain layer. A step sends the weights to all partitions, every task adds up the
-gradients of its Arrow batches of that step's rows, these sums are reduced in two levels, and the driver moves
-the weights (Adam with weight decay). Only weights and gradients travel, whatever the number of rows. After
+one normalised and one plain layer. Rows are stored by step, so that a step reads its own rows only. It sends the
+weights to their tasks, every task adds up the gradients of its Arrow batches, one task adds these sums, and the
+driver moves the weights (Adam with weight decay). The driver gets one line of single-precision gradients a step,
+whatever the number of tasks. After
 each epoch the validation rows are scored in place; the rate is halved after ``patience // 2`` epochs without a better
 ROC-AUC, training ends after ``patience``, and the best weights are kept.
 
 Normalisation uses each Arrow batch's own mean and deviation while training, and running averages of them
-when scoring. Everything depends on the seed, the rows' draws and the batch size alone.
+when scoring. A step's rows go in pieces of about ``PIECE`` rows to tasks, in the order of
+their draws.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -28,11 +31,13 @@ from pyspark.sql import functions as F
 from cohortloom import fixed_values as fv
 from cohortloom.operators.metrics import roc_auc
 from cohortloom.operators.sampling import DRAW_LIMIT, draw
-from cohortloom.session import cut_lineage
+from cohortloom.session import ensure_checkpoint_dir
 from cohortloom.sources.stored import StoredModel
+from cohortloom.sources.tables import read_stage, write_stage
 
 SMALL = 1e-5
 MOMENTUM = 0.1
+PIECE = 1024
 
 
 class Layers:
@@ -186,13 +191,25 @@ def _step(shared, names, stat_names, seed: int):
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of all lines, in single precision for the way to the driver."""
     total = None
     for batch in batches:
         for line in batch.column("line").to_pylist():
             line = np.frombuffer(line)
             total = line if total is None else total + line
     if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["line"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["line"])
+
+
+def stored_steps(rows: DataFrame, batch: int) -> DataFrame:
+    """Rows (x, y, chance, step) stored in a folder per step; the rows of a step lie in a file per piece."""
+    path = f"{ensure_checkpoint_dir(rows.sparkSession)}/steps-{uuid.uuid4().hex}"
+    place = F.spark_partition_id()
+    # equal rows share a draw and a step; pieces go by where the rows lie, so they do not share a piece
+    piece = F.when(F.col("step") < 0, place).otherwise(place % max(1, round(batch / PIECE)))
+    dealt = rows.withColumn("piece", piece).repartition("step", "piece").sortWithinPartitions("step", "piece", "chance", "y")
+    write_stage(dealt.select("x", "y", "step"), path, ["step"])
+    return read_stage(rows.sparkSession, path)
 
 
 class TwoTowers(Estimator):
@@ -223,22 +240,23 @@ class TwoTowers(Estimator):
         steps = max(1, round(count / o["batchSize"]))
         # -1: held out for the early stop; held rows and batches are drawn, so they are even in every partition
         number = F.floor((F.col("chance") - o["held"]) / (1 - o["held"]) * steps)
-        rows = cut_lineage(rows.select("x", "y", F.when(F.col("chance") < o["held"], -1).otherwise(F.least(number, F.lit(steps - 1))).cast("int").alias("step")))
+        step = F.when(F.col("chance") < o["held"], -1).otherwise(F.least(number, F.lit(steps - 1))).cast("int")
+        rows = stored_steps(rows.select("x", "y", "chance", step.alias("step")), o["batchSize"])
         names, stat_names = sorted(weights), sorted(running)
         first, second = np.zeros(flat(weights, names).size), np.zeros(flat(weights, names).size)
         rate, moved, best, since = o["stepSize"], 0, -1.0, 0
-        levels = max(1, math.isqrt(rows.rdd.getNumPartitions()))
         for epoch in range(o["epochs"]):
             for step in np.random.default_rng((o["seed"], epoch)).permutation(steps).tolist():
                 shared = spark.sparkContext.broadcast((network, weights))
                 parts = rows.where(F.col("step") == step).select("x", "y").mapInArrow(
                     _step(shared, names, stat_names, o["seed"] + moved), "line binary"
                 )
-                found = [np.frombuffer(r["line"]) for r in parts.repartition(levels).mapInArrow(_add, "line binary").collect()]
-                shared.unpersist()
+                # collect, as a limit would end the Python worker of the sum before its stream does
+                found = parts.repartition(1).mapInArrow(_add, "line binary").collect()
+                shared.destroy()
                 if not found:
                     continue
-                line = sum(found)
+                line = np.frombuffer(found[0]["line"], np.float32).astype(float)
                 moved += 1
                 slope = line[2 : 2 + len(first)] / line[0] + o["decay"] * flat(weights, names)
                 means = unflat(line[2 + len(first) :] / line[0], running, stat_names)

@@ -77,3 +77,28 @@ def test_family_and_odd_tables(spark):
     assert nothing.area is None
     same = t.TwoTowers(left=2, epochs=1, towers=((2,), (2,)), combined=2, last=2).fit(product_rows(spark, 40).withColumn("label", F.lit(1.0)))
     assert same.transform(product_rows(spark, 5)).count() == 5
+
+
+def test_a_step_reads_its_own_rows_and_sends_one_line(spark, monkeypatch):
+    """All gradients of a step are one line in single precision, however many tasks the rows came from."""
+    rows = product_rows(spark, 1500).repartition(16)
+    lines = []
+    kind = type(rows)
+    monkeypatch.setattr(kind, "collect", lambda self, c=kind.collect: [lines.append(r) or r for r in c(self)])
+    stored, kept = [], t.stored_steps
+    monkeypatch.setattr(t, "stored_steps", lambda *a: stored.append(kept(*a)) or stored[0])
+    model = t.TwoTowers(left=2, towers=((8,), (8,)), combined=8, last=4, batchSize=300, epochs=1).fit(rows)
+    sent = [r["line"] for r in lines if "line" in r]
+    counts = dict(stored[0].groupBy("step").count().collect())
+    assert sum(counts.values()) == 1500 and len(sent) == len(counts) - 1 == 4
+    numbers = 2 + sum(v.size for v in (*model.weights.values(), *model.running.values()))
+    assert {len(x) for x in sent} == {4 * numbers}
+    files = stored[0].select("step", F.input_file_name().alias("f")).distinct().groupBy("step").count()
+    assert all(r["count"] == 1 for r in files.where("step >= 0").collect())
+
+
+def test_copies_of_a_row_share_a_step(spark):
+    copies = spark.range(0, 6000, 1, 6).select(F.array(F.lit(1.0)).alias("x"), (F.col("id") % 2).cast("double").alias("y"), F.lit(0.5).alias("chance"), F.lit(0).alias("step"))
+    stored = t.stored_steps(copies, 3 * t.PIECE)
+    assert stored.count() == 6000
+    assert {r["y"]: r["count"] for r in stored.groupBy("y").count().collect()} == {0.0: 3000, 1.0: 3000}
