@@ -3,15 +3,15 @@
 One branch reads the tabular places of a vector, the other the text-vector places; each is a stack of linear
 layers with batch normalisation, rectifier and dropout. Their outputs are put side by side for a classifier of
 one normalised and one plain layer. Rows are stored by step, so that a step reads its own rows only. It sends the
-weights to their tasks, every task adds up the gradients of its Arrow batches, one task adds these sums, and the
+weights to their tasks, every task adds up the gradients of its rows, one task adds these sums, and the
 driver moves the weights (Adam with weight decay). The driver gets one line of single-precision gradients a step,
 whatever the number of tasks. After
 each epoch the validation rows are scored in place; the rate is halved after ``patience // 2`` epochs without a better
 ROC-AUC, training ends after ``patience``, and the best weights are kept.
 
-Normalisation uses each Arrow batch's own mean and deviation while training, and running averages of them
-when scoring. A step's rows go in pieces of about ``PIECE`` rows to tasks, in the order of
-their draws.
+Normalisation uses the mean and deviation of those rows of a step that come from one partition (at most an Arrow
+batch) while training, and running averages of them when scoring. A step's rows go to tasks in pieces of about
+``PIECE`` rows.
 """
 
 from __future__ import annotations
@@ -174,7 +174,7 @@ def _step(shared, names, stat_names, seed: int):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network, weights = shared.value
         total, rows = None, 0
-        for batch in batches:
+        for batch in _by_place(batches):
             if batch.num_rows < 2:  # no deviation in a single row
                 continue
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
@@ -202,16 +202,27 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def stored_steps(rows: DataFrame, batch: int) -> DataFrame:
-    """Rows (x, y, chance, step) stored in a folder per step; the rows of a step lie in a file per piece."""
+    """Rows (x, y, step) stored in a folder per step with their ``place``, the partition they come from.
+
+    The rows of a step lie in a file per piece, in the order they had; equal rows share a step, but not a piece.
+    """
     path = f"{ensure_checkpoint_dir(rows.sparkSession)}/steps-{uuid.uuid4().hex}"
-    place = F.spark_partition_id()
-    # equal rows share a draw and a step; pieces go by where the rows lie, so they do not share a piece
-    piece = F.when(F.col("step") < 0, place).otherwise(place % max(1, round(batch / PIECE)))
-    dealt = rows.withColumn("piece", piece).repartition("step", "piece").sortWithinPartitions("step", "piece", "chance", "y")
-    write_stage(dealt.select("x", "y", "step"), path, ["step"])
+    placed = rows.select("x", "y", "step", F.spark_partition_id().alias("place"), F.monotonically_increasing_id().alias("row"))
+    piece = F.when(F.col("step") < 0, F.col("place")).otherwise(F.col("place") % max(1, round(batch / PIECE)))
+    dealt = placed.withColumn("piece", piece).repartition("step", "piece").sortWithinPartitions("step", "row")
+    write_stage(dealt.select("x", "y", "step", "place"), path, ["step"])
     return read_stage(rows.sparkSession, path)
 
 
+def _by_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut where the place changes."""
+    for batch in batches:
+        places = batch.column("place").to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(places)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:]):
+            yield batch.slice(start, end - start)
+
+
 class TwoTowers(Estimator):
     """Estimator over a vector whose first ``left`` places are tabular: ``probability`` and ``prediction``."""
 
@@ -241,14 +252,14 @@ class TwoTowers(Estimator):
         # -1: held out for the early stop; held rows and batches are drawn, so they are even in every partition
         number = F.floor((F.col("chance") - o["held"]) / (1 - o["held"]) * steps)
         step = F.when(F.col("chance") < o["held"], -1).otherwise(F.least(number, F.lit(steps - 1))).cast("int")
-        rows = stored_steps(rows.select("x", "y", "chance", step.alias("step")), o["batchSize"])
+        rows = stored_steps(rows.select("x", "y", step.alias("step")), o["batchSize"])
         names, stat_names = sorted(weights), sorted(running)
         first, second = np.zeros(flat(weights, names).size), np.zeros(flat(weights, names).size)
         rate, moved, best, since = o["stepSize"], 0, -1.0, 0
         for epoch in range(o["epochs"]):
             for step in np.random.default_rng((o["seed"], epoch)).permutation(steps).tolist():
                 shared = spark.sparkContext.broadcast((network, weights))
-                parts = rows.where(F.col("step") == step).select("x", "y").mapInArrow(
+                parts = rows.where(F.col("step") == step).select("x", "y", "place").mapInArrow(
                     _step(shared, names, stat_names, o["seed"] + moved), "line binary"
                 )
                 # collect, as a limit would end the Python worker of the sum before its stream does

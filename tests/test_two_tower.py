@@ -1,6 +1,7 @@
 """The two-input network: gradients, learning and early stop."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
@@ -98,7 +99,10 @@ def test_a_step_reads_its_own_rows_and_sends_one_line(spark, monkeypatch):
 
 
 def test_copies_of_a_row_share_a_step(spark):
-    copies = spark.range(0, 6000, 1, 6).select(F.array(F.lit(1.0)).alias("x"), (F.col("id") % 2).cast("double").alias("y"), F.lit(0.5).alias("chance"), F.lit(0).alias("step"))
+    copies = spark.range(0, 6000, 1, 6).select(F.array(F.lit(1.0)).alias("x"), (F.col("id") % 2).cast("double").alias("y"), F.lit(0).alias("step"))
     stored = t.stored_steps(copies, 3 * t.PIECE)
     assert stored.count() == 6000
     assert {r["y"]: r["count"] for r in stored.groupBy("y").count().collect()} == {0.0: 3000, 1.0: 3000}
+    assert {r["place"]: r["count"] for r in stored.groupBy("place").count().collect()} == {p: 1000 for p in range(6)}
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in t._by_place(batches))
+    assert sum(r["n"] for r in stored.select("x", "place").mapInArrow(sizes, "n bigint").collect()) == 6000
