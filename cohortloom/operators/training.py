@@ -32,6 +32,8 @@ from cohortloom.operators.two_tower import TwoTowers
 
 FAMILIES = ("svm", "radial_svm", "forest", "boosted", "network", "gain_boosted", "two_towers")
 WEIGHTED_FAMILIES = ("svm", "radial_svm", "forest")
+# training rows a task should have at most
+ROWS_PER_TASK = 100_000
 
 
 @dataclass
@@ -115,6 +117,17 @@ def _scalers(size: int, vectors: Sequence[int], features: str) -> list:
     return [*stages, VectorAssembler(inputCols=parts, outputCol="_scaled")]
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a large table dealt evenly, so that a table in few files does not become the work of few tasks.
+
+    Iterative fits read their rows once a pass; a small table is left as it lies.
+    """
+    tasks = rows.count() // ROWS_PER_TASK
+    if not tasks:
+        return rows
+    return rows.repartition(max(tasks + 1, rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def vector_places(cols: Sequence[str]) -> list[int]:
     return [i for i, c in enumerate(cols) if c.startswith(fv.PCA_PREFIX)]
 
@@ -238,7 +251,7 @@ def evaluate_tuned(
 ) -> tuple[DataFrame, list[Config]]:
     """Results as of ``evaluate``, and copies of the configurations with the parameters found."""
     target = F.col(label).cast("double").alias(label)
-    assembled = assemble(data.select(id_col, target, split, *cols), cols)
+    assembled = assemble(spread(data.select(id_col, target, split, *cols)), cols)
     frame = assembled.select(id_col, label, split, "features").persist()
     train, test = frame.filter(F.col(split) == "train"), frame.filter(F.col(split) == "test")
     validation = frame.filter(F.col(split) == "validation")
@@ -287,7 +300,7 @@ def select_features(
     Returns the kept names in column order and the importance table. The family ``gain_boosted`` goes by
     average gains, ``boosted`` by Spark's importance.
     """
-    frame = df.select(F.col(label).cast("double").alias(label), *cols)
+    frame = spread(df.select(F.col(label).cast("double").alias(label), *cols))
     frame = with_missing(frame, cols) if family == "gain_boosted" else assemble(frame, cols)
     model = estimator(family, params, seed, label).fit(frame)
     found = model.importances if family == "gain_boosted" else model.featureImportances.toArray()
@@ -311,9 +324,8 @@ def refit(
     seed: int = fv.SEED,
 ) -> PipelineModel:
     """Train the chosen configuration with its tuned parameters, as a saveable pipeline."""
-    rows = prepared(
-        data.select(id_col, F.col(label).cast("double").alias(label), *cols), config, id_col, label, seed
-    )
+    rows = spread(data.select(id_col, F.col(label).cast("double").alias(label), *cols))
+    rows = prepared(rows, config, id_col, label, seed)
     weight = "weight" if config.uses_weights else None
     stages = [
         VectorAssembler(inputCols=list(cols), outputCol="features"),
